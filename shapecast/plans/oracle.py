@@ -111,3 +111,38 @@ def q(*parts: str) -> str:
     for block in ctes:
         body += ",\n" + block.strip()
     return body + "\n" + final.strip()
+
+# Training rows: calibrated target (needs BRACKET_CTES from q_calibrate) and
+# the prior over strictly earlier batches of the same parameterised hash.
+TRAIN_CTES = r"""
+hashed as (select query_id, seq,
+  substr(sha256(regexp_replace(query_text, '''[^'']*''|\b\d+(?:\.\d+)?\b', '?', 'g')), 1, 32) as ph
+  from qlog),
+tr as (select i.query_id, i.query_tag, h.ph, h.seq,
+  round(i.execution_ms / (i.cal_s / base.b), 3) as target_ms,
+  round(i.cal_s / base.b, 6) as machine_factor
+  from interp i join hashed h on h.query_id = i.query_id cross join base),
+pb as (select ph, query_tag, sum(target_ms) as s, count(*) as n from tr group by ph, query_tag),
+pw as (select ph, query_tag,
+  sum(s) over (partition by ph order by query_tag rows between unbounded preceding and 1 preceding) as cs,
+  sum(n) over (partition by ph order by query_tag rows between unbounded preceding and 1 preceding) as cn
+  from pb),
+trp as (select tr.*, case when coalesce(pw.cn, 0) > 0 then 1 else 0 end as has_prior,
+  case when coalesce(pw.cn, 0) > 0 then round(pw.cs / pw.cn, 3) end as prior_ms
+  from tr join pw on pw.ph = tr.ph and pw.query_tag = tr.query_tag)"""
+
+# The 13 features (needs SHAPE_CTES and TRAIN_CTES).
+FEATURE_CTES = r"""
+feat as (select s.query_id, s.query_tag, s.template_id, s.warehouse_size, t.seq,
+  log10(greatest(cast(s.table_rows as double), 1.0)) as log_table_rows,
+  log10(greatest(cast(s.table_bytes as double), 1.0)) as log_table_bytes,
+  cast(s.n_tables as double) as n_tables, cast(s.n_joins as double) as n_joins,
+  cast(s.has_group_by as double) as has_group_by, cast(s.has_order_by as double) as has_order_by,
+  cast(s.has_window as double) as has_window,
+  log10(cast(s.limit_rows as double) + 1.0) as log_limit_rows,
+  cast(s.n_predicates as double) as n_predicates, s.predicate_literal,
+  cast(s.warehouse_threads as double) as warehouse_threads,
+  cast(t.has_prior as double) as has_prior,
+  case when t.has_prior = 1 then log10(coalesce(t.prior_ms, 0) + 1.0) else 0.0 end as log_prior_ms,
+  t.target_ms, t.machine_factor, t.has_prior as has_prior_int, t.prior_ms
+  from sized s join trp t on t.query_id = s.query_id)"""
