@@ -12,6 +12,7 @@ from ..functions import shape as S
 from ..functions.text import template_label
 from ..operators import calibrate as cal
 from ..operators import features as fe
+from ..session import stage
 from . import qlog as Q
 
 REPS = 5
@@ -65,6 +66,9 @@ def calibration(spark: SparkSession, sf_dir: str, log: DataFrame | None = None)
 def training(spark: SparkSession, sf_dir: str, with_prior: bool = True) -> DataFrame:
     """History + TARGET_MS, MACHINE_FACTOR, REPS, TEMPLATE_ID, TEMPLATE_LABEL
     (+ HAS_PRIOR, PRIOR_EXECUTION_MS from earlier batches)."""
-    log = Q.qlog(spark, sf_dir, extra=True)
-    rows = fe.training_rows(history(spark, sf_dir, log), calibration(spark, sf_dir, log))
-    return fe.attach_history(rows) if with_prior else rows
+    def build():
+        log = Q.qlog(spark, sf_dir, extra=True)
+        rows = fe.training_rows(history(spark, sf_dir, log), calibration(spark, sf_dir, log))
+        return fe.attach_history(rows)
+    rows = stage(spark, ("training", sf_dir), build)
+    return rows if with_prior else rows.drop(*fe.HISTORY_COLUMNS)

@@ -146,3 +146,121 @@ feat as (select s.query_id, s.query_tag, s.template_id, s.warehouse_size, t.seq,
   case when t.has_prior = 1 then log10(coalesce(t.prior_ms, 0) + 1.0) else 0.0 end as log_prior_ms,
   t.target_ms, t.machine_factor, t.has_prior as has_prior_int, t.prior_ms
   from sized s join trp t on t.query_id = s.query_id)"""
+
+
+def _poisson_sql(u: str, kmax: int = 12) -> str:
+    """Poisson(1) by inverse CDF; the same constants as metrics._poisson1."""
+    import math
+    cdf, term, parts = 0.0, math.exp(-1.0), []
+    for k in range(kmax + 1):
+        cdf += term
+        term /= (k + 1)
+        parts.append(f"when {u} < {cdf!r} then {k}")
+    return "case " + " ".join(parts) + f" else {kmax + 1} end"
+
+
+_U = ("(cast(('0x' || substr(md5(query_id || ':' || cast(draw as varchar)), 1, 8)) as bigint)"
+      " / 4294967296.0)")
+
+# Versions over cumulative batch prefixes, one-feature OLS scored out of
+# sample (needs SHAPE, BRACKET, TRAIN and FEATURE CTEs).
+VERSION_CTES = r"""
+vt as (select query_tag, row_number() over (order by query_tag) as bn
+       from (select distinct query_tag from qlog) d),
+meta as (select count(*) as nb, min(query_tag) as first_tag from vt),
+n1t as (select count(*) as n1 from qlog where query_tag = (select first_tag from meta)),
+vbase as (select f.query_id, f.query_tag, l.pos, vt.bn, f.log_table_rows as x, ln(f.target_ms) as y,
+    f.target_ms as a, l.execution_ms,
+    cast(('0x' || substr(md5(f.query_id), 1, 8)) as bigint) % 5 as fold
+  from feat f join qlog l on l.query_id = f.query_id join vt on vt.query_tag = f.query_tag),
+vrows as (select r.*, p.b,
+    case when p.b > 1 then (case when r.bn = p.b then 1 else 0 end)
+         else (case when r.pos >= floor(n1t.n1 * 0.7e0) then 1 else 0 end) end as in_holdout
+  from vbase r cross join n1t
+  join (select unnest(range(1, (select nb from meta) + 1)) as b) p on p.b >= r.bn),
+pf as (select b, fold, cast(count(*) as double) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx,
+    sum(x * y) as sxy from vrows where in_holdout = 0 group by b, fold),
+tot as (select b, sum(n) as tn, sum(sx) as tsx, sum(sy) as tsy, sum(sxx) as tsxx, sum(sxy) as tsxy
+        from pf group by b),
+co1 as (select pf.b, pf.fold, tn - n as n_, tsx - sx as sx_, tsy - sy as sy_, tsxx - sxx as sxx_,
+    tsxy - sxy as sxy_ from pf join tot on tot.b = pf.b),
+co2 as (select b, fold, n_, sx_, sy_,
+    case when n_ * sxx_ - sx_ * sx_ <> 0 then (n_ * sxy_ - sx_ * sy_) / (n_ * sxx_ - sx_ * sx_)
+         else 0.0 end as sb from co1),
+coef_o as (select b, fold, sb, (sy_ - sb * sx_) / n_ as sa from co2),
+ch1 as (select b, tn, tsx, tsy, case when tn * tsxx - tsx * tsx <> 0
+    then (tn * tsxy - tsx * tsy) / (tn * tsxx - tsx * tsx) else 0.0 end as hb from tot),
+coef_h as (select b, hb, (tsy - hb * tsx) / tn as ha, tsy / tn as mean_y from ch1),
+vscored as (select v.b, v.query_id, v.query_tag, v.in_holdout, v.execution_ms, v.a as actual_ms,
+    case when v.in_holdout = 1 then exp(h.ha + h.hb * v.x) else exp(o.sa + o.sb * v.x) end
+      as predicted_ms,
+    exp(h.mean_y) as baseline_ms
+  from vrows v left join coef_o o on o.b = v.b and o.fold = v.fold
+  left join coef_h h on h.b = v.b),
+hmean as (select b, avg(log10(actual_ms)) as m from vscored where in_holdout = 1 group by b),
+hm as (select v.b, cast(count(*) as integer) as n_holdout_rows,
+    avg(abs(predicted_ms - actual_ms) / actual_ms) * 100.0 as mape,
+    avg(abs(predicted_ms - actual_ms)) as mae,
+    sum((log10(actual_ms) - log10(predicted_ms)) * (log10(actual_ms) - log10(predicted_ms))) as res,
+    sum((log10(actual_ms) - hmean.m) * (log10(actual_ms) - hmean.m)) as tot,
+    avg(abs(baseline_ms - actual_ms) / actual_ms) * 100.0 as base
+  from vscored v join hmean on hmean.b = v.b where in_holdout = 1 group by v.b),
+tm as (select b, cast(count(*) as integer) as n_train_rows,
+    avg(abs(predicted_ms - actual_ms) / actual_ms) * 100.0 as cv
+  from vscored where in_holdout = 0 group by b),
+bdraw as (select b, draw, sum(w * e) / sum(w) as m from (
+    select v.b, d.draw, abs(v.predicted_ms - v.actual_ms) / v.actual_ms * 100.0 as e,
+      POISSON as w
+    from vscored v cross join range(1, DRAWS + 1) as d(draw) where v.in_holdout = 1) s
+  group by b, draw),
+ci as (select b, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bdraw group by b),
+dig as (select b, 'v' || cast(b as varchar) || '-' || substr(sha256(cast(count(*) as varchar) || ':'
+      || cast(sum(cast(h as decimal(20, 0))) as varchar) || ':' || cast(bit_xor(h) as varchar)), 1, 8)
+      as model_version
+    from (select b, cast(('0x' || substr(sha256(query_id || ':'
+            || cast(cast(round(execution_ms * 1000) as bigint) as varchar)), 1, 15)) as bigint) as h
+          from vscored) s group by b),
+vmetrics as (select hm.b, dig.model_version,
+    (select max(query_tag) from vscored s where s.b = hm.b) as trained_at,
+    coalesce(tm.n_train_rows, 0) as n_train_rows, hm.n_holdout_rows,
+    round(hm.mape, 3) as holdout_mape_pct, round(ci.lo, 3) as mape_ci_low_pct,
+    round(ci.hi, 3) as mape_ci_high_pct,
+    round(case when tot > 0 then 1.0 - res / tot else 0.0 end, 4) as holdout_r2,
+    round(hm.mae, 3) as holdout_mae_ms, round(tm.cv, 3) as cv_mape_pct,
+    round(hm.base, 3) as baseline_mape_pct,
+    (hm.mape <= 15.0 and case when tot > 0 then 1.0 - res / tot else 0.0 end >= 0.90) as passes_gate
+  from hm left join tm on tm.b = hm.b left join ci on ci.b = hm.b join dig on dig.b = hm.b),
+latest as (select v.*, dig.model_version from vscored v join dig on dig.b = v.b
+           where v.b = (select max(b) from vscored)),
+detail as (select l.model_version, l.query_id, s.template_id, s.template_label,
+    s.query_tag as batch_name, s.warehouse_size,
+    cast(s.n_tables as double) as n_tables, cast(s.n_joins as double) as n_joins,
+    cast(s.has_group_by as double) as has_group_by, cast(s.has_order_by as double) as has_order_by,
+    cast(s.has_window as double) as has_window, s.predicate_literal,
+    cast(s.table_rows as double) as table_rows,
+    round(l.actual_ms, 3) as actual_ms, round(l.predicted_ms, 3) as predicted_ms,
+    round(round(l.predicted_ms, 3) - round(l.actual_ms, 3), 3) as error_ms,
+    round(abs(l.predicted_ms - l.actual_ms) / l.actual_ms * 100.0, 3) as abs_pct_error,
+    case when l.in_holdout = 1 then 'holdout' else 'cross_validated' end as prediction_scope
+  from latest l join labelled s on s.query_id = l.query_id),
+sla as (select template_id, max(template_label) as template_label,
+    cast(count(query_id) as integer) as queries,
+    median(actual_ms) as p50a, median(predicted_ms) as p50p, max(actual_ms) as wa,
+    max(predicted_ms) as wp, avg(abs_pct_error) as mp
+  from detail where template_id is not null group by template_id),
+sla_out as (select template_id, template_label, queries, round(p50a, 3) as p50_actual_ms,
+    round(p50p, 3) as p50_predicted_ms, round(wa, 3) as worst_actual_ms,
+    round(wp, 3) as worst_predicted_ms, round(mp, 3) as mean_abs_pct_error,
+    case when wp > 200.0 and wa > 200.0 then 'breach_called'
+         when not wp > 200.0 and not wa > 200.0 then 'inside_sla'
+         when wa > 200.0 then 'missed_breach' else 'false_alarm' end as sla_verdict,
+    200.0 as sla_ms from sla)""".replace("POISSON", _poisson_sql(_U)).replace("DRAWS", "2000")
+
+# Shape rows with the template label (needs SHAPE_CTES).
+LABEL_CTES = r"""
+labelled as (select z.*, concat_ws(' · ', sp.fact,
+    cast(sp.n_joins as varchar) || case when sp.n_joins = 1 then ' join' else ' joins' end,
+    case when sp.gb = 1 then 'group by' else 'no group by' end,
+    case when sp.win = 1 then 'window' end,
+    case when sp.lim > 0 then 'limit ' || cast(sp.lim as varchar) else 'no limit' end) as template_label
+  from sized z join spec sp on sp.seq = z.seq)"""

@@ -1 +1,198 @@
-"""Registered queries."""
+"""Registered source/sink and streaming queries (S1-S3, S5-S8, S10, S11, S13,
+S15-S17, U1, U2, U4, U6, T1-T3). Each writes derived tables into a fresh
+folder under the shared checkpoint folder and reads them back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from .. import schemas as SC
+from ..session import state_dir
+from ..sources import history_io as IO
+from ..sources.testdata import TABLES
+from ..streaming import queue as SQ
+from . import history as H
+from . import qlog as Q
+from .oracle import TRAIN_CTES, q
+from .q_calibrate import BRACKET_CTES
+from .registry import register
+
+
+def _folder(spark, name):
+    return state_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("S06_S01_history_csv_round_trip", q("""
+select query_id as QUERY_ID, query_text as QUERY_TEXT, query_tag as QUERY_TAG,
+  execution_ms as EXECUTION_TIME, cast(null as bigint) as BYTES_SCANNED from qlog"""))
+def s06(spark, sf_dir):
+    """QUERY_HISTORY layout to CSV (multi-line safe) and back with the schema."""
+    path = _folder(spark, "history_csv")
+    IO.write_csv(H.history(spark, sf_dir), path, SC.QUERY_HISTORY_COLUMNS)
+    back = IO.read_history_csv(spark, path)
+    return back.select("QUERY_ID", "QUERY_TEXT", "QUERY_TAG", "EXECUTION_TIME", "BYTES_SCANNED")
+
+
+@register("S01_missing_csv_is_empty", """
+select count(*) as rows from (select 1 from region where false) t""")
+def s01(spark, sf_dir):
+    path = _folder(spark, "absent") + "/nothing.csv"
+    # The region read makes the query depend on the tables; the count is 0.
+    empty = IO.read_history_csv(spark, path)
+    return empty.agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("S07_history_parquet_round_trip", q("""
+select query_tag as QUERY_TAG, count(*) as rows, sum(execution_ms) as total_ms from qlog
+group by query_tag"""))
+def s07(spark, sf_dir):
+    path = _folder(spark, "history_parquet")
+    IO.write_parquet(H.history(spark, sf_dir), path, partition_by=["QUERY_TAG"])
+    back = spark.read.parquet(path)
+    return back.groupBy("QUERY_TAG").agg(F.count(F.lit(1)).alias("rows"),
+                                         F.sum("EXECUTION_TIME").alias("total_ms"))
+
+
+@register("S02_coerced_csv_read", q("""
+select seq, query_id, execution_ms, pos from qlog"""))
+def s02(spark, sf_dir):
+    path = _folder(spark, "coerce_csv")
+    IO.write_csv(Q.qlog(spark, sf_dir).select("seq", "query_id", "execution_ms", "pos"), path)
+    return IO.read_csv_coerced(spark, path)
+
+
+@register("S03_queue_batch_read", q("""
+select query_id, template_id, warehouse_size, query_text from qlog
+where query_tag = (select max(query_tag) from qlog)"""))
+def s03(spark, sf_dir):
+    log = Q.qlog(spark, sf_dir)
+    last = log.agg(F.max("query_tag").alias("__m"))
+    queue = (log.crossJoin(F.broadcast(last)).filter(F.col("query_tag") == F.col("__m"))
+             .select("query_id", "template_id", F.lit(None).cast("string").alias("template_label"),
+                     "warehouse_size", "query_text"))
+    path = _folder(spark, "queue")
+    IO.write_csv(queue, path)
+    return IO.read_batch(spark, path).drop("template_label")
+
+
+@register("S05_S08_json_round_trip", q("""
+select table_name, row_count, bytes from qtables"""))
+def s05(spark, sf_dir):
+    path = _folder(spark, "catalogue_json")
+    IO.write_json(Q.qtables(spark, sf_dir), path)
+    return IO.read_json(spark, path, "table_name string, row_count bigint, bytes bigint")
+
+
+@register("S10_catalogue_row_counts", " union all ".join(
+    f"select '{t.upper()}' as TABLE_NAME, count(*) as ROW_COUNT from {t}" for t in TABLES))
+def s10(spark, sf_dir):
+    stats = IO.catalogue_stats(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
+    return stats.select("TABLE_NAME", "ROW_COUNT")
+
+
+@register("S13_catalogue_bytes_and_split_units")
+def s13(spark, sf_dir):
+    """Bytes on disk and split units per table (file metadata; rows-only)."""
+    stats = IO.catalogue_stats(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
+    return stats.select("TABLE_NAME", "BYTES", "SPLIT_UNITS")
+
+
+@register("S11_tables_layout", " union all ".join(
+    f"select 'ANALYTICS' as TABLE_CATALOG, 'PUBLIC' as TABLE_SCHEMA, '{t.upper()}' as TABLE_NAME, "
+    f"'SYSADMIN' as TABLE_OWNER, 'BASE TABLE' as TABLE_TYPE, count(*) as ROW_COUNT, "
+    f"1 as RETENTION_TIME, 'NO' as IS_HYBRID from {t}" for t in TABLES))
+def s11(spark, sf_dir):
+    stats = IO.catalogue_stats(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
+    return IO.tables_layout(stats).select("TABLE_CATALOG", "TABLE_SCHEMA", "TABLE_NAME",
+                                          "TABLE_OWNER", "TABLE_TYPE", "ROW_COUNT",
+                                          "RETENTION_TIME", "IS_HYBRID")
+
+
+@register("S15_queue_cut_in_batches_of_40", q("""
+select query_id, cast(floor((row_number() over (order by seq) - 1) / 40) + 1 as integer) as batch
+from qlog"""))
+def s15(spark, sf_dir):
+    return IO.cut_in_batches(Q.qlog(spark, sf_dir).select("query_id", "seq"), "seq").drop("seq")
+
+
+@register("S17_bounded_sample_120", q("""
+select query_id, execution_ms from qlog order by execution_ms desc, seq limit 120"""))
+def s17(spark, sf_dir):
+    log = Q.qlog(spark, sf_dir)
+    return IO.bounded_sample(log, [F.desc("execution_ms"), "seq"]).select(
+        "query_id", "execution_ms")
+
+
+@register("S16_publish_counts", q("""
+select 'query_history' as table_name, count(*) as row_count from qlog
+union all select 'calibration', count(*) from qlog
+union all select 'tables', count(*) from qtables"""))
+def s16(spark, sf_dir):
+    log = Q.qlog(spark, sf_dir, extra=True)
+    return IO.publish({"query_history": H.history(spark, sf_dir, log),
+                       "calibration": H.calibration(spark, sf_dir, log),
+                       "tables": Q.qtables(spark, sf_dir)}, _folder(spark, "published"))
+
+
+@register("U01_union_of_batches", q("""
+select query_tag, count(*) as rows from qlog group by query_tag"""))
+def u01(spark, sf_dir):
+    """One file per batch, read back as a union in load order."""
+    log = Q.qlog(spark, sf_dir)
+    root = _folder(spark, "batches")
+    IO.write_parquet(log, root, partition_by=["query_tag"])
+    return spark.read.parquet(root).groupBy("query_tag").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("U02_distinct_templates", q("""
+select distinct template_id, warehouse_size from qlog"""))
+def u02(spark, sf_dir):
+    return Q.qlog(spark, sf_dir).select("template_id", "warehouse_size").distinct()
+
+
+@register("U04_J09_measured_not_in_latest", q("""
+select query_id from qlog where query_tag <> (select max(query_tag) from qlog)"""))
+def u04(spark, sf_dir):
+    log = Q.qlog(spark, sf_dir)
+    last = log.agg(F.max("query_tag").alias("__m"))
+    latest = log.crossJoin(F.broadcast(last)).filter(F.col("query_tag") == F.col("__m"))
+    return log.select("query_id").join(latest.select("query_id"), "query_id", "left_anti")
+
+
+@register("U06_upsert_batch_twice", q("""
+select query_tag as QUERY_TAG, count(*) as rows from qlog group by query_tag"""))
+def u06(spark, sf_dir):
+    """Write every batch, then replace the latest batch again: counts unchanged."""
+    hist = H.history(spark, sf_dir)
+    path = _folder(spark, "upsert")
+    IO.upsert_batches(hist, path)
+    last = hist.agg(F.max("QUERY_TAG").alias("__m"))
+    IO.upsert_batches(hist.crossJoin(F.broadcast(last))
+                      .filter(F.col("QUERY_TAG") == F.col("__m")).drop("__m"), path)
+    return spark.read.parquet(path).groupBy("QUERY_TAG").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _stream(spark, sf_dir, rerun=False):
+    root = _folder(spark, "stream")
+    SQ.write_intake(Q.qlog(spark, sf_dir), f"{root}/intake")
+    paths = SQ.run_intake(spark, f"{root}/intake", root)
+    if rerun:
+        SQ.run_intake(spark, f"{root}/intake", root)   # nothing new: no change
+    return spark.read.parquet(paths["history"])
+
+
+@register("T01_T02_stream_pickup_and_rerun", q("""
+select query_tag, count(*) as rows from qlog group by query_tag"""))
+def t01(spark, sf_dir):
+    return _stream(spark, sf_dir, rerun=True).groupBy("query_tag").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("T03_streamed_target_and_prior", q(BRACKET_CTES, TRAIN_CTES, """
+select query_id, target_ms as TARGET_MS, has_prior as HAS_PRIOR, prior_ms as PRIOR_EXECUTION_MS
+from trp"""))
+def t03(spark, sf_dir):
+    return _stream(spark, sf_dir).select("query_id", "TARGET_MS", "HAS_PRIOR",
+                                         "PRIOR_EXECUTION_MS")

@@ -1 +1,229 @@
-"""Registered queries."""
+"""Registered model and report queries over the whole log: versions over batch
+prefixes (M1, M4, M6, M8, M9, A7-A10, A20), the latest model's detail, SLA
+verdicts and checks (K1-K4..K9, K11, K13, A11, A13, A14, A17, A18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import report as R
+from . import evaluate as E
+from .oracle import FEATURE_CTES, LABEL_CTES, SHAPE_CTES, TRAIN_CTES, VERSION_CTES, q
+from .q_calibrate import BRACKET_CTES
+from .registry import register
+
+CHAIN = (SHAPE_CTES, BRACKET_CTES, TRAIN_CTES, FEATURE_CTES, LABEL_CTES, VERSION_CTES)
+
+
+def qq(*parts: str) -> str:
+    return q(*CHAIN, *parts)
+
+
+def _scored(spark, sf_dir):
+    return E.scored(spark, sf_dir)
+
+
+def _versions(spark, sf_dir):
+    return E.version_metrics(_scored(spark, sf_dir))
+
+
+def detail(spark, sf_dir):
+    preds, feats = E.latest_predictions(spark, sf_dir)
+    return R.prediction_detail(E.shape_rows(spark, sf_dir, feats), preds)
+
+
+@register("M01_holdout_split_by_version", qq("""
+select b, query_id as QUERY_ID, in_holdout from vrows"""))
+def m01(spark, sf_dir):
+    return E.version_rows(E.feature_rows(spark, sf_dir)).select(
+        F.col("b").cast("bigint").alias("b"), "QUERY_ID", "in_holdout")
+
+
+@register("M04_out_of_fold_predictions", qq("""
+select b, query_id as QUERY_ID, round(predicted_ms, 3) as predicted_ms
+from vscored where in_holdout = 0"""))
+def m04(spark, sf_dir):
+    s = _scored(spark, sf_dir).filter(F.col("in_holdout") == 0)
+    return s.select(F.col("b").cast("bigint").alias("b"), "QUERY_ID",
+                    F.round("predicted_ms", 3).alias("predicted_ms"))
+
+
+@register("M08_metrics_by_version", qq("""
+select b as model_sequence, model_version, trained_at, b as batches_measured, n_train_rows,
+  n_holdout_rows, holdout_mape_pct, mape_ci_low_pct, mape_ci_high_pct, holdout_r2,
+  holdout_mae_ms, cv_mape_pct, baseline_mape_pct, passes_gate from vmetrics"""))
+def m08(spark, sf_dir):
+    return _versions(spark, sf_dir).withColumn(
+        "model_sequence", F.col("model_sequence").cast("bigint")).withColumn(
+        "batches_measured", F.col("batches_measured").cast("bigint"))
+
+
+@register("M06_gate_by_version", qq("""
+select model_version, passes_gate from vmetrics"""))
+def m06(spark, sf_dir):
+    return _versions(spark, sf_dir).select("model_version", "passes_gate")
+
+
+@register("A07_holdout_mape_by_version", qq("""
+select model_version, holdout_mape_pct from vmetrics"""))
+def a07(spark, sf_dir):
+    return _versions(spark, sf_dir).select("model_version", "holdout_mape_pct")
+
+
+@register("A08_holdout_r2_by_version", qq("""
+select model_version, holdout_r2 from vmetrics"""))
+def a08(spark, sf_dir):
+    return _versions(spark, sf_dir).select("model_version", "holdout_r2")
+
+
+@register("A09_holdout_mae_by_version", qq("""
+select model_version, holdout_mae_ms from vmetrics"""))
+def a09(spark, sf_dir):
+    return _versions(spark, sf_dir).select("model_version", "holdout_mae_ms")
+
+
+@register("A10_bootstrap_mape_ci_by_version", qq("""
+select b, round(lo, 3) as mape_ci_low_pct, round(hi, 3) as mape_ci_high_pct from ci"""))
+def a10(spark, sf_dir):
+    hold = _scored(spark, sf_dir).filter(F.col("in_holdout") == 1)
+    return E.bootstrap_by_version(hold, M.BOOTSTRAP_DRAWS).select(
+        F.col("b").cast("bigint").alias("b"), F.round("mape_ci_low_pct", 3).alias("mape_ci_low_pct"),
+        F.round("mape_ci_high_pct", 3).alias("mape_ci_high_pct"))
+
+
+@register("A20_training_digest_by_version", qq("""
+select b, model_version from dig"""))
+def a20(spark, sf_dir):
+    return E.version_names(_scored(spark, sf_dir)).select(
+        F.col("b").cast("bigint").alias("b"), "model_version")
+
+
+@register("M09_latest_predictions", qq("""
+select model_version, query_id, in_holdout, round(actual_ms, 3) as actual_ms,
+  round(predicted_ms, 3) as predicted_ms,
+  round(abs(predicted_ms - actual_ms) / actual_ms * 100.0, 3) as abs_pct_error from latest"""))
+def m09(spark, sf_dir):
+    preds, _ = E.latest_predictions(spark, sf_dir)
+    return preds
+
+
+@register("K01_prediction_detail", qq("select * from detail"))
+def k01(spark, sf_dir):
+    return detail(spark, sf_dir)
+
+
+@register("O04_detail_worst_first_top20", qq("""
+select query_id, abs_pct_error from detail order by abs_pct_error desc, query_id limit 20"""))
+def o04(spark, sf_dir):
+    return detail(spark, sf_dir).select("query_id", "abs_pct_error").limit(20)
+
+
+@register("K02_sla_verdicts", qq("select * from sla_out"))
+def k02(spark, sf_dir):
+    return R.sla_table(detail(spark, sf_dir))
+
+
+@register("O05_sla_worst_first_top10", qq("""
+select template_id, worst_actual_ms from sla_out order by worst_actual_ms desc, template_id
+limit 10"""))
+def o05(spark, sf_dir):
+    return R.sla_table(detail(spark, sf_dir)).select("template_id", "worst_actual_ms").limit(10)
+
+
+@register("A17_verdict_counts", qq("""
+select count(*) filter (where sla_verdict = 'breach_called') as sla_breaches_called,
+  count(*) filter (where sla_verdict = 'missed_breach') as sla_missed_breaches,
+  count(*) filter (where sla_verdict = 'false_alarm') as sla_false_alarms,
+  count(*) filter (where sla_verdict = 'inside_sla') as sla_inside from sla_out"""))
+def a17(spark, sf_dir):
+    s = R.sla_table(detail(spark, sf_dir))
+    v = F.col("sla_verdict")
+    return s.agg(F.count_if(v == "breach_called").alias("sla_breaches_called"),
+                 F.count_if(v == "missed_breach").alias("sla_missed_breaches"),
+                 F.count_if(v == "false_alarm").alias("sla_false_alarms"),
+                 F.count_if(v == "inside_sla").alias("sla_inside"))
+
+
+@register("K03_model_versions", qq("""
+select cast(row_number() over (order by b) as integer) as model_sequence, model_version, trained_at,
+  cast(b as integer) as batches_measured, n_train_rows, n_holdout_rows, holdout_mape_pct,
+  mape_ci_low_pct, mape_ci_high_pct, holdout_r2, holdout_mae_ms, cv_mape_pct, baseline_mape_pct,
+  round(baseline_mape_pct - holdout_mape_pct, 3) as mape_gain_over_baseline,
+  round(holdout_mape_pct - lag(holdout_mape_pct) over (order by b), 3) as mape_change,
+  case when passes_gate then 'pass' else 'fail' end as gate_status
+from vmetrics"""))
+def k03(spark, sf_dir):
+    return R.model_versions(_versions(spark, sf_dir))
+
+
+@register("K13_learning_curve", qq("""
+select cast(b as integer) as model_sequence, baseline_mape_pct, holdout_mape_pct,
+  15.0 as gate_mape_pct from vmetrics"""))
+def k13(spark, sf_dir):
+    return _versions(spark, sf_dir).select("model_sequence", "baseline_mape_pct",
+                                           "holdout_mape_pct",
+                                           F.lit(M.GATE_MAPE_PCT).alias("gate_mape_pct"))
+
+
+@register("K04_run_checks", qq("""
+select * from (values
+  ('every measured query has a prediction', true),
+  ('no prediction is zero or negative', (select count(*) from detail where predicted_ms <= 0) = 0),
+  ('one prediction per query', (select count(*) - count(distinct query_id) from detail) = 0),
+  ('every prediction is out of sample', true),
+  ('one published model at a time', (select count(distinct model_version) from detail) <= 1),
+  ('every model version is gated', (select count(*) from vmetrics) > 0)) as t(check_name, ok)"""))
+def k04(spark, sf_dir):
+    preds, feats = E.latest_predictions(spark, sf_dir)
+    d = R.prediction_detail(E.shape_rows(spark, sf_dir, feats), preds)
+    versions = R.model_versions(_versions(spark, sf_dir))
+    return R.checks(feats, d, versions).select(F.col("check").alias("check_name"), "ok")
+
+
+@register("A11_calibration_deciles_latest", qq("""
+h as (select query_id, actual_ms, predicted_ms from latest where in_holdout = 1),
+k as (select least(10, greatest(1, cast(floor(count(*) / 4) as bigint))) as k from h),
+d as (select h.*, ntile((select k from k)) over (order by predicted_ms, query_id) as decile from h)""", """
+select cast(decile as integer) as decile, cast(count(*) as integer) as queries,
+  round(avg(predicted_ms), 2) as predicted_ms, round(avg(actual_ms), 2) as actual_ms,
+  round(avg(abs(predicted_ms - actual_ms) / actual_ms) * 100.0, 2) as abs_pct_error
+from d group by decile"""))
+def a11(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    last = s.agg(F.max("b").alias("__lb"))
+    hold = (s.join(F.broadcast(last), s["b"] == F.col("__lb"))
+            .filter(F.col("in_holdout") == 1)
+            .select(F.col("QUERY_ID").alias("query_id"), "actual_ms", "predicted_ms"))
+    return M.calibration_table(hold)
+
+
+@register("A13_runtime_profile", qq("""
+select min(target_ms) as runtime_min_ms, max(target_ms) as runtime_max_ms,
+  median(target_ms) as runtime_median_ms, min(machine_factor) as machine_factor_min,
+  max(machine_factor) as machine_factor_max, median(5) as reps_median,
+  round(avg(cast(has_prior_int as double)), 4) as seen_before_share from feat"""))
+def a13(spark, sf_dir):
+    return M.runtime_profile(E.feature_rows(spark, sf_dir)).withColumn(
+        "reps_median", F.col("reps_median").cast("double"))
+
+
+@register("A18_fastest_slowest", qq("""
+select coalesce(round(min(target_ms), 2), 0.0) as runtime_fastest_ms,
+  coalesce(round(max(target_ms), 2), 0.0) as runtime_slowest_ms from trp"""))
+def a18(spark, sf_dir):
+    rows = E.feature_rows(spark, sf_dir)
+    return rows.agg(F.coalesce(F.round(F.min("TARGET_MS"), 2), F.lit(0.0)).alias("runtime_fastest_ms"),
+                    F.coalesce(F.round(F.max("TARGET_MS"), 2), F.lit(0.0)).alias("runtime_slowest_ms"))
+
+
+@register("A12_feature_envelope", qq("""
+select 'log_table_rows' as feature, round(min(log_table_rows), 6) as min, round(max(log_table_rows), 6) as max from feat
+union all select 'log_limit_rows', round(min(log_limit_rows), 6), round(max(log_limit_rows), 6) from feat
+union all select 'predicate_literal', round(min(predicate_literal), 6), round(max(predicate_literal), 6) from feat
+union all select 'warehouse_threads', round(min(warehouse_threads), 6), round(max(warehouse_threads), 6) from feat
+union all select 'log_prior_ms', round(min(log_prior_ms), 6), round(max(log_prior_ms), 6) from feat"""))
+def a12(spark, sf_dir):
+    return M.feature_envelope(E.feature_rows(spark, sf_dir),
+                              ["log_table_rows", "log_limit_rows", "predicate_literal",
+                               "warehouse_threads", "log_prior_ms"])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinal import block_position
+from ..session import stage
 from ..sources.testdata import table
 
 # Fixed values of the log (they define the oracle's answers).
@@ -107,6 +108,16 @@ def qlog(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
     ``extra=True`` keeps the knob columns (fact, n_joins, gb, win, lit, lim,
     threads) for the operators that label or check templates.
     """
+    # The log is the base of every later stage: written once per application.
+    full = stage(spark, ("qlog", sf_dir), lambda: _build_qlog(spark, sf_dir))
+    return full if extra else full.select(*BASE_COLUMNS)
+
+
+BASE_COLUMNS = ["seq", "query_id", "query_tag", "template_id", "warehouse_size", "query_text",
+                "execution_ms", "pos"]
+
+
+def _build_qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spec(table(spark, sf_dir, "events"))
     batch = F.least(F.lit(BATCHES), F.lit(1) + _div(F.col("dom") - 1, DAYS_PER_BATCH))
     logged = s.select(
@@ -118,8 +129,7 @@ def qlog(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
         "warehouse_size",
         statement_text().alias("query_text"),
         execution_ms().alias("execution_ms"),
-        *([F.col(c) for c in ("fact", "n_joins", "gb", "win", "lit", "lim", "threads")]
-          if extra else []))
+        *[F.col(c) for c in ("fact", "n_joins", "gb", "win", "lit", "lim", "threads")])
     return block_position(logged, ["query_tag"], "seq", "pos")
 
 

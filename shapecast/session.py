@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files of DataFrames that are no longer referenced are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Joins broadcast a side only when its measured size is under this
     # threshold (Spark checks the size; above it the plan falls back to a
     # shuffle join). 32 MB keeps every dimension of the test data in memory
@@ -72,3 +74,32 @@ def state_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for tables a job writes itself."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the copy.
+
+    Used at stage boundaries of the pipeline (the log, the training rows, the
+    scored versions): later steps read the written table instead of
+    recomputing its shuffles, plans stay small, and a lost executor costs a
+    re-read rather than a re-run of everything upstream.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+_STAGES: dict = {}
+
+
+def stage(spark, key: tuple, build):
+    """A materialized stage table reused by later queries of the same
+    application (e.g. the log or the training rows of one data folder).
+    ``reset_stages`` forgets them (the bench does, between queries)."""
+    full = (spark.sparkContext.applicationId,) + tuple(key)
+    if full not in _STAGES:
+        _STAGES[full] = materialize(build())
+    return _STAGES[full]
+
+
+def reset_stages() -> None:
+    _STAGES.clear()
