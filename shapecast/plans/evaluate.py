@@ -35,7 +35,8 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.training(spark, sf_dir)
     feats = fe.featurise(rows, Q.qtables(spark, sf_dir), keys=("QUERY_ID", "QUERY_TAG"))
-    extra = rows.select("QUERY_ID", "TARGET_MS", "MACHINE_FACTOR", "REPS", "HAS_PRIOR",
+    # (has_prior is already a feature; names resolve case-insensitively)
+    extra = rows.select("QUERY_ID", "TARGET_MS", "MACHINE_FACTOR", "REPS",
                         "PRIOR_EXECUTION_MS", "EXECUTION_TIME", "TEMPLATE_ID",
                         "TEMPLATE_LABEL", "WAREHOUSE_SIZE", "seq", "pos")
     return feats.join(extra, "QUERY_ID", "inner")

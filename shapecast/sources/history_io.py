@@ -72,13 +72,14 @@ def read_batch(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return df.limit(limit) if limit else df
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType,
-              default: DataFrame | None = None) -> DataFrame:
-    """JSON documents with a schema; a missing path gives ``default``
-    (or an empty table)."""
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str,
+              default: DataFrame | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON with a schema - one document per line (what ``write_json``
+    writes) or, with ``multi_line``, one pretty-printed document per file; a
+    missing path gives ``default`` (or an empty table)."""
     if not _exists(spark, path):
         return default if default is not None else spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
