@@ -35,13 +35,16 @@ def s06(spark, sf_dir):
     return back.select("QUERY_ID", "QUERY_TEXT", "QUERY_TAG", "EXECUTION_TIME", "BYTES_SCANNED")
 
 
-@register("S01_missing_csv_is_empty", """
-select count(*) as rows from (select 1 from region where false) t""")
+@register("S01_missing_csv_reads_empty", q("""
+select query_tag as QUERY_TAG, count(*) as rows from qlog group by query_tag"""))
 def s01(spark, sf_dir):
-    path = _folder(spark, "absent") + "/nothing.csv"
-    # The region read makes the query depend on the tables; the count is 0.
-    empty = IO.read_history_csv(spark, path)
-    return empty.agg(F.count(F.lit(1)).alias("rows"))
+    """A written history CSV unioned with a path that does not exist (read as an
+    empty table of the same schema): the counts are the written ones."""
+    path = _folder(spark, "history_csv_and_absent")
+    IO.write_csv(H.history(spark, sf_dir), f"{path}/present", SC.QUERY_HISTORY_COLUMNS)
+    both = (IO.read_history_csv(spark, f"{path}/present")
+            .unionByName(IO.read_history_csv(spark, f"{path}/absent.csv")))
+    return both.groupBy("QUERY_TAG").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("S07_history_parquet_round_trip", q("""
@@ -196,3 +199,36 @@ from trp"""))
 def t03(spark, sf_dir):
     return _stream(spark, sf_dir).select("query_id", "TARGET_MS", "HAS_PRIOR",
                                          "PRIOR_EXECUTION_MS")
+
+
+@register("S04_table_index", q("""
+select upper(table_name) as table_name, coalesce(cast(row_count as bigint), 0) as rows,
+  coalesce(cast(bytes as bigint), 0) as bytes from qtables"""))
+def s04(spark, sf_dir):
+    from ..operators.shape import table_index
+    return table_index(Q.qtables(spark, sf_dir))
+
+
+@register("S12_history_layout", q("""
+select query_id as QUERY_ID, 'ANALYTICS' as DATABASE_NAME, cast(null as bigint) as BYTES_SCANNED,
+  cast(null as varchar) as ERROR_CODE, 1 as CLUSTER_NUMBER, 1 as QUERY_HASH_VERSION from qlog"""))
+def s12(spark, sf_dir):
+    """Rows conformed to the 75-column layout: filled, constant and typed-NULL columns."""
+    hist = H.history(spark, sf_dir)
+    assert hist.columns[:75] == SC.QUERY_HISTORY_COLUMNS
+    return hist.select("QUERY_ID", "DATABASE_NAME", "BYTES_SCANNED", "ERROR_CODE",
+                       "CLUSTER_NUMBER", "QUERY_HASH_VERSION")
+
+
+@register("S14_pending_intake_files", q("""
+select distinct query_tag as name from qlog
+where query_tag > (select min(query_tag) from qlog)"""))
+def s14(spark, sf_dir):
+    """Intake files not yet loaded: every batch but the first (marked loaded)."""
+    root = _folder(spark, "pending")
+    SQ.write_intake(Q.qlog(spark, sf_dir), f"{root}/intake")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
+             .load(f"{root}/intake").select(
+                 F.regexp_extract("path", r"query_tag=([^/]+)/", 1).alias("name")))
+    loaded = files.agg(F.min("name").alias("name"))
+    return files.join(loaded, "name", "left_anti").distinct()

@@ -27,5 +27,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the plan modules fills REGISTRY.
-    from . import q_shape, q_star, q_calibrate, q_features, q_model, q_report, q_io  # noqa: F401
+    from . import (q_calibrate, q_features, q_io, q_model, q_report, q_shape,  # noqa: F401
+                   q_star, q_summary)
     return REGISTRY
