@@ -104,18 +104,32 @@ def training_rows(history: DataFrame, calibration: DataFrame,
     return history.join(beside, "QUERY_ID", "inner")
 
 
+def thousandths(col: str) -> F.Column:
+    """A runtime in ms (3 decimals) as an exact integer count of microseconds
+    (thousandths of a millisecond)."""
+    return F.round(F.col(col).cast("double") * 1000).cast("bigint")
+
+
+def mean_3dp(total_thousandths: str, count: str) -> F.Column:
+    """Mean of 3-decimal values rounded half-up to 3 decimals, in exact integer
+    arithmetic: the same in every engine and for every summation order."""
+    return F.expr(f"cast((2 * {total_thousandths} + {count}) div (2 * {count}) as double) / 1000")
+
+
 def prior_table(rows: DataFrame, target: str = "TARGET_MS", tag: str = "QUERY_TAG",
                 key: str = "QUERY_PARAMETERIZED_HASH") -> DataFrame:
     """A6 core: per (shape, batch) the mean target over strictly earlier batches
     (string order of the tag). Columns key, tag, HAS_PRIOR, PRIOR_EXECUTION_MS."""
-    per_batch = rows.groupBy(key, tag).agg(F.sum(F.col(target).cast("double")).alias("__s"),
+    per_batch = rows.groupBy(key, tag).agg(F.sum(thousandths(target)).alias("__s"),
                                            F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(key).orderBy(tag).rowsBetween(W.unboundedPreceding, -1)
-    s, n = F.sum("__s").over(before), F.sum("__n").over(before)
-    return per_batch.select(
+    cum = per_batch.select(key, tag, F.sum("__s").over(before).alias("__cs"),
+                           F.sum("__n").over(before).alias("__cn"))
+    has = F.coalesce(F.col("__cn"), F.lit(0)) > 0
+    return cum.select(
         key, tag,
-        F.when(F.coalesce(n, F.lit(0)) > 0, F.lit(1)).otherwise(F.lit(0)).alias("HAS_PRIOR"),
-        F.when(F.coalesce(n, F.lit(0)) > 0, F.round(s / n, 3)).alias("PRIOR_EXECUTION_MS"))
+        F.when(has, F.lit(1)).otherwise(F.lit(0)).alias("HAS_PRIOR"),
+        F.when(has, mean_3dp("__cs", "__cn")).alias("PRIOR_EXECUTION_MS"))
 
 
 def attach_history(rows: DataFrame, target: str = "TARGET_MS", tag: str = "QUERY_TAG",
@@ -132,8 +146,9 @@ def attach_history(rows: DataFrame, target: str = "TARGET_MS", tag: str = "QUERY
 def history_index(rows: DataFrame, target: str = "TARGET_MS",
                   key: str = "QUERY_PARAMETERIZED_HASH") -> DataFrame:
     """A5: mean past runtime per shape over everything measured (3 dp)."""
-    return rows.groupBy(key).agg(F.round(F.avg(F.col(target).cast("double")), 3)
-                                 .alias("PRIOR_EXECUTION_MS"))
+    return (rows.groupBy(key).agg(F.sum(thousandths(target)).alias("__s"),
+                                  F.count(F.lit(1)).alias("__n"))
+            .select(key, mean_3dp("__s", "__n").alias("PRIOR_EXECUTION_MS")))
 
 
 def attach_prior(rows: DataFrame, index: DataFrame,

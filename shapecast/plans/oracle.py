@@ -122,13 +122,14 @@ tr as (select i.query_id, i.query_tag, h.ph, h.seq,
   round(i.execution_ms / (i.cal_s / base.b), 3) as target_ms,
   round(i.cal_s / base.b, 6) as machine_factor
   from interp i join hashed h on h.query_id = i.query_id cross join base),
-pb as (select ph, query_tag, sum(target_ms) as s, count(*) as n from tr group by ph, query_tag),
+pb as (select ph, query_tag, sum(cast(round(target_ms * 1000) as bigint)) as s, count(*) as n
+       from tr group by ph, query_tag),
 pw as (select ph, query_tag,
   sum(s) over (partition by ph order by query_tag rows between unbounded preceding and 1 preceding) as cs,
   sum(n) over (partition by ph order by query_tag rows between unbounded preceding and 1 preceding) as cn
   from pb),
 trp as (select tr.*, case when coalesce(pw.cn, 0) > 0 then 1 else 0 end as has_prior,
-  case when coalesce(pw.cn, 0) > 0 then round(pw.cs / pw.cn, 3) end as prior_ms
+  case when coalesce(pw.cn, 0) > 0 then cast((2 * pw.cs + pw.cn) // (2 * pw.cn) as double) / 1000 end as prior_ms
   from tr join pw on pw.ph = tr.ph and pw.query_tag = tr.query_tag)"""
 
 # The 13 features (needs SHAPE_CTES and TRAIN_CTES).

@@ -38,20 +38,25 @@ def a06(spark, sf_dir):
 @register("W02_prior_frame_per_shape_batch", q(BRACKET_CTES, TRAIN_CTES, """
 select ph as QUERY_PARAMETERIZED_HASH, query_tag as QUERY_TAG,
   case when coalesce(cn, 0) > 0 then 1 else 0 end as HAS_PRIOR,
-  case when coalesce(cn, 0) > 0 then round(cs / cn, 3) end as PRIOR_EXECUTION_MS from pw"""))
+  case when coalesce(cn, 0) > 0 then cast((2 * cs + cn) // (2 * cn) as double) / 1000 end as PRIOR_EXECUTION_MS
+from pw"""))
 def w02(spark, sf_dir):
     return fe.prior_table(H.training(spark, sf_dir, with_prior=False))
 
 
 @register("A05_history_index", q(BRACKET_CTES, TRAIN_CTES, """
-select ph as QUERY_PARAMETERIZED_HASH, round(avg(target_ms), 3) as PRIOR_EXECUTION_MS
+select ph as QUERY_PARAMETERIZED_HASH,
+  cast((2 * sum(cast(round(target_ms * 1000) as bigint)) + count(*)) // (2 * count(*)) as double)
+    / 1000
+    as PRIOR_EXECUTION_MS
 from tr group by ph"""))
 def a05(spark, sf_dir):
     return fe.history_index(H.training(spark, sf_dir, with_prior=False))
 
 
 @register("J04_queue_prior_lookup", q(BRACKET_CTES, TRAIN_CTES, """
-idx as (select ph, round(avg(target_ms), 3) as p from tr
+idx as (select ph, cast((2 * sum(cast(round(target_ms * 1000) as bigint)) + count(*))
+                    // (2 * count(*)) as double) / 1000 as p from tr
         where query_tag < (select max(query_tag) from qlog) group by ph),
 queue as (select h.query_id, h.ph from hashed h join qlog l on l.query_id = h.query_id
           where l.query_tag = (select max(query_tag) from qlog))""", """

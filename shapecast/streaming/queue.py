@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions import shape as S
 from ..operators import calibrate as cal
+from ..operators import features as fe
 
 INTAKE_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("query_id", T.StringType()),
@@ -73,12 +74,13 @@ def process_batch(batch: DataFrame, state: str, history: str, baseline: str) ->
             past = spark.read.parquet(state)
         except Exception:
             past = spark.createDataFrame(
-                [], "QUERY_PARAMETERIZED_HASH string, s double, n bigint, query_tag string")
+                [], "QUERY_PARAMETERIZED_HASH string, s bigint, n bigint, query_tag string")
         # Strictly earlier batches than every tag of this micro-batch.
         first = tags.agg(F.min("query_tag").alias("__t"))
         prior = (past.crossJoin(F.broadcast(first)).filter(F.col("query_tag") < F.col("__t"))
                  .groupBy("QUERY_PARAMETERIZED_HASH")
-                 .agg((F.sum("s") / F.sum("n")).alias("__p"), F.sum("n").alias("__n")))
+                 .agg(F.sum("s").alias("__s"), F.sum("n").alias("__n"))
+                 .withColumn("__p", fe.mean_3dp("__s", "__n")))
         out = (scored.join(prior, scored["QUERY_PARAMETERIZED_HASH"].eqNullSafe(
             prior["QUERY_PARAMETERIZED_HASH"]), "left").drop(prior["QUERY_PARAMETERIZED_HASH"])
             .select("query_id", "query_tag", "seq", "pos", "QUERY_PARAMETERIZED_HASH",
@@ -86,11 +88,11 @@ def process_batch(batch: DataFrame, state: str, history: str, baseline: str) ->
                     "machine_factor",
                     F.when(F.coalesce("__n", F.lit(0)) > 0, F.lit(1)).otherwise(F.lit(0))
                     .alias("HAS_PRIOR"),
-                    F.when(F.coalesce("__n", F.lit(0)) > 0, F.round("__p", 3))
+                    F.when(F.coalesce("__n", F.lit(0)) > 0, F.col("__p"))
                     .alias("PRIOR_EXECUTION_MS")))
         out = out.cache()
         sums = (out.groupBy("QUERY_PARAMETERIZED_HASH", "query_tag")
-                .agg(F.sum("TARGET_MS").alias("s"), F.count(F.lit(1)).alias("n")))
+                .agg(F.sum(fe.thousandths("TARGET_MS")).alias("s"), F.count(F.lit(1)).alias("n")))
         for df, path in ((out, history), (sums, state)):
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("query_tag").parquet(path))
