@@ -21,7 +21,11 @@ def test_dimension_joins_are_size_checked_not_forced(spark, sf_small):
     assert "ResolvedHint" not in plan   # no broadcast hint on data-sized dimensions
 
 
-def test_filter_reaches_the_scan_side(spark, sf_small):
+def test_fact_scan_reads_only_the_columns_it_needs(spark, sf_small):
     df = star_query(spark, sf_small, StarSpec(1, True, literal=20))
     text = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_partkey:bigint," in text
+    fact = [line for line in text.split("\n") if "l_extendedprice" in line and "ReadSchema" in line]
+    assert fact, text
+    schema = fact[0].split("ReadSchema: ")[1]
+    assert "l_shipdate" not in schema and "l_returnflag" not in schema
+    assert "l_orderkey" in schema and "l_partkey" in schema
