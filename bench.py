@@ -51,7 +51,10 @@ def main() -> None:
         return time.perf_counter() - t0
 
     run("P4_computed_filter_selectivity")      # warm-up
-    timings = {name: round(run(name), 3) for name in names}
+    timings = {}
+    for name in names:
+        timings[name] = round(run(name), 3)
+        print(f"[bench] {name} {timings[name]} s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings,

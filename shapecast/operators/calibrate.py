@@ -68,23 +68,28 @@ def bracket(keys: DataFrame, marks: DataFrame, tag: str, pos: str, left_value: s
          .unionByName(marks.select(tag, pos, F.lit(False).alias("__row"), lm.alias("__lm"),
                                    rm.alias("__rm")))
          .withColumn("__blk", blk))
-    w = W.partitionBy(tag, "__blk").orderBy(pos)
+    # Both frames are "everything before me" in some order - running frames
+    # that Spark updates row by row (an unbounded-following frame would be
+    # re-aggregated for every row). "After me" is "before me" in descending order.
+    up = W.partitionBy(tag, "__blk").orderBy(F.col(pos).asc())
+    down = W.partitionBy(tag, "__blk").orderBy(F.col(pos).desc())
     inblock = (u.select(
         tag, pos, "__blk", "__row",
-        F.last("__lm", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1))
+        F.last("__lm", ignorenulls=True).over(up.rangeBetween(W.unboundedPreceding, -1))
         .alias("__il"),
-        F.first("__rm", ignorenulls=True).over(w.rangeBetween(1, W.unboundedFollowing))
+        F.last("__rm", ignorenulls=True).over(down.rangeBetween(W.unboundedPreceding, -1))
         .alias("__ir"))
         .filter("__row"))
     summary = (marks.withColumn("__blk", blk).groupBy(tag, "__blk")
                .agg(F.max(lm).alias("__bl"), F.min(rm).alias("__br")))
-    bw = W.partitionBy(tag).orderBy("__blk")
+    bup = W.partitionBy(tag).orderBy(F.col("__blk").asc())
+    bdown = W.partitionBy(tag).orderBy(F.col("__blk").desc())
     blocks = (u.select(tag, "__blk").distinct().join(summary, [tag, "__blk"], "left")
               .select(tag, "__blk",
                       F.last("__bl", ignorenulls=True)
-                      .over(bw.rowsBetween(W.unboundedPreceding, -1)).alias("__cl"),
-                      F.first("__br", ignorenulls=True)
-                      .over(bw.rowsBetween(1, W.unboundedFollowing)).alias("__cr")))
+                      .over(bup.rowsBetween(W.unboundedPreceding, -1)).alias("__cl"),
+                      F.last("__br", ignorenulls=True)
+                      .over(bdown.rowsBetween(W.unboundedPreceding, -1)).alias("__cr")))
     return (inblock.join(blocks, [tag, "__blk"], "left")
             .select(tag, pos, F.coalesce("__il", "__cl").alias("__left"),
                     F.coalesce("__ir", "__cr").alias("__right"))
