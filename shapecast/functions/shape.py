@@ -31,10 +31,17 @@ LITERAL_RE = r"'[^']*'|\b\d+(?:\.\d+)?\b"
 
 # After each WHERE keyword (the split keeps the keyword with the part before).
 _AFTER_WHERE = r"(?i)(?<=\bwhere\b)"
-# Tokens of a clause: brackets, clause-ending keywords (tried before plain
-# words, so "limitx" stays a word), words, and runs of everything else.
-_TOKEN_RE = r"(?i)\(|\)|\b(?:" + CLAUSE_END_WORDS + r")\b|\w+|[^\w()]+"
+# Tokens of a clause: brackets, clause-ending keywords at a word start, and
+# maximal runs of other characters that contain no bracket and no keyword
+# start (so the fold below takes a handful of steps per clause, not one per
+# word).
+_KW = r"\b(?:" + CLAUSE_END_WORDS + r")\b"
+_TOKEN_RE = r"(?i)\(|\)|" + _KW + r"|(?:(?!" + _KW + r")[^()])+"
 _END_TOKEN_RE = r"(?i)^(?:" + CLAUSE_END_WORDS + r")$"
+# Upper-case forms, matched against upper(text): no case folding per match and
+# no lambda per element.
+_CTE_UP = r"(?:\bWITH\b|,)\s*([A-Z_][A-Z0-9_]*)\s+AS\s*\("
+_FROM_JOIN_LAST_UP = r"\b(?:FROM|JOIN)\s+(?=[A-Z_])(?:[A-Z0-9_]*\.)*([A-Z0-9_]*)"
 
 
 def clean(text: Column) -> Column:
@@ -44,16 +51,16 @@ def clean(text: Column) -> Column:
 
 def ctes(t: Column) -> Column:
     """Lower-case names of common table expressions."""
-    return F.transform(F.regexp_extract_all(t, F.lit(CTE_RE), 1), F.lower)
+    return F.transform(F.regexp_extract_all(F.upper(t), F.lit(_CTE_UP), 1), F.lower)
 
 
 def tables(t: Column) -> Column:
-    """Tables after FROM/JOIN, last dotted part, first-seen order, no CTEs."""
-    names = F.transform(F.regexp_extract_all(t, F.lit(FROM_OR_JOIN_RE), 1),
-                        lambda n: F.lower(F.element_at(F.split(n, r"\."), -1)))
-    own = ctes(t)
-    kept = F.filter(names, lambda n: ~F.array_contains(own, n))
-    return F.transform(F.array_distinct(kept), F.upper)
+    """Tables after FROM/JOIN, last dotted part, first-seen order, no CTEs,
+    upper-case. ``array_except`` keeps first occurrences in order and drops
+    the CTE names in one pass."""
+    up = F.upper(t)
+    return F.array_except(F.regexp_extract_all(up, F.lit(_FROM_JOIN_LAST_UP), 1),
+                          F.regexp_extract_all(up, F.lit(_CTE_UP), 1))
 
 
 def n_joins(t: Column) -> Column:

@@ -12,9 +12,10 @@ Both helpers below give the same numbers with bounded task sizes.
 
 ``sorted_position`` any total order. A range-partitioned sort on
                     ``(group, order key)`` splits a hot group across many
-                    tasks; the sorted table is checkpointed to the shared
-                    folder so partition membership cannot change on recompute;
-                    counts per ``(partition, group)`` give the offsets.
+                    tasks; the sorted table, tagged with its partition id, is
+                    written to the shared folder so membership cannot change
+                    on recompute; counts per ``(partition, group)`` give the
+                    offsets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 DEFAULT_BLOCK = 1 << 20
 
@@ -59,14 +60,13 @@ def sorted_position(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     key), otherwise ties are numbered arbitrarily, as in SQL.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + list(order_cols)
     ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                .withColumn("__pid", F.spark_partition_id()))
-    # Reliable checkpoint: the range bounds are sampled, so a recomputed sort
-    # could move rows between partitions; the written copy pins them.
-    ordered = ordered.checkpoint(eager=True)
+    # Written once: the range bounds are sampled, so a recomputed sort could
+    # move rows between partitions; the written copy pins each row's __pid.
+    ordered = materialize(ordered)
     per_part = ordered.groupBy("__pid", *group_cols).agg(F.count(F.lit(1)).alias("__n"))
     offsets = per_part.select(
         "__pid", *group_cols,

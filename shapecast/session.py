@@ -77,12 +77,14 @@ def state_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and continue from the copy.
+    """Checkpoint ``df`` into the shared checkpoint folder (reliable, not local)
+    and continue from the written copy.
 
     Used at stage boundaries of the pipeline (the log, the training rows, the
-    scored versions): later steps read the written table instead of
-    recomputing its shuffles, plans stay small, and a lost executor costs a
-    re-read rather than a re-run of everything upstream.
+    scored versions, range-sorted rank inputs): later steps read the written
+    data instead of recomputing its shuffles, plans stay small, and a lost
+    executor costs a re-read rather than a re-run of everything upstream.
+    (Measured at sf0.1: faster than writing and re-reading a Parquet table.)
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
