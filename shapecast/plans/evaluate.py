@@ -42,8 +42,10 @@ def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.join(extra, "QUERY_ID", "inner")
 
 
-def version_rows(feats: DataFrame, holdout_fraction: float = M.HOLDOUT_FRACTION) -> DataFrame:
-    """One copy of each row per version b that contains it, with in_holdout."""
+def version_rows(feats: DataFrame, holdout_fraction: float = M.HOLDOUT_FRACTION,
+                 latest_only: bool = False) -> DataFrame:
+    """One copy of each row per version b that contains it, with in_holdout
+    (``latest_only``: only the version with every batch, one copy per row)."""
     tags = feats.select("QUERY_TAG").distinct()
     # One row per batch: a window without partition over a tiny table.
     tags = tags.withColumn("bn", F.row_number().over(W.orderBy("QUERY_TAG")))
@@ -53,16 +55,17 @@ def version_rows(feats: DataFrame, holdout_fraction: float = M.HOLDOUT_FRACTION)
           .agg(F.count(F.lit(1)).alias("n1")))
     staged = (feats.join(F.broadcast(tags), "QUERY_TAG", "inner")
               .crossJoin(F.broadcast(meta.crossJoin(n1))))   # one row
-    staged = staged.withColumn("b", F.explode(F.sequence(F.col("bn"), F.col("nb"))))
+    staged = staged.withColumn("b", F.col("nb") if latest_only else
+                               F.explode(F.sequence(F.col("bn"), F.col("nb"))))
     hold = F.when(F.col("b") > 1, F.col("bn") == F.col("b")).otherwise(
         F.col("pos") >= F.floor(F.col("n1") * F.lit(1.0 - holdout_fraction)))
     return staged.withColumn("in_holdout", hold.cast("int")).drop("nb", "__first", "n1")
 
 
-def scored_versions(feats: DataFrame, x: str = X_FEATURE) -> DataFrame:
+def scored_versions(feats: DataFrame, x: str = X_FEATURE, latest_only: bool = False) -> DataFrame:
     """Per (b, row): x, y, actual, model prediction (OOF for training rows),
     baseline prediction (holdout rows)."""
-    v = version_rows(feats).select(
+    v = version_rows(feats, latest_only=latest_only).select(
         "b", "QUERY_ID", "QUERY_TAG", "in_holdout", "EXECUTION_TIME",
         F.col(x).cast("double").alias("__x"), F.log("TARGET_MS").alias("__y"),
         F.col("TARGET_MS").alias("__a"), MO.fold_of("QUERY_ID").alias("__fold"))
@@ -151,9 +154,8 @@ def bootstrap_by_version(hold: DataFrame, draws: int) -> DataFrame:
 def latest_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(predictions of the latest version with its model_version, feature rows)."""
     feats = feature_rows(spark, sf_dir)
-    allv = scored(spark, sf_dir)
-    last = allv.agg(F.max("b").alias("__lb"))
-    latest = allv.join(F.broadcast(last), allv["b"] == F.col("__lb"), "inner")
+    latest = stage(spark, ("scored_latest", sf_dir),
+                   lambda: scored_versions(feats, latest_only=True))
     name = version_names(latest)
     preds = latest.join(F.broadcast(name), "b").select(
         "model_version", F.col("QUERY_ID").alias("query_id"), "in_holdout",

@@ -21,6 +21,11 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Coalesced shuffle partitions stay small enough that CPU-heavy per-row
+    # stages (statement parsing) use every core on small inputs. On a cluster,
+    # set spark.sql.adaptive.advisoryPartitionSizeInBytes (e.g. 128m) with
+    # parallelismFirst=false instead.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Checkpoint files of DataFrames that are no longer referenced are removed.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Joins broadcast a side only when its measured size is under this
