@@ -77,3 +77,37 @@ def sorted_position(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     return (ordered.join(offsets, ["__pid", *group_cols], "inner")
             .withColumn(out, (F.col("__off") + F.row_number().over(local)).cast("bigint"))
             .drop("__pid", "__off"))
+
+
+def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
+                     out: str) -> DataFrame:
+    """The ``q`` quantile of ``value`` per group with linear interpolation
+    (position q * (n - 1) in ascending order, as ``percentile`` / numpy), exact,
+    without holding a group's values in one aggregation buffer: ranks come from
+    ``sorted_position`` and only the two rows around the position are kept."""
+    vals = df.select(*group_cols, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
+    ranked = sorted_position(vals, group_cols, [F.col("__v").asc()], "__r")
+    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    pos = F.lit(q) * (F.col("__n") - 1)
+    lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+    picked = (ranked.join(counts, group_cols, "inner")
+              .filter((F.col("__r") == lo) | (F.col("__r") == hi))
+              .select(*group_cols, "__v", (F.col("__r") == lo).alias("__is_lo"),
+                      (F.col("__r") == hi).alias("__is_hi"), (pos - F.floor(pos)).alias("__f")))
+    g = picked.groupBy(*group_cols).agg(
+        F.max(F.when(F.col("__is_lo"), F.col("__v"))).alias("__lo"),
+        F.max(F.when(F.col("__is_hi"), F.col("__v"))).alias("__hi"),
+        F.max("__f").alias("__f"))
+    return g.select(*group_cols, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f"))
+                    .alias(out))
+
+
+def rank_value(df: DataFrame, group_cols: list[str], value: str, rank_of_n, out: str) -> DataFrame:
+    """The value at 1-based ascending rank ``rank_of_n(n)`` per group (an exact
+    order statistic, e.g. ``lambda n: floor(n / 2) + 1`` for the upper median)."""
+    vals = df.select(*group_cols, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
+    ranked = sorted_position(vals, group_cols, [F.col("__v").asc()], "__r")
+    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    return (ranked.join(counts, group_cols, "inner")
+            .filter(F.col("__r") == rank_of_n(F.col("__n")))
+            .select(*group_cols, F.col("__v").alias(out)))

@@ -133,11 +133,11 @@ select query_tag, execution_ms as upper_median_ms from (
 where i = n // 2"""))
 def a19(spark, sf_dir):
     """sorted(values)[n // 2] per batch: the upper median, an exact order
-    statistic (percentile_disc with descending order)."""
+    statistic taken by rank (a batch may be a third of the log)."""
+    from ..operators.ordinal import rank_value
     log = Q.qlog(spark, sf_dir)
-    return log.groupBy("query_tag").agg(
-        F.expr("percentile_disc(0.5) within group (order by execution_ms desc)")
-        .alias("upper_median_ms"))
+    return rank_value(log, ["query_tag"], "execution_ms", lambda n: F.floor(n / 2) + 1,
+                      "upper_median_ms")
 
 
 @register("F09_F10_start_and_end_times", q("""

@@ -147,7 +147,12 @@ def qcal(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> Data
 
 
 def qtables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """table_name, row_count, bytes (bytes = rows x a fixed width per table)."""
+    """table_name, row_count, bytes (bytes = rows x a fixed width per table).
+    Seven counts, written once per application and reused by every lookup."""
+    return stage(spark, ("qtables", sf_dir), lambda: _build_qtables(spark, sf_dir))
+
+
+def _build_qtables(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, src).agg(F.count(F.lit(1)).alias("row_count"))
              .select(F.lit(name).alias("table_name"), "row_count",
                      (F.col("row_count") * F.lit(width)).alias("bytes"))
