@@ -79,15 +79,25 @@ def sorted_position(df: DataFrame, group_cols: list[str], order_cols: list[Colum
             .drop("__pid", "__off"))
 
 
+MAX_BUFFER_ROWS = 1_000_000
+
+
 def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
-                     out: str) -> DataFrame:
+                     out: str, max_buffer_rows: int = MAX_BUFFER_ROWS) -> DataFrame:
     """The ``q`` quantile of ``value`` per group with linear interpolation
-    (position q * (n - 1) in ascending order, as ``percentile`` / numpy), exact,
-    without holding a group's values in one aggregation buffer: ranks come from
-    ``sorted_position`` and only the two rows around the position are kept."""
+    (position q * (n - 1) in ascending order, as ``percentile`` / numpy), exact.
+
+    Spark's ``percentile`` keeps a group's values in one aggregation buffer.
+    A combinable count per group is taken first: when the largest group is
+    within ``max_buffer_rows`` that buffer is bounded and ``percentile`` is
+    used; otherwise ranks come from ``sorted_position`` and only the two rows
+    around the position are kept."""
     vals = df.select(*group_cols, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    ranked = sorted_position(vals, group_cols, [F.col("__v").asc()], "__r")
     counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    largest = counts.agg(F.max("__n")).first()[0] or 0
+    if largest <= max_buffer_rows:
+        return vals.groupBy(*group_cols).agg(F.percentile("__v", q).alias(out))
+    ranked = sorted_position(vals, group_cols, [F.col("__v").asc()], "__r")
     pos = F.lit(q) * (F.col("__n") - 1)
     lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
     picked = (ranked.join(counts, group_cols, "inner")

@@ -63,12 +63,20 @@ def calibration(spark: SparkSession, sf_dir: str, log: DataFrame | None = None)
     return out.select(*[f.name for f in SC.CALIBRATION_SCHEMA.fields])
 
 
+# The history columns later stages read (the stage table keeps only these;
+# ``history`` gives the whole 75-column layout).
+TRAINING_HISTORY_COLUMNS = ["QUERY_ID", "QUERY_TEXT", "WAREHOUSE_SIZE", "QUERY_TAG",
+                            "QUERY_HASH", "QUERY_PARAMETERIZED_HASH", "EXECUTION_TIME",
+                            "ROWS_PRODUCED", "BYTES_SCANNED", "seq", "pos"]
+
+
 def training(spark: SparkSession, sf_dir: str, with_prior: bool = True) -> DataFrame:
     """History + TARGET_MS, MACHINE_FACTOR, REPS, TEMPLATE_ID, TEMPLATE_LABEL
     (+ HAS_PRIOR, PRIOR_EXECUTION_MS from earlier batches)."""
     def build():
         log = Q.qlog(spark, sf_dir, extra=True)
-        rows = fe.training_rows(history(spark, sf_dir, log), calibration(spark, sf_dir, log))
+        hist = history(spark, sf_dir, log).select(*TRAINING_HISTORY_COLUMNS)
+        rows = fe.training_rows(hist, calibration(spark, sf_dir, log))
         return fe.attach_history(rows)
     rows = stage(spark, ("training", sf_dir), build)
     return rows if with_prior else rows.drop(*fe.HISTORY_COLUMNS)

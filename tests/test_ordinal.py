@@ -44,11 +44,12 @@ def test_exact_percentile_and_rank_value_match_the_aggregates(spark):
     df = skewed(spark, 1001)
     want = {r["g"]: (r["m"], r["q"]) for r in df.groupBy("g").agg(
         F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.9).alias("q")).collect()}
-    med = {r["g"]: r["m"] for r in exact_percentile(df, ["g"], "v", 0.5, "m").collect()}
-    p90 = {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", 0.9, "q").collect()}
-    assert set(med) == set(want)
-    for g, (m, q) in want.items():
-        assert abs(med[g] - m) < 1e-9 and abs(p90[g] - q) < 1e-9
+    for limit in (0, 10**6):   # rank path, bounded-buffer path
+        med = {r["g"]: r["m"] for r in exact_percentile(df, ["g"], "v", 0.5, "m", limit).collect()}
+        p90 = {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", 0.9, "q", limit).collect()}
+        assert set(med) == set(want)
+        for g, (m, q) in want.items():
+            assert abs(med[g] - m) < 1e-9 and abs(p90[g] - q) < 1e-9
     upper = {r["g"]: r["u"] for r in rank_value(df, ["g"], "v", lambda n: F.floor(n / 2) + 1,
                                                 "u").collect()}
     for g in want:
