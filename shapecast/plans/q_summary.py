@@ -3,7 +3,6 @@ A16, A19, F9, F10, F18)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import template_label
