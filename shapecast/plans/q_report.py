@@ -61,6 +61,21 @@ def m08(spark, sf_dir):
         "batches_measured", F.col("batches_measured").cast("bigint"))
 
 
+@register("M08_newest_version_metrics", qq("""
+select b as model_sequence, model_version, trained_at, b as batches_measured, n_train_rows,
+  n_holdout_rows, holdout_mape_pct, mape_ci_low_pct, mape_ci_high_pct, holdout_r2,
+  holdout_mae_ms, cv_mape_pct, baseline_mape_pct, passes_gate from vmetrics
+where b = (select max(b) from vmetrics)"""))
+def m08n(spark, sf_dir):
+    """The production path: only the newest version (every batch), each row
+    scored once - O(rows), the versions table grows by one row per run."""
+    latest = stage(spark, ("scored_latest", sf_dir),
+                   lambda: E.scored_versions(E.feature_rows(spark, sf_dir), latest_only=True))
+    return E.version_metrics(latest).withColumn(
+        "model_sequence", F.col("model_sequence").cast("bigint")).withColumn(
+        "batches_measured", F.col("batches_measured").cast("bigint"))
+
+
 @register("M06_gate_by_version", qq("""
 select model_version, passes_gate from vmetrics"""))
 def m06(spark, sf_dir):
