@@ -17,6 +17,7 @@ from . import history as H
 from . import qlog as Q
 from .oracle import TRAIN_CTES, q
 from .q_calibrate import BRACKET_CTES
+from .q_report import K03_SQL as REPORT_K03_SQL
 from .registry import register
 
 
@@ -232,3 +233,14 @@ def s14(spark, sf_dir):
                  F.regexp_extract("path", r"query_tag=([^/]+)/", 1).alias("name")))
     loaded = files.agg(F.min("name").alias("name"))
     return files.join(loaded, "name", "left_anti").distinct()
+
+
+@register("K03_streamed_model_versions", REPORT_K03_SQL)
+def k03s(spark, sf_dir):
+    """The learning curve built incrementally: each streamed batch trains the
+    newest version and appends it; equals the curve recomputed from the log."""
+    from ..operators import report as R
+    root = _folder(spark, "stream_versions")
+    SQ.write_intake(Q.qlog(spark, sf_dir), f"{root}/intake")
+    paths = SQ.run_intake(spark, f"{root}/intake", root, catalogue=Q.qtables(spark, sf_dir))
+    return R.model_versions(spark.read.parquet(paths["versions"]))

@@ -162,14 +162,17 @@ def a17(spark, sf_dir):
                  F.count_if(v == "inside_sla").alias("sla_inside"))
 
 
-@register("K03_model_versions", qq("""
+K03_SQL = qq("""
 select cast(row_number() over (order by b) as integer) as model_sequence, model_version, trained_at,
   cast(b as integer) as batches_measured, n_train_rows, n_holdout_rows, holdout_mape_pct,
   mape_ci_low_pct, mape_ci_high_pct, holdout_r2, holdout_mae_ms, cv_mape_pct, baseline_mape_pct,
   round(baseline_mape_pct - holdout_mape_pct, 3) as mape_gain_over_baseline,
   round(holdout_mape_pct - lag(holdout_mape_pct) over (order by b), 3) as mape_change,
   case when passes_gate then 'pass' else 'fail' end as gate_status
-from vmetrics"""))
+from vmetrics""")
+
+
+@register("K03_model_versions", K03_SQL)
 def k03(spark, sf_dir):
     return R.model_versions(_versions(spark, sf_dir))
 

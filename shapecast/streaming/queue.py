@@ -53,7 +53,8 @@ def readings(batch: DataFrame) -> DataFrame:
     return qcal(batch.sparkSession, "", batch)
 
 
-def process_batch(batch: DataFrame, state: str, history: str, baseline: str) -> None:
+def process_batch(batch: DataFrame, state: str, history: str, baseline: str,
+                  catalogue: DataFrame | None = None, versions: str | None = None) -> None:
     spark = batch.sparkSession
     batch = batch.cache()
     try:
@@ -84,6 +85,7 @@ def process_batch(batch: DataFrame, state: str, history: str, baseline: str) ->
         out = (scored.join(prior, scored["QUERY_PARAMETERIZED_HASH"].eqNullSafe(
             prior["QUERY_PARAMETERIZED_HASH"]), "left").drop(prior["QUERY_PARAMETERIZED_HASH"])
             .select("query_id", "query_tag", "seq", "pos", "QUERY_PARAMETERIZED_HASH",
+                    "query_text", "warehouse_size", "execution_ms",
                     F.col("calibrated_execution_ms").alias("TARGET_MS"),
                     "machine_factor",
                     F.when(F.coalesce("__n", F.lit(0)) > 0, F.lit(1)).otherwise(F.lit(0))
@@ -97,19 +99,26 @@ def process_batch(batch: DataFrame, state: str, history: str, baseline: str) ->
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("query_tag").parquet(path))
         out.unpersist()
+        if catalogue is not None and versions:
+            append_newest_version(spark, history, catalogue, versions)
     finally:
         batch.unpersist()
 
 
-def run_intake(spark: SparkSession, intake: str, root: str) -> dict:
-    """Process every intake file not processed before; returns the folders."""
+def run_intake(spark: SparkSession, intake: str, root: str,
+               catalogue: DataFrame | None = None) -> dict:
+    """Process every intake file not processed before; returns the folders.
+    With a ``catalogue`` every batch also trains and appends the newest model
+    version (``versions`` folder)."""
     paths = {"checkpoint": f"{root}/stream_checkpoint", "state": f"{root}/prior_state",
-             "history": f"{root}/history", "baseline": f"{root}/baseline"}
+             "history": f"{root}/history", "baseline": f"{root}/baseline",
+             "versions": f"{root}/versions"}
     stream = (spark.readStream.schema(_intake_schema())
               .option("maxFilesPerTrigger", 1).json(intake))
     query = (stream.writeStream
              .foreachBatch(lambda df, _epoch: process_batch(
-                 df, paths["state"], paths["history"], paths["baseline"]))
+                 df, paths["state"], paths["history"], paths["baseline"],
+                 catalogue, paths["versions"]))
              .option("checkpointLocation", paths["checkpoint"])
              .trigger(availableNow=True).start())
     query.awaitTermination()
@@ -120,3 +129,22 @@ def _intake_schema() -> T.StructType:
     # The tag is the partition folder name of the intake files.
     return T.StructType([f for f in INTAKE_SCHEMA.fields if f.name != "query_tag"]
                         + [T.StructField("query_tag", T.StringType())])
+
+
+def append_newest_version(spark: SparkSession, history: str, catalogue: DataFrame,
+                          versions: str) -> None:
+    """Train on every batch so far and append the newest version's metrics
+    (one row per run, partition ``model_sequence``: a re-run replaces it).
+    Each row is scored once, so a run is O(rows); earlier versions are state."""
+    from ..operators import features as fe
+    from ..plans import evaluate as E
+    rows = spark.read.parquet(history).select(
+        F.col("query_id").alias("QUERY_ID"), F.col("query_tag").alias("QUERY_TAG"),
+        F.col("query_text").alias("QUERY_TEXT"), F.col("warehouse_size").alias("WAREHOUSE_SIZE"),
+        "HAS_PRIOR", "PRIOR_EXECUTION_MS", "TARGET_MS", F.col("execution_ms").alias("EXECUTION_TIME"),
+        "seq", "pos")
+    feats = fe.featurise(rows, catalogue, keys=("QUERY_ID", "QUERY_TAG"))
+    extra = rows.select("QUERY_ID", "TARGET_MS", "EXECUTION_TIME", "seq", "pos")
+    newest = E.version_metrics(E.scored_versions(feats.join(extra, "QUERY_ID"), latest_only=True))
+    (newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model_sequence").parquet(versions))
