@@ -43,10 +43,12 @@ def project(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def featurise(df: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ("QUERY_ID",),
-              vector: str | None = None) -> DataFrame:
+              vector: str | None = None, passthrough: tuple[str, ...] = ()) -> DataFrame:
     """The 13 features in contract order (doubles), after the guard.
 
-    ``vector`` adds a Spark ML vector column of the same 13 values.
+    ``vector`` adds a Spark ML vector column of the same 13 values;
+    ``passthrough`` keeps parsed shape columns (e.g. ``table_rows``) beside
+    them, for tables that display the shape the model saw.
     """
     seen = project(df, keys)
     for c in HISTORY_COLUMNS:
@@ -75,7 +77,7 @@ def featurise(df: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ("QUE
         F.when(has_prior != 0, F.log10(prior + F.lit(1.0))).otherwise(F.lit(0.0))
         .alias("log_prior_ms"),
     ]
-    out = sized.select(*[k for k in keys], *feats)
+    out = sized.select(*[k for k in keys], *feats, *passthrough)
     if vector:
         from pyspark.ml.functions import array_to_vector
         out = out.withColumn(vector, array_to_vector(F.array(*FEATURES)))

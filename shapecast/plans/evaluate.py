@@ -34,7 +34,8 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.training(spark, sf_dir)
-    feats = fe.featurise(rows, Q.qtables(spark, sf_dir), keys=("QUERY_ID", "QUERY_TAG"))
+    feats = fe.featurise(rows, Q.qtables(spark, sf_dir), keys=("QUERY_ID", "QUERY_TAG"),
+                         passthrough=("table_rows",))
     # (has_prior is already a feature; names resolve case-insensitively)
     extra = rows.select("QUERY_ID", "TARGET_MS", "MACHINE_FACTOR", "REPS",
                         "PRIOR_EXECUTION_MS", "EXECUTION_TIME", "TEMPLATE_ID",
@@ -179,14 +180,14 @@ def version_names(scored: DataFrame) -> DataFrame:
 
 
 def shape_rows(spark: SparkSession, sf_dir: str, feats: DataFrame) -> DataFrame:
-    """Shape columns for the detail table, re-read from the statement text."""
-    from ..operators import shape as shape_op
-    log = Q.qlog(spark, sf_dir, extra=True)
+    """Shape columns for the detail table: the values the feature stage parsed
+    out of each statement's text (the same parse the model saw), with the
+    template label and batch from the log - a join, not a second parse."""
     from ..functions.text import template_label
-    parsed = shape_op.shape(log.select("query_id", "query_text", "warehouse_size", "query_tag",
-                                       "template_id", template_label().alias("template_label")),
-                            Q.qtables(spark, sf_dir))
-    return parsed.select("query_id", "template_id", "template_label",
-                         F.col("query_tag").alias("batch_name"), "warehouse_size",
-                         "n_tables", "n_joins", "has_group_by", "has_order_by", "has_window",
-                         "predicate_literal", "table_rows")
+    log = Q.qlog(spark, sf_dir, extra=True).select(
+        "query_id", "template_id", template_label().alias("template_label"),
+        F.col("query_tag").alias("batch_name"), "warehouse_size")
+    parsed = feats.select(F.col("QUERY_ID").alias("query_id"), "n_tables", "n_joins",
+                          "has_group_by", "has_order_by", "has_window", "predicate_literal",
+                          "table_rows")
+    return log.join(parsed, "query_id", "inner")
