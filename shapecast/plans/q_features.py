@@ -75,17 +75,25 @@ def j04(spark, sf_dir):
     return fe.attach_prior(queue, index).select("QUERY_ID", "PRIOR_EXECUTION_MS", "HAS_PRIOR")
 
 
+# log10 differs in the last bit between math libraries: published values are
+# rounded to 12 decimals on both sides.
+FEATURE_SQL_ROUNDED = ", ".join(f"round({c}, 12) as {c}" for c in fe.FEATURES)
+
+
 @register("P08_feature_vector", q(SHAPE_CTES, BRACKET_CTES, TRAIN_CTES, FEATURE_CTES, f"""
-select query_id as QUERY_ID, {FEATURE_SQL_COLS} from feat"""))
+select query_id as QUERY_ID, {FEATURE_SQL_ROUNDED} from feat"""))
 def p08(spark, sf_dir):
-    return features(spark, sf_dir)
+    f = features(spark, sf_dir)
+    return f.select("QUERY_ID", *[F.round(c, 12).alias(c) for c in fe.FEATURES])
 
 
 @register("F01_log_transforms", q(SHAPE_CTES, BRACKET_CTES, TRAIN_CTES, FEATURE_CTES, """
-select query_id as QUERY_ID, log_table_rows, log_limit_rows, log_prior_ms from feat"""))
+select query_id as QUERY_ID, round(log_table_rows, 12) as log_table_rows,
+  round(log_limit_rows, 12) as log_limit_rows, round(log_prior_ms, 12) as log_prior_ms from feat"""))
 def f01(spark, sf_dir):
-    return features(spark, sf_dir).select("QUERY_ID", "log_table_rows", "log_limit_rows",
-                                          "log_prior_ms")
+    return features(spark, sf_dir).select(
+        "QUERY_ID", *[F.round(c, 12).alias(c) for c in ("log_table_rows", "log_limit_rows",
+                                                         "log_prior_ms")])
 
 
 @register("P01_projection_guard", q(BRACKET_CTES, TRAIN_CTES, """

@@ -49,14 +49,17 @@ def s01(spark, sf_dir):
 
 
 @register("S07_history_parquet_round_trip", q("""
-select query_tag as QUERY_TAG, count(*) as rows, sum(execution_ms) as total_ms from qlog
+select query_tag as QUERY_TAG, count(*) as rows,
+  cast(sum(cast(execution_ms as decimal(18, 3))) as double) as total_ms from qlog
 group by query_tag"""))
 def s07(spark, sf_dir):
     path = _folder(spark, "history_parquet")
     IO.write_parquet(H.history(spark, sf_dir), path, partition_by=["QUERY_TAG"])
     back = spark.read.parquet(path)
-    return back.groupBy("QUERY_TAG").agg(F.count(F.lit(1)).alias("rows"),
-                                         F.sum("EXECUTION_TIME").alias("total_ms"))
+    return back.groupBy("QUERY_TAG").agg(
+        F.count(F.lit(1)).alias("rows"),
+        # 3-decimal runtimes summed exactly: the same in any order and engine
+        F.sum(F.col("EXECUTION_TIME").cast("decimal(18,3)")).cast("double").alias("total_ms"))
 
 
 @register("S02_coerced_csv_read", q("""

@@ -220,12 +220,13 @@ def a11(spark, sf_dir):
 
 @register("A13_runtime_profile", qq("""
 select min(target_ms) as runtime_min_ms, max(target_ms) as runtime_max_ms,
-  median(target_ms) as runtime_median_ms, min(machine_factor) as machine_factor_min,
+  round(median(target_ms), 6) as runtime_median_ms, min(machine_factor) as machine_factor_min,
   max(machine_factor) as machine_factor_max, median(5) as reps_median,
   round(avg(cast(has_prior_int as double)), 4) as seen_before_share from feat"""))
 def a13(spark, sf_dir):
-    return M.runtime_profile(E.feature_rows(spark, sf_dir)).withColumn(
-        "reps_median", F.col("reps_median").cast("double"))
+    return (M.runtime_profile(E.feature_rows(spark, sf_dir))
+            .withColumn("reps_median", F.col("reps_median").cast("double"))
+            .withColumn("runtime_median_ms", F.round("runtime_median_ms", 6)))
 
 
 @register("A18_fastest_slowest", qq("""
