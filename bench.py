@@ -1,8 +1,8 @@
 """Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query's full result is produced (``noop`` sink: every row computed, none
-collected), in its own SparkContext. Timing protocol as the reference's: one
-warm-up run, then
+collected), each query in its own process. Timing protocol as the
+reference's: one warm-up run, then
 $BENCH_REPS (default 3) timed runs, the median is reported. Stage tables are
 dropped before every run, so each timing includes everything the query
 derives from the raw tables.
@@ -36,38 +36,49 @@ HEADLINE = [
 ]
 
 
-def main() -> None:
-    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
+def time_one(name: str, sf_dir: str, cpus: int) -> float:
+    """Warm-up run, then the median of $BENCH_REPS timed runs of one query."""
     from shapecast.plans.registry import load_all
     from shapecast.session import get_spark, reset_stages
-    reg = load_all()
-    names = sys.argv[1:] or HEADLINE
+    spark = get_spark(f"local[{cpus}]", max(8, 2 * cpus),
+                      extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+    builder = load_all()[name][0]
     reps = int(os.environ.get("BENCH_REPS", "3"))
 
-    def session():
-        return get_spark(f"local[{cpus}]", max(8, 2 * cpus),
-                         extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
-
-    def run(spark, name):
+    def run():
         reset_stages()
         t0 = time.perf_counter()
-        reg[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        builder(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    # Each query gets its own SparkContext (same JVM, so compiled code stays
-    # warm): state one query leaves behind (checkpointed stages, shuffle files,
-    # broadcasts) is not billed to the next one.
+    run()                                          # warm-up
+    runs = sorted(run() for _ in range(reps))
+    print(f"[bench] {name} {runs[len(runs) // 2]:.3f} s (runs {[round(r, 2) for r in runs]})",
+          file=sys.stderr, flush=True)
+    spark.stop()
+    return runs[len(runs) // 2]
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    if len(sys.argv) == 3 and sys.argv[1] == "--one":
+        print(json.dumps({"value": time_one(sys.argv[2], sf_dir, cpus)}))
+        return
+    # Each query runs in its own process (its own JVM): state one query leaves
+    # behind (checkpointed stages, shuffle files, heap) is not billed to the
+    # next. JVM start-up stays outside the timings (warm-up run first).
+    import subprocess
     timings = {}
-    for name in names:
-        spark = session()
-        run(spark, name)                           # warm-up
-        runs = sorted(run(spark, name) for _ in range(reps))
-        timings[name] = round(runs[len(runs) // 2], 3)
-        print(f"[bench] {name} {timings[name]} s (runs {[round(r, 2) for r in runs]})",
-              file=sys.stderr, flush=True)
-        reset_stages()
-        spark.stop()
+    for name in sys.argv[1:] or HEADLINE:
+        out = subprocess.run([sys.executable, os.path.abspath(__file__), "--one", name],
+                             capture_output=True, text=True, timeout=3600)
+        sys.stderr.write("".join(l + "\n" for l in out.stderr.splitlines()
+                                 if l.startswith("[bench]")))
+        lines = [l for l in out.stdout.splitlines() if l.startswith("{")]
+        if out.returncode != 0 or not lines:
+            raise SystemExit(f"bench query {name} failed:\n{out.stderr[-2000:]}")
+        timings[name] = round(json.loads(lines[-1])["value"], 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings,
