@@ -12,6 +12,7 @@ Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -47,6 +48,8 @@ def time_one(name: str, sf_dir: str, cpus: int) -> float:
 
     def run():
         reset_stages()
+        gc.collect()        # drop the previous run's DataFrames (see session.py cleaner)
+        time.sleep(1)
         t0 = time.perf_counter()
         builder(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0

@@ -26,8 +26,12 @@ DEFAULT_CONF = {
     # set spark.sql.adaptive.advisoryPartitionSizeInBytes (e.g. 128m) with
     # parallelismFirst=false instead.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
-    # Checkpoint files of DataFrames that are no longer referenced are removed.
+    # Checkpoint files of DataFrames that are no longer referenced are removed,
+    # and the cleaner's JVM collection runs often enough (default: 30 min) for
+    # a long pipeline's dead checkpoints, shuffles and broadcasts to go away
+    # between stages instead of piling up.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.cleaner.periodicGC.interval": "15s",
     # Joins broadcast a side only when its measured size is under this
     # threshold (Spark checks the size; above it the plan falls back to a
     # shuffle join). 32 MB keeps every dimension of the test data in memory
