@@ -27,3 +27,12 @@ def op10_warc_round_trip(spark, sf_dir):
     """Every page into archives and back."""
     from .warc_shards import read_archives, write_archives
     return read_archives(*write_archives(table(spark, sf_dir, "pages")))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf_dir):
+    """Every document into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    from .fit_packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
