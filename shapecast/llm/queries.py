@@ -36,3 +36,13 @@ def op9_best_fit_packing(spark, sf_dir):
 
     from .fit_packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark, sf_dir):
+    """Every text to ids and back."""
+    import public_tokenizers
+
+    from .byte_bpe import digests, encode, load_ranks
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
