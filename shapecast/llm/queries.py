@@ -46,3 +46,25 @@ def op5_byte_bpe(spark, sf_dir):
     from .byte_bpe import digests, encode, load_ranks
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as e from embeddings
+  where embedding is not null and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, x -> not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 20"""
+
+
+@query("op2_pivot_top_k", OP2_SQL)
+def op2_pivot_top_k(spark, sf_dir):
+    """The 20 highest inner products of every twentieth vector over all others."""
+    from pyspark.sql import functions as F
+
+    from .pivot_search import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
