@@ -50,9 +50,9 @@ def op5_byte_bpe(spark, sf_dir):
 
 OP2_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
   where embedding is not null and list_count(embedding) = len(embedding)
-    and len(list_filter(embedding, x -> not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
@@ -68,3 +68,39 @@ def op2_pivot_top_k(spark, sf_dir):
 
     from .pivot_search import top_k
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP6_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (
+  select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+win as (
+  select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g
+  from (select doc_id, ws, unnest(generate_series(1, len(ws) - 7)) as i from w)),
+rep as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from win) where c > 1),
+cov as (
+  select doc_id, count(distinct i + k) as n from rep, (select unnest(generate_series(0, 7)) as k) group by doc_id),
+m as (
+  select w.doc_id, t, ls, len(ws)::bigint as n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+         coalesce(cov.n, 0)::bigint as n_repeat_words,
+         length(regexp_replace(t, '[^\p{L}]', '', 'g')) as letters,
+         length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) as uppers
+  from w left join cov using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or n_symbols > n_words * 0.5 or word_chars < 2 * greatest(n_words, 1)
+            or word_chars > 25 * greatest(n_words, 1) or (len(ls) >= 4 and n_dup_lines > 0.5 * len(ls))
+            or uppers > 0.6 * letters or letters < 0.3 * word_chars) as kept
+from b"""
+
+
+@query("op6_rule_cascade", OP6_SQL)
+def op6_rule_cascade(spark, sf_dir):
+    """Measures and verdict of every text."""
+    from .rule_cascade import judge
+    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
