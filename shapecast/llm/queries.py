@@ -104,3 +104,10 @@ def op6_rule_cascade(spark, sf_dir):
     """Measures and verdict of every text."""
     from .rule_cascade import judge
     return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+@query("op3_disclosure")
+def op3_disclosure(spark, sf_dir):
+    """Personal data, and the terms that disclose it, in every text."""
+    from .disclosure import find_spans, report
+    return report(find_spans(table(spark, sf_dir, "documents")))
