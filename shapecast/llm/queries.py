@@ -111,3 +111,10 @@ def op3_disclosure(spark, sf_dir):
     """Personal data, and the terms that disclose it, in every text."""
     from .disclosure import find_spans, report
     return report(find_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op8_kneser_ney_quality")
+def op8_kneser_ney_quality(spark, sf_dir):
+    """Perplexity and verdict of every text."""
+    from .kneser_ney import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
