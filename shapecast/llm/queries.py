@@ -118,3 +118,10 @@ def op8_kneser_ney_quality(spark, sf_dir):
     """Perplexity and verdict of every text."""
     from .kneser_ney import classify
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_lsh_forest_join")
+def op7_lsh_forest_join(spark, sf_dir):
+    """Class, copies and links of every text, at a similarity of 0.8 on five words."""
+    from .lsh_forest import join_classes
+    return join_classes(table(spark, sf_dir, "documents")).drop("text_hash", "copy")
