@@ -21,7 +21,9 @@ gives no rows; very long texts are cut; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,39 +36,78 @@ from .common import texts, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-#: Chunks of a text (between white space) whose ids a worker remembers.
-CACHE = 600_000
+#: Words, and chunks of a text (between white space), whose ids a worker remembers.
+CACHE, CHUNKS = 500_000, 300_000
 #: Longer chunks are encoded each time.
 CACHE_BYTES = 64
 #: Parts into which the pieces of one length are dealt to be numbered.
 RANK_PARTS = 256
 
 
+#: Chunks in which letters are plain: their words are told apart and lower-cased here.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: The vocabulary's own pattern, for lower-cased plain chunks.
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+").findall
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes. The vocabulary never
-    joins across white space, so a text is encoded chunk by chunk, each distinct
-    chunk once; the memory for chunks is bounded and starts anew when full."""
+    joins across white space, so a text is encoded chunk by chunk, and a plain
+    chunk word by word; each distinct one is encoded once. The memory for chunks
+    and words is bounded: chunks stop being added, words start anew when full."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, new: list[str]) -> None:
+        """Words are encoded many in a text: each one's last id is marked as such."""
+        for at in range(0, len(new), 5000):
+            some = new[at:at + 5000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(some):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            for w, piece in zip(some, np.split(ids, last[:-1])):
+                self.words[w] = piece.tobytes()
 
     def __call__(self, chunks_of: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = set().union(*chunks_of).difference(known) if chunks_of else set()
-        long = {}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for chunk, e in zip(some, self.tok.encode_batch([c.decode() for c in some], add_special_tokens=False)):
-                (known if len(chunk) <= CACHE_BYTES else long)[chunk] = np.array(e.ids, "<u4").tobytes()
-        if not long:
-            return [b"".join(map(known.__getitem__, c)) for c in chunks_of]
-        return [b"".join(long[x] if x in long else known[x] for x in c) for c in chunks_of]
+        known, words = self.known, self.words
+        if len(words) > CACHE:
+            words.clear()
+        mine: dict[bytes, bytes] = {}
+        parts, odd = {}, []
+        for c in set().union(*chunks_of).difference(known) if chunks_of else ():
+            text = c.decode()
+            if "<|" not in text and PLAIN(text):
+                parts[c] = PLAIN_WORDS(text.lower())
+            else:
+                odd.append(c)
+        self._learn(list(set().union(*parts.values()).difference(words)))
+        for c, e in zip(odd, self.tok.encode_batch([c.decode() for c in odd], add_special_tokens=False)):
+            mine[c] = np.array(e.ids, "<u4").tobytes()
+        for c, p in parts.items():
+            mine[c] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
+        room = CHUNKS - len(known)
+        if room > 0:
+            known.update((c, x) for c, x in itertools.islice(mine.items(), room) if len(c) <= CACHE_BYTES)
+        return [b"".join([known[x] if x in known else mine[x] for x in c]) for c in chunks_of]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(vocabulary: str) -> ChunkEncoder:
+    """A worker's encoder, kept between its tasks."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = ChunkEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1) -> DataFrame:
@@ -75,7 +116,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1)
     step = 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ChunkEncoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             raw = [t.encode("utf-8", "replace") for t in batch["text"]]
             for at in range(0, len(raw), 1000):

@@ -18,7 +18,7 @@ def whole(text):
 
 def test_chunks_equal_the_library():
     odd = ["", " ", "Hello  World's\tx\n\n y", "<|endoftext|>a <|startoftext|>", "é é ΑΣ ΟΔΟΣ x ﬁ İ", "x" * 500,
-           "a　b ́c", "don't WE'LL 123 4.5 €€ 日本語", "\x1c \x85y \x00"]
+           "a　b ́c", "don't WE'LL 123 4.5 €€ 日本語", "\x1c \x85y \x00", "L'été ÀÉÎ ÿ's't 1'2 ß×÷ ª º µm ---'ll 'Re 12a3"]
     enc = ChunkEncoder(VOC)
     for t, ids in zip(odd, enc([t.encode().split() for t in odd])):
         assert np.frombuffer(ids, "<u4").tolist() == whole(t), t
