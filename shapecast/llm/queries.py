@@ -125,3 +125,10 @@ def op7_lsh_forest_join(spark, sf_dir):
     """Class, copies and links of every text, at a similarity of 0.8 on five words."""
     from .lsh_forest import join_classes
     return join_classes(table(spark, sf_dir, "documents")).drop("text_hash", "copy")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    """What stays of every text when strings of 100 bytes that start earlier are removed."""
+    from .suffix_dedup import removals
+    return removals(table(spark, sf_dir, "documents")).drop("runs")
