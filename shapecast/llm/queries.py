@@ -132,3 +132,10 @@ def op4_suffix_dedup(spark, sf_dir):
     """What stays of every text when strings of 100 bytes that start earlier are removed."""
     from .suffix_dedup import removals
     return removals(table(spark, sf_dir, "documents")).drop("runs")
+
+
+@query("op1_brown_lm")
+def op1_brown_lm(spark, sf_dir):
+    """Every text under the class model learnt from the rows that are not held out."""
+    from .brown_lm import score
+    return score(table(spark, sf_dir, "documents"))
