@@ -35,6 +35,8 @@ PIVOTS = 16
 SAMPLE = 1024
 BLOCK_ROWS, MAX_BLOCKS = 4096, 2048
 QUERY_ROWS = 8192
+#: Candidates evaluated first, those of the highest bounds.
+FIRST = 128
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -72,8 +74,8 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products; in doubles where these are exact."""
-    if not len(x) or np.sqrt((x * x).sum(1).max() * (q * q).sum()) < 2**52:
-        return (x @ q).astype(np.int64)
+    if x.dtype == np.float32 or not len(x) or np.sqrt((x * x).sum(1).max() * (q * q).sum()) < 2**52:
+        return np.rint(x @ q.astype(x.dtype)).astype(np.int64)
     to_int = np.vectorize(int, otypes=[object])
     exact = to_int(x) @ to_int(q)
     return np.array([max(-2**63, min(2**63 - 1, int(s))) for s in exact], dtype=np.int64)
@@ -85,23 +87,32 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _search(query_id, q, dq, floor_score, ids, x, dist, norm2, slack, k):
-    """The block's best for one query, evaluated in bound order."""
-    low = np.abs(dist - dq).max(axis=1) - slack
-    np.maximum(low, 0, out=low)
+    """The block's best for one query, evaluated in bound order. ``dist`` has a row for each pivot."""
+    low, away = np.zeros(len(ids), dist.dtype), np.empty(len(ids), dist.dtype)
+    for row, d in zip(dist, dq):
+        np.subtract(row, d, out=away)
+        np.abs(away, out=away)
+        np.maximum(low, away, out=low)
+    low = np.maximum(low - slack, 0)
     bound = (norm2 + (q * q).sum() - low * low) / 2 + slack
-    order = np.flatnonzero((bound >= floor_score) & (ids != query_id))
-    order = order[np.argsort(-bound[order], kind="stable")]
+    bound[ids == query_id] = -np.inf
     best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-    at, step = 0, 128
-    while at < len(order):
-        if len(best) == k and bound[order[at]] < best[-1]:
-            break
-        some = order[at:at + step]
-        best_ids, best = _best(np.r_[best_ids, ids[some]], np.r_[best, _scores(x[some], q)], k)
-        at += len(some)
-        step *= 2
-    keep = best >= floor_score
-    return best_ids[keep], best[keep]
+    left = np.flatnonzero(bound >= floor_score)
+    step = FIRST
+    while len(left):
+        # the next candidates in the order of their bounds
+        if len(left) > step:
+            some = left[np.argpartition(-bound[left], step)[:step]]
+        else:
+            some = left
+        scores = _scores(x, q)[some] if len(some) * 4 > len(x) else _scores(x[some], q)
+        good = scores >= (best[-1] if len(best) == k else floor_score)
+        best_ids, best = _best(np.r_[best_ids, ids[some[good]]], np.r_[best, scores[good]], k)
+        bound[some] = -np.inf
+        # whatever is bounded below the k-th score is never evaluated
+        left = left[bound[left] >= max(floor_score, best[-1] if len(best) == k else floor_score)]
+        step = len(x)
+    return best_ids, best
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id",
@@ -145,7 +156,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_
     low, high = (np.array([r[c] for r in blocks]).reshape(len(blocks), len(pivots)) for c in ("low", "high"))
     norm = np.array([r["norm"] for r in blocks])
     number = [r["block"] for r in blocks]
-    slack = 1e-6 * (1 + float(np.sqrt(norm.max())) if len(norm) else 1)
+    slack = 1e-5 * (1 + float(norm.max()) if len(norm) else 1)     # covers the rounding of 32-bit bounds
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A query's threshold from the sample, and the blocks that may reach it."""
@@ -169,7 +180,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_
         if not len(block) or not len(asked):
             return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in FOUND.split(", ")})
         x = _matrix(block["v"], dims)
-        ids, dist, norm2 = block["vec_id"].to_numpy(np.int64), _distances(x, pivots), (x * x).sum(1)
+        ids, norm2 = block["vec_id"].to_numpy(np.int64), (x * x).sum(1)
+        dist = np.ascontiguousarray(_distances(x, pivots).T, np.float32)
+        small = max(norm2.max(), max(float(np.square(v).sum()) for v in asked["q"])) < 2**22
+        if small:                                        # sums of such products are exact in 32 bits
+            x, norm2 = x.astype(np.float32), norm2.astype(np.float32)
         found = []
         for query, v, least in zip(asked["query_id"], asked["q"], asked["least"]):
             q = np.asarray(v, float)
