@@ -1,8 +1,10 @@
 """Statement shape as column expressions (no Python UDF, no parser object).
 
 Each function takes a string Column holding SQL text and returns a Column, so
-``df.select(...)`` extracts the shape of every statement of a query log inside
-whole-stage code generation, one row at a time, wherever the rows live.
+``df.select(...)`` extracts the shape of every statement of a query log in the
+JVM, wherever the rows live. Plain functions run inside whole-stage code
+generation; the higher-order ones (transform, filter, aggregate) are evaluated
+row by row beside it.
 
 The patterns below are fixed values: they define which answers count as right
 (tables named after FROM/JOIN, CTE names, flags, LIMIT, WHERE predicates and
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: the patterns the shape is read with -----------------------
 COMMENT_RE = r"(?s)--[^\n]*|/\*.*?\*/"
-CTE_RE = r"(?i)(?:\bwith\b|,)\s*([a-z_][a-z0-9_]*)\s+as\s*\("
-FROM_OR_JOIN_RE = r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"
 JOIN_RE = r"(?i)\bjoin\b"
 GROUP_BY_RE = r"(?i)\bgroup\s+by\b"
 ORDER_BY_RE = r"(?i)\border\s+by\b"
@@ -72,9 +72,9 @@ def flag(t: Column, pattern: str) -> Column:
 
 
 def limit_rows(t: Column) -> Column:
-    """The largest LIMIT n, else 0."""
+    """The largest LIMIT n, else 0; a number beyond 2^63 counts as 2^63 - 1."""
     values = F.transform(F.regexp_extract_all(t, F.lit(LIMIT_RE), 1),
-                         lambda v: v.cast("bigint"))
+                         lambda v: F.coalesce(v.try_cast("bigint"), F.lit(2**63 - 1)))
     return F.coalesce(F.array_max(values), F.lit(0).cast("bigint"))
 
 
@@ -139,22 +139,3 @@ def query_hash(text: Column) -> Column:
 def parameterized_hash(text: Column) -> Column:
     """X11: the same after quoted strings and bare numbers became '?'."""
     return query_hash(F.regexp_replace(text, LITERAL_RE, "?"))
-
-
-def parse_columns(text: Column, prefix: str = "") -> list[Column]:
-    """X1-X9 as named columns: tables, n_tables, n_joins, the three flags,
-    limit_rows, n_predicates, predicate_literal."""
-    t = clean(text)
-    tabs = tables(t)
-    clauses = where_clauses(t)
-    return [
-        tabs.alias(prefix + "tables"),
-        F.size(tabs).alias(prefix + "n_tables"),
-        n_joins(t).alias(prefix + "n_joins"),
-        flag(t, GROUP_BY_RE).alias(prefix + "has_group_by"),
-        flag(t, ORDER_BY_RE).alias(prefix + "has_order_by"),
-        flag(t, WINDOW_RE).alias(prefix + "has_window"),
-        limit_rows(t).alias(prefix + "limit_rows"),
-        n_predicates(clauses).alias(prefix + "n_predicates"),
-        predicate_literal(clauses).alias(prefix + "predicate_literal"),
-    ]

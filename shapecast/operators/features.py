@@ -60,7 +60,7 @@ def featurise(df: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ("QUE
         seen = seen.withColumn("__key", F.monotonically_increasing_id())
         key = "__key"
     parsed = shape_op.with_shape(seen, "QUERY_TEXT")
-    sized = shape_op.with_table_sizes(parsed, catalogue, key_col=key)
+    sized = shape_op.with_table_sizes(parsed, catalogue)
     has_prior = F.coalesce(F.col("HAS_PRIOR").cast("double"), F.lit(0.0))
     prior = F.coalesce(F.col("PRIOR_EXECUTION_MS").cast("double"), F.lit(0.0))
     d = lambda c: F.col(c).cast("double")

@@ -135,7 +135,7 @@ def feature_envelope(features: DataFrame, names: list[str]) -> DataFrame:
 def runtime_profile(rows: DataFrame) -> DataFrame:
     """Target and drift profile of a training set (one row). Medians are
     exact order statistics by rank (the whole table is one group)."""
-    from .ordinal import exact_percentile
+    from .ordinal import exact_percentiles
     one = rows.withColumn("__all", F.lit(1))
     base = one.groupBy("__all").agg(
         F.min("TARGET_MS").alias("runtime_min_ms"), F.max("TARGET_MS").alias("runtime_max_ms"),
@@ -143,9 +143,9 @@ def runtime_profile(rows: DataFrame) -> DataFrame:
         F.max("MACHINE_FACTOR").alias("machine_factor_max"),
         F.round(F.avg(F.coalesce(F.col("HAS_PRIOR").cast("double"), F.lit(0.0))), 4)
         .alias("seen_before_share"))
-    med = exact_percentile(one, ["__all"], "TARGET_MS", 0.5, "runtime_median_ms")
-    reps = exact_percentile(one, ["__all"], "REPS", 0.5, "reps_median")
-    return (base.join(med, "__all").join(reps, "__all").select(
+    medians = exact_percentiles(one, ["__all"], {"TARGET_MS": "runtime_median_ms",
+                                                 "REPS": "reps_median"}, 0.5)
+    return (base.join(medians, "__all", "left").select(
         "runtime_min_ms", "runtime_max_ms", "runtime_median_ms", "machine_factor_min",
         "machine_factor_max", "reps_median", "seen_before_share"))
 

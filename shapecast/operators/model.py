@@ -175,41 +175,29 @@ def permutation_importance(model, holdout: DataFrame, key: str = "QUERY_ID",
                            target: str = "TARGET_MS", repeats: int = 15) -> DataFrame:
     """M5: drop in log-ms MAE when one feature is permuted, mean of ``repeats``.
 
-    Permutation r of the n holdout rows is the affine map
-    pos -> (a_r * pos + b_r) mod n with gcd(a_r, n) = 1 (portable, no random
-    state). All features x repeats are scored in one job: the holdout is
-    exploded into (feature, repeat) copies whose feature value is looked up at
-    the permuted position by an equi-join.
+    Permutation r gives the row at place p (in the order of the key) the values
+    of the row at place p in the order of md5(key:r): portable, no random state,
+    and no structure of the keys survives. Each repeat is one copy of the holdout
+    with its donor; the features are taken one by one after the donor join.
     """
-    from math import gcd
-    from .ordinal import sorted_position
-    base = labelled(holdout, target)
-    n = base.count()
-    if n == 0:
+    from .ordinal import join_same, sorted_position
+    base = labelled(holdout, target).select(key, "label", *FEATURES)
+    if base.isEmpty():
         return base.sparkSession.createDataFrame([], "feature string, importance double")
-    pos = sorted_position(base, [], [F.col(key).asc()], "__pos").withColumn(
-        "__pos", F.col("__pos") - 1)
-    mults, a = [], 2
-    while len(mults) < repeats:
-        a += 1
-        if gcd(a, n) == 1 or n == 1:
-            mults.append(a)
-    plan = F.array(*[F.struct(F.lit(i).alias("r"), F.lit(m).alias("a"), F.lit(7 * i + 1).alias("b"))
-                     for i, m in enumerate(mults)])
-    feats = F.array(*[F.lit(f) for f in FEATURES])
-    copies = (pos.select("*", F.explode(plan).alias("__p"))
-              .select("*", F.explode(feats).alias("__feature"))
-              .withColumn("__src", F.pmod(F.col("__p.a") * F.col("__pos") + F.col("__p.b"), F.lit(n))))
-    donors = pos.select(F.col("__pos").alias("__src"),
-                        F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f))])
-                        .alias("__vals"))
-    permuted = copies.join(donors, "__src", "inner")
+    copies = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("__r"))
+    own = sorted_position(copies, ["__r"], [F.col(key).asc()], "__pos")
+    shuffled = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("__r").cast("string")))
+    donors = sorted_position(copies.select("__r", F.struct(*FEATURES).alias("__vals"),
+                                           shuffled.alias("__m"), F.col(key).alias("__k")),
+                             ["__r"], [F.col("__m").asc(), F.col("__k").asc()], "__pos")
+    paired = join_same(own, donors.select("__r", "__pos", "__vals"), ["__r", "__pos"])
+    permuted = paired.select("*", F.explode(F.array(*[F.lit(f) for f in FEATURES])).alias("__feature"))
     for f in FEATURES:
         permuted = permuted.withColumn(
-            f, F.when(F.col("__feature") == f, F.element_at("__vals", F.lit(f))).otherwise(F.col(f)))
+            f, F.when(F.col("__feature") == f, F.col("__vals")[f]).otherwise(F.col(f)))
     scored = model.transform(permuted.drop("__vals"))
     err = F.abs(F.col("prediction") - F.col("label"))
-    per_repeat = scored.groupBy("__feature", "__p.r").agg(F.avg(err).alias("__mae"))
+    per_repeat = scored.groupBy("__feature", "__r").agg(F.avg(err).alias("__mae"))
     baseline = model.transform(base).agg(
         F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("__base"))
     return (per_repeat.groupBy("__feature").agg(F.avg("__mae").alias("__m"))

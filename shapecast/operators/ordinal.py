@@ -12,10 +12,12 @@ Both helpers below give the same numbers with bounded task sizes.
 
 ``sorted_position`` any total order. A range-partitioned sort on
                     ``(group, order key)`` splits a hot group across many
-                    tasks; the sorted table, tagged with its partition id, is
-                    written to the shared folder so membership cannot change
-                    on recompute; counts per ``(partition, group)`` give the
-                    offsets.
+                    tasks; the sorted rows are numbered and written to the
+                    shared folder so that no number changes on recompute; the
+                    least number and the count per ``(partition, group)`` give
+                    the offsets, without a second sort.
+
+NULL group keys are a group of their own, as in ``group by``.
 """
 
 from __future__ import annotations
@@ -46,12 +48,22 @@ def block_position(df: DataFrame, group_cols: list[str], ordinal: str, out: str,
             W.partitionBy(*group_cols).orderBy(blk)
             .rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     local = W.partitionBy(*group_cols, blk).orderBy(ordinal)
-    return (staged.join(offsets, [*group_cols, blk], "inner")
+    return (join_same(staged, offsets, [*group_cols, blk])
             .withColumn(out, (F.col("__off") + F.row_number().over(local) - 1 + base)
                         .cast("bigint"))
             .drop(blk, "__off"))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL, as grouping does; the keys and
+    columns of ``left`` stay, then the other columns of ``right``."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"__right_{k}"])
+    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def sorted_position(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                     out: str, partitions: int | None = None) -> DataFrame:
     """``row_number() over (partition by group_cols order by order_cols)``, from 1.
@@ -59,57 +71,61 @@ def sorted_position(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     ``order_cols`` must make the order total inside a group (end with a unique
     key), otherwise ties are numbered arbitrarily, as in SQL.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + list(order_cols)
-    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-               .withColumn("__pid", F.spark_partition_id()))
+    # Without a number of partitions the adaptive planner sizes them from the data.
+    dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     # Written once: the range bounds are sampled, so a recomputed sort could
-    # move rows between partitions; the written copy pins each row's __pid.
-    ordered = materialize(ordered)
-    per_part = ordered.groupBy("__pid", *group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = per_part.select(
-        "__pid", *group_cols,
-        F.coalesce(F.sum("__n").over(
-            W.partitionBy(*group_cols).orderBy("__pid")
-            .rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    local = W.partitionBy("__pid", *group_cols).orderBy(*order_cols)
-    return (ordered.join(offsets, ["__pid", *group_cols], "inner")
-            .withColumn(out, (F.col("__off") + F.row_number().over(local)).cast("bigint"))
-            .drop("__pid", "__off"))
-
-
-MAX_BUFFER_ROWS = 1_000_000
-
-
-def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
-                     out: str, max_buffer_rows: int = MAX_BUFFER_ROWS) -> DataFrame:
-    """The ``q`` quantile of ``value`` per group with linear interpolation
+    # move rows between partitions; the written copy pins each row's number.
+    ordered = materialize(dealt.sortWithinPartitions(*keys)
+                          .withColumn("__id", F.monotonically_increasing_id()))
+    # Rows of a group are neighbours in a partition: a row's place is its number
+    # less the group's first one there, plus the rows in the partitions before.
+    ordered = ordered.withColumn("__pid", F.shiftright("__id", 33))
+    per_part = ordered.groupBy("__pid", *group_cols).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = W.partitionBy(*group_cols).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_part.select("__pid", *group_cols, (
+        F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__off"))
+    return (join_same(ordered, offsets, ["__pid", *group_cols])
+            .withColumn(out, (F.col("__id") + F.col("__off")).cast("bigint"))
+            .drop("__id", "__pid", "__off"))
+
+
+def exact_percentiles(df: DataFrame, group_cols: list[str], values: dict[str, str],
+                      q: float) -> DataFrame:
+    """The ``q`` quantile of each value column per group with linear interpolation
     (position q * (n - 1) in ascending order, as ``percentile`` / numpy), exact.
 
-    Spark's ``percentile`` keeps a group's values in one aggregation buffer.
-    A combinable count per group is taken first: when the largest group is
-    within ``max_buffer_rows`` that buffer is bounded and ``percentile`` is
-    used; otherwise ranks come from ``sorted_position`` and only the two rows
-    around the position are kept."""
-    vals = df.select(*group_cols, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    largest = counts.agg(F.max("__n")).first()[0] or 0
-    if largest <= max_buffer_rows:
-        return vals.groupBy(*group_cols).agg(F.percentile("__v", q).alias(out))
-    ranked = sorted_position(vals, group_cols, [F.col("__v").asc()], "__r")
+    Spark's ``percentile`` keeps a group's values in one aggregation buffer. Here
+    the columns are ranked together by one range sort (``sorted_position``) and
+    only the two rows around the position are kept. ``values``: column -> name."""
+    which = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.col(c).cast("double").alias("v"))
+                                for i, c in enumerate(values)]))
+    vals = (df.select(*group_cols, which.alias("__x"))
+            .select(*group_cols, F.col("__x.w").alias("__w"), F.col("__x.v").alias("__v"))
+            .filter(F.col("__v").isNotNull()))
+    keys = [*group_cols, "__w"]
+    ranked = sorted_position(vals, keys, [F.col("__v").asc()], "__r")
+    counts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     pos = F.lit(q) * (F.col("__n") - 1)
     lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-    picked = (ranked.join(counts, group_cols, "inner")
+    picked = (join_same(ranked, counts, keys)
               .filter((F.col("__r") == lo) | (F.col("__r") == hi))
-              .select(*group_cols, "__v", (F.col("__r") == lo).alias("__is_lo"),
+              .select(*keys, "__v", (F.col("__r") == lo).alias("__is_lo"),
                       (F.col("__r") == hi).alias("__is_hi"), (pos - F.floor(pos)).alias("__f")))
-    g = picked.groupBy(*group_cols).agg(
+    g = picked.groupBy(*keys).agg(
         F.max(F.when(F.col("__is_lo"), F.col("__v"))).alias("__lo"),
         F.max(F.when(F.col("__is_hi"), F.col("__v"))).alias("__hi"),
         F.max("__f").alias("__f"))
-    return g.select(*group_cols, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f"))
-                    .alias(out))
+    at = (F.lit(1.0) - F.col("__f")) * F.col("__lo") + F.col("__f") * F.col("__hi")
+    return g.groupBy(*group_cols).agg(*[F.max(F.when(F.col("__w") == i, at)).alias(name)
+                                        for i, name in enumerate(values.values())])
+
+
+def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
+                     out: str) -> DataFrame:
+    """``exact_percentiles`` of one column."""
+    return exact_percentiles(df, group_cols, {value: out}, q)
 
 
 def rank_value(df: DataFrame, group_cols: list[str], value: str, rank_of_n, out: str) -> DataFrame:
@@ -118,6 +134,6 @@ def rank_value(df: DataFrame, group_cols: list[str], value: str, rank_of_n, out:
     vals = df.select(*group_cols, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
     ranked = sorted_position(vals, group_cols, [F.col("__v").asc()], "__r")
     counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    return (ranked.join(counts, group_cols, "inner")
+    return (join_same(ranked, counts, group_cols)
             .filter(F.col("__r") == rank_of_n(F.col("__n")))
             .select(*group_cols, F.col("__v").alias(out)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordinal import exact_percentile
+from .ordinal import exact_percentiles
 
 SLA_MS = 200.0
 
@@ -42,7 +42,8 @@ def prediction_detail(shapes: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions (model_version, query_id, actual_ms, predicted_ms,
     abs_pct_error, in_holdout) inner-joined to the shape rows (query_id,
     template_id, template_label, batch_name, warehouse_size, shape numbers);
-    predictions without a shape are dropped. Worst error first."""
+    predictions without a shape are dropped. Unordered: ``worst_first`` sorts it
+    where it is published."""
     s = shapes.select("query_id", "template_id", "template_label", "batch_name",
                       "warehouse_size",
                       *[F.col(c).cast("double").alias(c) for c in SHAPE_NUMERIC])
@@ -53,8 +54,12 @@ def prediction_detail(shapes: DataFrame, predictions: DataFrame) -> DataFrame:
         F.round(F.col("predicted_ms") - F.col("actual_ms"), 3).alias("error_ms"),
         "abs_pct_error",
         F.when(F.col("in_holdout") == 1, F.lit("holdout")).otherwise(F.lit("cross_validated"))
-        .alias("prediction_scope"))
-        .orderBy(F.desc("abs_pct_error"), "query_id"))
+        .alias("prediction_scope")))
+
+
+def worst_first(detail: DataFrame) -> DataFrame:
+    """The whole detail table, largest error first."""
+    return detail.orderBy(F.desc("abs_pct_error"), "query_id")
 
 
 def sla_verdict(worst_actual: F.Column, worst_predicted: F.Column, sla_ms) -> F.Column:
@@ -73,12 +78,13 @@ def sla_table(detail: DataFrame, sla_ms: float = SLA_MS) -> DataFrame:
         F.max("template_label").alias("template_label"),
         F.count("query_id").cast("int").alias("queries"),
         F.max("actual_ms").alias("__wa"), F.max("predicted_ms").alias("__wp"),
-        F.avg("abs_pct_error").alias("__mape"))
-        # Medians by rank (a template may hold a third of the log): exact,
-        # without one aggregation buffer per template.
-        .join(exact_percentile(rows, ["template_id"], "actual_ms", 0.5, "__p50a"),
-              "template_id", "left")
-        .join(exact_percentile(rows, ["template_id"], "predicted_ms", 0.5, "__p50p"),
+        # the errors have three decimals: an exact sum does not depend on the order
+        (F.sum(F.col("abs_pct_error").cast("decimal(18,3)")).cast("double")
+         / F.count("abs_pct_error")).alias("__mape"))
+        # Medians by rank (a template may hold a third of the log): exact, both
+        # from one range sort, without an aggregation buffer per template.
+        .join(exact_percentiles(rows, ["template_id"], {"actual_ms": "__p50a",
+                                                        "predicted_ms": "__p50p"}, 0.5),
               "template_id", "left"))
     return (g.select(
         "template_id", "template_label", "queries",

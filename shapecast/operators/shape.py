@@ -16,10 +16,6 @@ from ..schemas import WAREHOUSE_SIZES
 SHAPE_COLUMNS = ["tables", "n_tables", "n_joins", "has_group_by", "has_order_by",
                  "has_window", "limit_rows", "n_predicates", "predicate_literal"]
 
-# Above this many catalogue rows the lookup switches from a broadcast map to a
-# shuffle join. One row per table of an account: a million rows is ~50 MB.
-MAX_BROADCAST_CATALOGUE_ROWS = 1_000_000
-
 
 def with_shape(df: DataFrame, text_col: str = "query_text", prefix: str = "") -> DataFrame:
     """Add X1-X9 columns. The comment-free text is computed once per row."""
@@ -44,15 +40,19 @@ def with_shape(df: DataFrame, text_col: str = "query_text", prefix: str = "") ->
 
 
 def table_index(tables: DataFrame) -> DataFrame:
-    """TABLES rows to (table_name upper-case, rows, bytes); blank -> 0."""
+    """TABLES rows to (table_name upper-case, rows, bytes); blank -> 0. A name
+    listed more than once (in several schemas, say) keeps its last row in the
+    order of LAST_ALTERED (where the column is there), rows, bytes."""
     cols = {c.lower(): c for c in tables.columns}
     name = F.col(cols.get("table_name"))
     rows = F.col(cols.get("row_count", cols.get("rows", "row_count")))
     size = F.col(cols.get("bytes"))
-    return tables.select(
-        F.upper(name.cast("string")).alias("table_name"),
-        F.coalesce(rows.cast("bigint"), F.lit(0).cast("bigint")).alias("rows"),
-        F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")).alias("bytes"))
+    number = lambda c: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit(""))
+                                  .try_cast("bigint"), F.lit(0).cast("bigint"))
+    altered = F.col(cols["last_altered"]) if "last_altered" in cols else F.lit(0)
+    last = F.max(F.struct(altered.alias("t"), number(rows).alias("rows"), number(size).alias("bytes")))
+    return (tables.groupBy(F.upper(name.cast("string")).alias("table_name")).agg(last.alias("__l"))
+            .select("table_name", "__l.rows", "__l.bytes"))
 
 
 def warehouse_threads(size_col: str = "warehouse_size") -> F.Column:
@@ -70,47 +70,30 @@ def check_warehouse(size_col: str = "warehouse_size") -> F.Column:
                                F.lit("; expected one of X-Small, Small, Medium"))))
 
 
-def with_table_sizes(df: DataFrame, catalogue: DataFrame, tables_col: str = "tables",
-                     key_col: str = "query_id",
-                     max_broadcast_rows: int = MAX_BROADCAST_CATALOGUE_ROWS) -> DataFrame:
+def with_table_sizes(df: DataFrame, catalogue: DataFrame, tables_col: str = "tables") -> DataFrame:
     """table_rows, table_bytes (sums) and tables_known (count) over
     the named tables; a table missing from the catalogue adds nothing.
 
-    A catalogue under ``max_broadcast_rows`` rows (checked with a count) is
-    folded into one map that every task receives: no shuffle of the log. A
-    larger one is joined after exploding the table lists and summed per
-    ``key_col`` (which must be unique per row).
+    Statements name few different lists of tables: the distinct lists are
+    exploded, joined to the catalogue and summed, and the sums joined back on the
+    list, so a table that most statements name is looked up once for each list.
     """
-    index = table_index(catalogue)
-    n = index.count()
-    if n <= max_broadcast_rows:
-        packed = index.agg(F.map_from_entries(F.collect_list(F.struct(
-            "table_name", F.struct("rows", "bytes")))).alias("__cat"))
-        # One row, size checked above: joined to every row without a shuffle.
-        joined = df.join(F.broadcast(packed), how="cross")
-        hits = F.filter(F.transform(F.col(tables_col),
-                                    lambda t: F.element_at(F.col("__cat"), t)),
-                        lambda e: e.isNotNull())
-        zero = F.lit(0).cast("bigint")
-        return (joined.withColumn("__hits", hits).select(
-            *df.columns,
-            F.aggregate("__hits", zero, lambda a, e: a + e["rows"]).alias("table_rows"),
-            F.aggregate("__hits", zero, lambda a, e: a + e["bytes"]).alias("table_bytes"),
-            F.size("__hits").alias("tables_known")))
-    exploded = df.select(key_col, F.explode_outer(tables_col).alias("__t"))
-    sums = (exploded.join(index, exploded["__t"] == index["table_name"], "left")
-            .groupBy(key_col).agg(
-                F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("table_rows"),
-                F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("table_bytes"),
-                F.count("table_name").cast("int").alias("tables_known")))
-    return df.join(sums, key_col, "left")
+    lists = df.select(F.col(tables_col).alias("__list")).distinct()
+    exploded = lists.select("__list", F.explode("__list").alias("table_name"))
+    sums = (exploded.join(table_index(catalogue), "table_name").groupBy("__list").agg(
+        F.sum("rows").alias("table_rows"), F.sum("bytes").alias("table_bytes"),
+        F.count(F.lit(1)).cast("int").alias("tables_known")))
+    joined = df.join(sums, df[tables_col] == sums["__list"], "left")
+    return joined.select(*[df[c] for c in df.columns], *[
+        F.coalesce(sums[c], F.lit(0)).cast(t).alias(c) for c, t in
+        (("table_rows", "bigint"), ("table_bytes", "bigint"), ("tables_known", "int"))])
 
 
 def shape(df: DataFrame, catalogue: DataFrame, text_col: str = "query_text",
-          size_col: str = "warehouse_size", key_col: str = "query_id") -> DataFrame:
+          size_col: str = "warehouse_size") -> DataFrame:
     """X14 in full: parsed columns, table sizes and warehouse threads."""
     parsed = with_shape(df, text_col)
-    sized = with_table_sizes(parsed, catalogue, key_col=key_col)
+    sized = with_table_sizes(parsed, catalogue)
     return sized.withColumn("warehouse_threads", warehouse_threads(size_col))
 
 

@@ -155,36 +155,3 @@ def star_sql(spec: StarSpec) -> str:
     if spec.limit:
         sql += f" limit {spec.limit}"
     return sql
-
-
-# ---- the knob catalogue (J7, O8, W9) -----------------------------------------
-
-def catalogue(spark: SparkSession, keep: int = 60, seed: str = "20260821") -> DataFrame:
-    """4 join arities x group by x order by x window = 32 shapes per fact
-    size; O8: a seeded, portable shuffle (md5 of seed and key) keeps ``keep``
-    shapes as templates; W9: limit and warehouse size rotate by index; x 4
-    filter literals. One row per (template, literal) with its SQL text."""
-    knob = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
-    base = spark.range(1).select(knob("n_joins", [0, 1, 2, 3]))
-    for name in ("group_by", "order_by", "window"):
-        base = base.select("*", knob(name, [0, 1]))
-    base = base.select("*", knob("fact_rows", [2_000_000, 3_000_000, 5_000_000, 8_000_000]))
-    key = F.concat_ws(":", *[F.col(c).cast("string") for c in
-                             ("fact_rows", "n_joins", "group_by", "order_by", "window")])
-    shapes = (base.withColumn("shuffle_key", F.md5(F.concat(F.lit(seed), key)))
-              .orderBy("shuffle_key").limit(keep))
-    # Rank over a tiny table (keep rows): a window without partition is fine.
-    from pyspark.sql import Window as W
-    shapes = shapes.withColumn("idx", F.row_number().over(W.orderBy("shuffle_key")))
-    limits = F.array(*[F.lit(v) for v in LIMITS])
-    sizes = F.array(F.lit("X-Small"), F.lit("Small"), F.lit("Medium"))
-    out = shapes.select(
-        "*", F.element_at(limits, F.pmod(F.col("idx"), F.lit(3)).cast("int") + 1).alias("limit_rows"),
-        F.posexplode(F.array(*[F.lit(v) for v in FILTER_LITERALS])).alias("variant0", "literal"))
-    return out.select(
-        F.concat(F.lit("t"), F.lpad(F.col("idx").cast("string"), 2, "0")).alias("template_id"),
-        F.concat(F.lit("t"), F.lpad(F.col("idx").cast("string"), 2, "0"), F.lit("_s"),
-                 (F.col("variant0") + 1).cast("string")).alias("query_id"),
-        "fact_rows", "n_joins", "group_by", "order_by", "window", "limit_rows", "literal",
-        F.element_at(sizes, F.pmod(F.col("idx") + F.col("variant0") + 1, F.lit(3)).cast("int") + 1)
-        .alias("warehouse_size"))

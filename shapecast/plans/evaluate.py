@@ -179,15 +179,12 @@ def version_names(scored: DataFrame) -> DataFrame:
                     .alias("model_version")))
 
 
-def shape_rows(spark: SparkSession, sf_dir: str, feats: DataFrame) -> DataFrame:
-    """Shape columns for the detail table: the values the feature stage parsed
-    out of each statement's text (the same parse the model saw), with the
-    template label and batch from the log - a join, not a second parse."""
-    from ..functions.text import template_label
-    log = Q.qlog(spark, sf_dir, extra=True).select(
-        "query_id", "template_id", template_label().alias("template_label"),
-        F.col("query_tag").alias("batch_name"), "warehouse_size")
-    parsed = feats.select(F.col("QUERY_ID").alias("query_id"), "n_tables", "n_joins",
-                          "has_group_by", "has_order_by", "has_window", "predicate_literal",
-                          "table_rows")
-    return log.join(parsed, "query_id", "inner")
+def shape_rows(feats: DataFrame) -> DataFrame:
+    """Shape columns for the detail table: what the feature stage parsed out of
+    each statement's text (the same parse the model saw), with the template,
+    batch and size that the stage carries along. No join, no second parse."""
+    return feats.select(
+        F.col("QUERY_ID").alias("query_id"), F.col("TEMPLATE_ID").alias("template_id"),
+        F.col("TEMPLATE_LABEL").alias("template_label"), F.col("QUERY_TAG").alias("batch_name"),
+        F.col("WAREHOUSE_SIZE").alias("warehouse_size"), "n_tables", "n_joins", "has_group_by",
+        "has_order_by", "has_window", "predicate_literal", "table_rows")

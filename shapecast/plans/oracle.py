@@ -247,7 +247,8 @@ detail as (select l.model_version, l.query_id, s.template_id, s.template_label,
 sla as (select template_id, max(template_label) as template_label,
     cast(count(query_id) as integer) as queries,
     median(actual_ms) as p50a, median(predicted_ms) as p50p, max(actual_ms) as wa,
-    max(predicted_ms) as wp, avg(abs_pct_error) as mp
+    max(predicted_ms) as wp,
+    cast(sum(cast(abs_pct_error as decimal(18,3))) as double) / count(abs_pct_error) as mp
   from detail where template_id is not null group by template_id),
 sla_out as (select template_id, template_label, queries, round(p50a, 3) as p50_actual_ms,
     round(p50p, 3) as p50_predicted_ms, round(wa, 3) as worst_actual_ms,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as cal
+from ..operators.ordinal import block_position, sorted_position
 from . import qlog as Q
 from .oracle import q
 from .registry import register
@@ -114,3 +115,16 @@ def a04(spark, sf_dir):
     # published seconds are rounded to 9 decimals on both sides.
     return out.select("query_id", "reps", *[F.round(c, 9).alias(c) for c in
                                            ("median_seconds", "min_seconds", "max_seconds")])
+
+
+@register("W05_positions_with_null_tags", q("""
+select query_id, tag, row_number() over (partition by tag order by seq) - 1 as pos,
+  row_number() over (partition by tag order by execution_ms, query_id) as by_runtime
+from (select *, case when seq % 5 = 0 then null else query_tag end as tag from qlog)"""))
+def w05_null(spark, sf_dir):
+    """A fifth of the log without a tag: those rows are a group of their own."""
+    log = Q.qlog(spark, sf_dir).select(
+        "query_id", "seq", "execution_ms", F.when(F.col("seq") % 5 != 0, F.col("query_tag")).alias("tag"))
+    placed = block_position(log, ["tag"], "seq", "pos", block_size=1000)
+    return sorted_position(placed, ["tag"], [F.col("execution_ms").asc(), F.col("query_id").asc()],
+                           "by_runtime").select("query_id", "tag", "pos", "by_runtime")

@@ -181,9 +181,9 @@ def u06(spark, sf_dir):
     return spark.read.parquet(path).groupBy("QUERY_TAG").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _stream(spark, sf_dir, rerun=False):
+def _stream(spark, sf_dir, rerun=False, files=1):
     root = _folder(spark, "stream")
-    SQ.write_intake(Q.qlog(spark, sf_dir), f"{root}/intake")
+    SQ.write_intake(Q.qlog(spark, sf_dir), f"{root}/intake", files)
     paths = SQ.run_intake(spark, f"{root}/intake", root)
     if rerun:
         SQ.run_intake(spark, f"{root}/intake", root)   # nothing new: no change
@@ -191,10 +191,10 @@ def _stream(spark, sf_dir, rerun=False):
 
 
 @register("T01_T02_stream_pickup_and_rerun", q("""
-select query_tag, count(*) as rows from qlog group by query_tag"""))
+select query_id, query_tag, execution_ms from qlog"""))
 def t01(spark, sf_dir):
-    return _stream(spark, sf_dir, rerun=True).groupBy("query_tag").agg(
-        F.count(F.lit(1)).alias("rows"))
+    """Every row of batches that come in two files each, after a run and a re-run."""
+    return _stream(spark, sf_dir, rerun=True, files=2).select("query_id", "query_tag", "execution_ms")
 
 
 @register("T03_streamed_target_and_prior", q(BRACKET_CTES, TRAIN_CTES, """

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import report as R
+from ..operators.features import FEATURES
+from ..operators.ordinal import sorted_position
 from . import evaluate as E
 from .oracle import FEATURE_CTES, LABEL_CTES, SHAPE_CTES, TRAIN_CTES, VERSION_CTES, q
 from .q_calibrate import BRACKET_CTES
@@ -31,8 +33,11 @@ def _versions(spark, sf_dir):
 
 
 def detail(spark, sf_dir):
-    preds, feats = E.latest_predictions(spark, sf_dir)
-    return R.prediction_detail(E.shape_rows(spark, sf_dir, feats), preds)
+    """The detail table, built once per application."""
+    def build():
+        preds, feats = E.latest_predictions(spark, sf_dir)
+        return R.prediction_detail(E.shape_rows(feats), preds)
+    return stage(spark, ("detail", sf_dir), build)
 
 
 @register("M01_holdout_split_by_version", qq("""
@@ -127,13 +132,22 @@ def m09(spark, sf_dir):
 
 @register("K01_prediction_detail", qq("select * from detail"))
 def k01(spark, sf_dir):
-    return detail(spark, sf_dir)
+    return R.worst_first(detail(spark, sf_dir))
 
 
 @register("O04_detail_worst_first_top20", qq("""
 select query_id, abs_pct_error from detail order by abs_pct_error desc, query_id limit 20"""))
 def o04(spark, sf_dir):
-    return detail(spark, sf_dir).select("query_id", "abs_pct_error").limit(20)
+    return R.worst_first(detail(spark, sf_dir)).select("query_id", "abs_pct_error").limit(20)
+
+
+@register("O04_detail_worst_first", qq("""
+select query_id, abs_pct_error,
+  row_number() over (order by abs_pct_error desc, query_id) as place from detail"""))
+def o04_whole(spark, sf_dir):
+    """The whole detail table in its order: the place of each row from a range sort."""
+    return sorted_position(detail(spark, sf_dir).select("query_id", "abs_pct_error"), [],
+                           [F.desc("abs_pct_error"), F.col("query_id").asc()], "place")
 
 
 @register("K02_sla_verdicts", qq("select * from sla_out"))
@@ -148,6 +162,14 @@ def o05(spark, sf_dir):
     return R.sla_table(detail(spark, sf_dir)).select("template_id", "worst_actual_ms").limit(10)
 
 
+@register("O05_sla_worst_first", qq("""
+select template_id, worst_actual_ms,
+  row_number() over (order by worst_actual_ms desc, template_id) as place from sla_out"""))
+def o05_whole(spark, sf_dir):
+    return sorted_position(R.sla_table(detail(spark, sf_dir)).select("template_id", "worst_actual_ms"),
+                           [], [F.desc("worst_actual_ms"), F.col("template_id").asc()], "place")
+
+
 @register("A17_verdict_counts", qq("""
 select count(*) filter (where sla_verdict = 'breach_called') as sla_breaches_called,
   count(*) filter (where sla_verdict = 'missed_breach') as sla_missed_breaches,
@@ -188,17 +210,18 @@ def k13(spark, sf_dir):
 
 @register("K04_run_checks", qq("""
 select * from (values
-  ('every measured query has a prediction', true),
+  ('every measured query has a prediction', (select count(*) from
+    (select query_id from qlog) m full join (select distinct query_id from detail) d
+    on m.query_id = d.query_id where m.query_id is null or d.query_id is null) = 0),
   ('no prediction is zero or negative', (select count(*) from detail where predicted_ms <= 0) = 0),
   ('one prediction per query', (select count(*) - count(distinct query_id) from detail) = 0),
-  ('every prediction is out of sample', true),
+  ('every prediction is out of sample', (select count(*) from detail d join latest l on d.query_id = l.query_id
+    where d.prediction_scope <> case when l.in_holdout = 1 then 'holdout' else 'cross_validated' end) = 0),
   ('one published model at a time', (select count(distinct model_version) from detail) <= 1),
   ('every model version is gated', (select count(*) from vmetrics) > 0)) as t(check_name, ok)"""))
 def k04(spark, sf_dir):
-    preds, feats = E.latest_predictions(spark, sf_dir)
-    d = R.prediction_detail(E.shape_rows(spark, sf_dir, feats), preds)
     versions = R.model_versions(_versions(spark, sf_dir))
-    return R.checks(feats, d, versions).select(F.col("check").alias("check_name"), "ok")
+    return R.checks(E.feature_rows(spark, sf_dir), detail(spark, sf_dir), versions).select(F.col("check").alias("check_name"), "ok")
 
 
 @register("A11_calibration_deciles_latest", qq("""
@@ -238,13 +261,8 @@ def a18(spark, sf_dir):
                     F.coalesce(F.round(F.max("TARGET_MS"), 2), F.lit(0.0)).alias("runtime_slowest_ms"))
 
 
-@register("A12_feature_envelope", qq("""
-select 'log_table_rows' as feature, round(min(log_table_rows), 6) as min, round(max(log_table_rows), 6) as max from feat
-union all select 'log_limit_rows', round(min(log_limit_rows), 6), round(max(log_limit_rows), 6) from feat
-union all select 'predicate_literal', round(min(predicate_literal), 6), round(max(predicate_literal), 6) from feat
-union all select 'warehouse_threads', round(min(warehouse_threads), 6), round(max(warehouse_threads), 6) from feat
-union all select 'log_prior_ms', round(min(log_prior_ms), 6), round(max(log_prior_ms), 6) from feat"""))
+@register("A12_feature_envelope", qq(" union all ".join(
+    f"select '{f}' as feature, round(min({f}), 6) as min, round(max({f}), 6) as max from feat"
+    for f in FEATURES)))
 def a12(spark, sf_dir):
-    return M.feature_envelope(E.feature_rows(spark, sf_dir),
-                              ["log_table_rows", "log_limit_rows", "predicate_literal",
-                               "warehouse_threads", "log_prior_ms"])
+    return M.feature_envelope(E.feature_rows(spark, sf_dir), FEATURES)

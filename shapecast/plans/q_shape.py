@@ -158,7 +158,7 @@ select query_id, cast(table_rows as bigint) as table_rows, cast(table_bytes as b
 def x14b(spark, sf_dir):
     """X14, shuffle-join form (the path taken for a catalogue too big to broadcast)."""
     parsed = op.with_shape(Q.qlog(spark, sf_dir))
-    return op.with_table_sizes(parsed, Q.qtables(spark, sf_dir), max_broadcast_rows=0).select(
+    return op.with_table_sizes(parsed, Q.qtables(spark, sf_dir)).select(
         "query_id", "table_rows", "table_bytes", "tables_known")
 
 

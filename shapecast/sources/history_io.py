@@ -9,6 +9,7 @@ inferred for a contract table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,20 @@ from .. import schemas as SC
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other failure (an unreachable store, a
+    missing permission) is raised, never taken for an absent file."""
     try:
         spark.read.format("binaryFile").load(path)  # resolving the path checks it
         return True
-    except Exception:  # AnalysisException: path does not exist
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def read_parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written table, or None where nothing has been written yet."""
+    return spark.read.parquet(path) if _exists(spark, path) else None
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -112,13 +122,15 @@ def catalogue_stats(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     parts = []
     for name, path in tables.items():
         df = spark.read.parquet(path)
-        counts = df.agg(F.count(F.lit(1)).alias("ROW_COUNT"))
-        files = (df.select("_metadata.file_path", "_metadata.file_size",
-                           "_metadata.file_block_start").distinct()
-                 .agg(F.sum(F.when(F.col("file_block_start") == 0, F.col("file_size")))
-                      .cast("bigint").alias("BYTES"),
-                      F.count(F.lit(1)).alias("SPLIT_UNITS")))
-        parts.append(counts.crossJoin(files).select(
+        # one grouped scan: rows and splits by file, whatever the size of a split
+        by_file = (df.select("_metadata.file_path", "_metadata.file_size",
+                             "_metadata.file_block_start").groupBy("file_path", "file_size")
+                   .agg(F.count(F.lit(1)).alias("rows"),
+                        F.countDistinct("file_block_start").alias("splits")))
+        parts.append(by_file.agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("ROW_COUNT"),
+            F.sum("file_size").cast("bigint").alias("BYTES"),
+            F.coalesce(F.sum("splits"), F.lit(0)).alias("SPLIT_UNITS")).select(
             F.lit(name.upper()).alias("TABLE_NAME"), "ROW_COUNT", "BYTES", "SPLIT_UNITS"))
     out = parts[0]
     for p in parts[1:]:

@@ -1,14 +1,18 @@
 """Incremental intake of measured batches (T1-T3) with Structured Streaming.
 
-Each file in the intake folder is one measured batch (statement rows with
-their runtime and position). A file-source stream with
+Each file in the intake folder holds rows of a measured batch (statement rows
+with their runtime and position); a batch may come in several files. A
+file-source stream with
 ``maxFilesPerTrigger=1`` and ``trigger(availableNow=True)`` processes exactly
 the files not yet seen, one micro-batch per file, in arrival order; the
 stream checkpoint is the record of loaded files (S14/T1).
 
 Per micro-batch (``foreachBatch``):
+  0. the file's rows are joined to those of the same batch that came in earlier
+     files (a row that comes again replaces the stored one), so a batch is
+     always calibrated as a whole;
   1. drift readings of the batch (every tenth position and the end) and the
-     baseline: the stored first reading, or this batch's first (C3);
+     baseline: the first batch's first reading (C3);
   2. calibrated target (C1/C2);
   3. prior from strictly earlier batches of the same parameterised hash, read
      from the state table of per-(hash, batch) sums and counts (T3/A6);
@@ -16,6 +20,9 @@ Per micro-batch (``foreachBatch``):
      sums replace its partition of the state table (dynamic partition
      overwrite: a re-run of the same batch changes nothing, T2).
 
+A state table that is not there yet is empty; any other failure to read one
+is raised.
+
 All state lives in folders under the shared checkpoint folder.
 """
 
@@ -28,6 +35,8 @@ from pyspark.sql import types as T
 from ..functions import shape as S
 from ..operators import calibrate as cal
 from ..operators import features as fe
+from ..session import materialize
+from ..sources.history_io import read_parquet_or_none
 
 INTAKE_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("query_id", T.StringType()),
@@ -36,14 +45,14 @@ INTAKE_SCHEMA = T.StructType([
     T.StructField("execution_ms", T.DoubleType()), T.StructField("pos", T.LongType())])
 
 
-def write_intake(log: DataFrame, folder: str) -> None:
-    """One JSON-lines file per batch tag under ``query_tag=<tag>/``, written in
-    tag order so that file age follows the batch order the stream relies on
-    (the shape a producer writes; used by tests and the registered query)."""
+def write_intake(log: DataFrame, folder: str, files: int = 1) -> None:
+    """JSON-lines files per batch tag under ``query_tag=<tag>/``, ``files`` for
+    each, written in tag order so that file age follows the batch order the stream
+    relies on (the shape a producer writes; used by tests and registered queries)."""
     rows = log.select(*[f.name for f in INTAKE_SCHEMA.fields])
     tags = sorted(r[0] for r in rows.select("query_tag").distinct().collect())  # a few batches
     for tag in tags:
-        (rows.filter(F.col("query_tag") == tag).drop("query_tag").coalesce(1)
+        (rows.filter(F.col("query_tag") == tag).drop("query_tag").repartition(files)
          .write.mode("overwrite").json(f"{folder}/query_tag={tag}"))
 
 
@@ -56,53 +65,56 @@ def readings(batch: DataFrame) -> DataFrame:
 def process_batch(batch: DataFrame, state: str, history: str, baseline: str,
                   catalogue: DataFrame | None = None, versions: str | None = None) -> None:
     spark = batch.sparkSession
-    batch = batch.cache()
-    try:
-        if batch.isEmpty():
-            return
-        checkpoints = readings(batch)
-        try:
-            base = spark.read.parquet(baseline)
-        except Exception:
-            base = cal.baseline_reading(checkpoints)
-            base.write.mode("overwrite").parquet(baseline)
-            base = spark.read.parquet(baseline)
-        scored = cal.calibrate(batch, checkpoints, base)
-        scored = scored.withColumn("QUERY_PARAMETERIZED_HASH",
-                                   S.parameterized_hash(F.col("query_text")))
-        tags = batch.select("query_tag").distinct()
-        try:
-            past = spark.read.parquet(state)
-        except Exception:
-            past = spark.createDataFrame(
-                [], "QUERY_PARAMETERIZED_HASH string, s bigint, n bigint, query_tag string")
-        # Strictly earlier batches than every tag of this micro-batch.
-        first = tags.agg(F.min("query_tag").alias("__t"))
-        prior = (past.crossJoin(F.broadcast(first)).filter(F.col("query_tag") < F.col("__t"))
-                 .groupBy("QUERY_PARAMETERIZED_HASH")
-                 .agg(F.sum("s").alias("__s"), F.sum("n").alias("__n"))
-                 .withColumn("__p", fe.mean_3dp("__s", "__n")))
-        out = (scored.join(prior, scored["QUERY_PARAMETERIZED_HASH"].eqNullSafe(
-            prior["QUERY_PARAMETERIZED_HASH"]), "left").drop(prior["QUERY_PARAMETERIZED_HASH"])
-            .select("query_id", "query_tag", "seq", "pos", "QUERY_PARAMETERIZED_HASH",
-                    "query_text", "warehouse_size", "execution_ms",
-                    F.col("calibrated_execution_ms").alias("TARGET_MS"),
-                    "machine_factor",
-                    F.when(F.coalesce("__n", F.lit(0)) > 0, F.lit(1)).otherwise(F.lit(0))
-                    .alias("HAS_PRIOR"),
-                    F.when(F.coalesce("__n", F.lit(0)) > 0, F.col("__p"))
-                    .alias("PRIOR_EXECUTION_MS")))
-        out = out.cache()
-        sums = (out.groupBy("QUERY_PARAMETERIZED_HASH", "query_tag")
-                .agg(F.sum(fe.thousandths("TARGET_MS")).alias("s"), F.count(F.lit(1)).alias("n")))
-        for df, path in ((out, history), (sums, state)):
-            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("query_tag").parquet(path))
-        out.unpersist()
-        if catalogue is not None and versions:
-            append_newest_version(spark, history, catalogue, versions)
-    finally:
-        batch.unpersist()
+    if batch.isEmpty():
+        return
+    columns = [f.name for f in INTAKE_SCHEMA.fields]
+    batch = batch.select(*columns).dropDuplicates(["query_tag", "query_id"])
+    tags = batch.select("query_tag").distinct()
+    stored = read_parquet_or_none(spark, history)
+    if stored is not None:
+        known = stored.select(*columns).join(tags, "query_tag", "left_semi")
+        batch = batch.unionByName(known.join(batch.select("query_tag", "query_id"),
+                                             ["query_tag", "query_id"], "left_anti"))
+    batch = materialize(batch)      # the partitions it was read from are replaced below
+    tags = batch.select("query_tag").distinct()
+    checkpoints = readings(batch)
+    later = (stored is not None and
+             not stored.join(tags.agg(F.min("query_tag").alias("__t")),
+                             F.col("query_tag") < F.col("__t"), "left_semi").isEmpty())
+    if not later:                   # the first batch: its first reading is the baseline
+        cal.baseline_reading(checkpoints).write.mode("overwrite").parquet(baseline)
+    base = spark.read.parquet(baseline)
+    scored = cal.calibrate(batch, checkpoints, base)
+    scored = scored.withColumn("QUERY_PARAMETERIZED_HASH",
+                               S.parameterized_hash(F.col("query_text")))
+    past = read_parquet_or_none(spark, state)
+    if past is None:
+        past = spark.createDataFrame(
+            [], "QUERY_PARAMETERIZED_HASH string, s bigint, n bigint, query_tag string")
+    # Strictly earlier batches than every tag of this micro-batch.
+    first = tags.agg(F.min("query_tag").alias("__t"))
+    prior = (past.crossJoin(F.broadcast(first)).filter(F.col("query_tag") < F.col("__t"))
+             .groupBy("QUERY_PARAMETERIZED_HASH")
+             .agg(F.sum("s").alias("__s"), F.sum("n").alias("__n"))
+             .withColumn("__p", fe.mean_3dp("__s", "__n")))
+    out = (scored.join(prior, scored["QUERY_PARAMETERIZED_HASH"].eqNullSafe(
+        prior["QUERY_PARAMETERIZED_HASH"]), "left").drop(prior["QUERY_PARAMETERIZED_HASH"])
+        .select("query_id", "query_tag", "seq", "pos", "template_id",
+                "QUERY_PARAMETERIZED_HASH", "query_text", "warehouse_size", "execution_ms",
+                F.col("calibrated_execution_ms").alias("TARGET_MS"),
+                "machine_factor",
+                F.when(F.coalesce("__n", F.lit(0)) > 0, F.lit(1)).otherwise(F.lit(0))
+                .alias("HAS_PRIOR"),
+                F.when(F.coalesce("__n", F.lit(0)) > 0, F.col("__p"))
+                .alias("PRIOR_EXECUTION_MS")))
+    out = materialize(out)
+    sums = (out.groupBy("QUERY_PARAMETERIZED_HASH", "query_tag")
+            .agg(F.sum(fe.thousandths("TARGET_MS")).alias("s"), F.count(F.lit(1)).alias("n")))
+    for df, path in ((out, history), (sums, state)):
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("query_tag").parquet(path))
+    if catalogue is not None and versions:
+        append_newest_version(spark, history, catalogue, versions)
 
 
 def run_intake(spark: SparkSession, intake: str, root: str,

@@ -95,4 +95,3 @@ def test_the_column_sets_partition_query_history():
     for c in ("EXECUTION_TIME", "BYTES_SCANNED", "ROWS_PRODUCED", "END_TIME"):
         assert c in post
     assert set(fe.SOURCE_COLUMNS + fe.HISTORY_SOURCE_COLUMNS) <= pre
-    assert {u for _, u, _ in SC.FEATURE_MAP} <= {"yes", "no", "target"}

@@ -1,45 +1,15 @@
-"""Library pieces without a registered query: generator (S9), knob catalogue
-(J7, O8, W9), feature map (K14), CSV round trip of multi-line text (S1, S6)."""
+"""Library pieces without a registered query: CSV round trip of multi-line text
+(S1, S6), failures of a store."""
 
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
 from shapecast import schemas as SC
-from shapecast.operators import star
-from shapecast.sources import generate as G
 from shapecast.sources import history_io as IO
 
 
-def test_generated_tables_are_deterministic(spark):
-    a = G.fact_events(spark, 2000, partitions=3)
-    b = G.fact_events(spark, 2000, partitions=7)
-    assert a.exceptAll(b).count() == 0
-    row = a.agg(F.min("customer_id"), F.max("customer_id"), F.max("quantity"),
-                F.countDistinct("status")).first()
-    assert row[0] >= 1 and row[1] <= 50000 and row[2] <= 20 and row[3] == 6
-    assert G.dim_product(spark).count() == 5000
-    codes = a.select(F.substring("event_code", 3, 3).cast("int").alias("c"))
-    assert codes.agg(F.max("c")).first()[0] < 1000
-
-
-def test_catalogue_rotates_limits_and_sizes(spark):
-    cat = star.catalogue(spark)
-    assert cat.count() == 240
-    assert cat.select("template_id").distinct().count() == 60
-    per = cat.groupBy("template_id").agg(F.countDistinct("warehouse_size").alias("s"),
-                                         F.countDistinct("limit_rows").alias("l"))
-    assert per.agg(F.min("s"), F.max("l")).first() == (3, 1)
-    assert {r[0] for r in cat.select("literal").distinct().collect()} == {20, 150, 450, 900}
-
-
-def test_feature_map_domain(spark):
-    fm = SC.feature_map(spark)
-    assert {r[0] for r in fm.select("used").distinct().collect()} <= {"yes", "no", "target"}
-    assert fm.filter(F.col("column") == "EXECUTION_TIME").first()["used"] == "target"
-
-
 def test_multiline_text_round_trips_through_csv(spark):
     rows = [("q1", "select a\nfrom t\nwhere b = 'x, \"y\"'", None)]
     df = SC.conform(spark.createDataFrame(rows, "QUERY_ID string, QUERY_TEXT string, "
@@ -49,3 +19,11 @@ def test_multiline_text_round_trips_through_csv(spark):
     back = IO.read_history_csv(spark, path).first()
     assert back["QUERY_TEXT"] == rows[0][1] and back["QUERY_TAG"] is None
     assert IO.read_history_csv(spark, path + "_missing").count() == 0
+
+
+def test_a_failing_store_is_not_a_missing_file(spark):
+    with pytest.raises(Exception):
+        IO.read_history_csv(spark, "nosuchscheme://host/path").count()
+    with pytest.raises(Exception):
+        IO.read_parquet_or_none(spark, "nosuchscheme://host/path")
+    assert IO.read_parquet_or_none(spark, "/tmp/none-such-folder-here") is None

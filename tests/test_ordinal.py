@@ -44,14 +44,27 @@ def test_exact_percentile_and_rank_value_match_the_aggregates(spark):
     df = skewed(spark, 1001)
     want = {r["g"]: (r["m"], r["q"]) for r in df.groupBy("g").agg(
         F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.9).alias("q")).collect()}
-    for limit in (0, 10**6):   # rank path, bounded-buffer path
-        med = {r["g"]: r["m"] for r in exact_percentile(df, ["g"], "v", 0.5, "m", limit).collect()}
-        p90 = {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", 0.9, "q", limit).collect()}
-        assert set(med) == set(want)
-        for g, (m, q) in want.items():
-            assert abs(med[g] - m) < 1e-9 and abs(p90[g] - q) < 1e-9
+    med = {r["g"]: r["m"] for r in exact_percentile(df, ["g"], "v", 0.5, "m").collect()}
+    p90 = {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", 0.9, "q").collect()}
+    assert set(med) == set(want)
+    for g, (m, q) in want.items():
+        assert abs(med[g] - m) < 1e-9 and abs(p90[g] - q) < 1e-9
     upper = {r["g"]: r["u"] for r in rank_value(df, ["g"], "v", lambda n: F.floor(n / 2) + 1,
                                                 "u").collect()}
     for g in want:
         vals = sorted(r["v"] for r in df.filter(F.col("g") == g).collect())
         assert upper[g] == vals[len(vals) // 2]
+
+
+def test_null_group_keys_are_a_group(spark):
+    from shapecast.operators.ordinal import exact_percentiles, rank_value
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(5)] + [("a", i, float(-i)) for i in range(4)],
+                               "g string, seq long, v double")
+    got = block_position(df, ["g"], "seq", "p", block_size=2)
+    assert sorted((r["p"] for r in got.filter("g is null").collect())) == [0, 1, 2, 3, 4]
+    got = sorted_position(df, ["g"], [F.col("v").desc()], "r", partitions=3)
+    assert sorted((r["r"], r["v"]) for r in got.filter("g is null").collect()) == [(i + 1, 4.0 - i) for i in range(5)]
+    assert got.columns == ["g", "seq", "v", "r"] and got.count() == 9
+    med = {r["g"]: (r["m"], r["s"]) for r in exact_percentiles(df, ["g"], {"v": "m", "seq": "s"}, 0.5).collect()}
+    assert med == {None: (2.0, 2.0), "a": (-1.5, 1.5)}
+    assert rank_value(df, ["g"], "v", lambda n: n, "top").count() == 2

@@ -60,12 +60,25 @@ def test_null_text_reads_as_empty(spark):
 def test_shape_adds_table_sizes_and_warehouse(spark, catalogue):
     df = spark.createDataFrame([("q", SPEC_TEXT.format(literal=450), "Small")],
                                "query_id string, query_text string, warehouse_size string")
-    for limit in (10, 0):   # broadcast map and shuffle-join paths
-        r = op.with_table_sizes(op.with_shape(df), catalogue, max_broadcast_rows=limit) \
-            .withColumn("warehouse_threads", op.warehouse_threads()).first()
-        assert r["warehouse_threads"] == 2
-        assert r["table_rows"] == 5_000_000 + 50_000 + 5_000
-        assert r["table_bytes"] > 0 and r["tables_known"] == 3
+    r = op.with_table_sizes(op.with_shape(df), catalogue) \
+        .withColumn("warehouse_threads", op.warehouse_threads()).first()
+    assert r["warehouse_threads"] == 2
+    assert r["table_rows"] == 5_000_000 + 50_000 + 5_000
+    assert r["table_bytes"] > 0 and r["tables_known"] == 3
+
+
+def test_a_name_listed_twice_keeps_its_last_row_and_blanks_are_zero(spark):
+    cat = spark.createDataFrame([("T", "10", "1", "2020-01-01"), ("t", "20", "2", "2021-01-01"), ("U", " ", None, "2020-01-01"),
+                                 ("V", "x", "7", "2020-01-01")],
+                                "TABLE_NAME string, ROW_COUNT string, BYTES string, LAST_ALTERED string")
+    df = spark.createDataFrame([("q", "select 1 from t join u on a = b join v on c = d"), ("p", None)], "query_id string, query_text string")
+    got = {r["query_id"]: r for r in op.with_table_sizes(op.with_shape(df), cat).collect()}
+    assert (got["q"]["table_rows"], got["q"]["table_bytes"], got["q"]["tables_known"]) == (20, 9, 3)
+    assert (got["p"]["table_rows"], got["p"]["tables_known"]) == (0, 0)
+
+
+def test_a_huge_limit_does_not_fail(spark):
+    assert parse(spark, "select a from t limit 99999999999999999999")[0]["limit_rows"] == 2**63 - 1
 
 
 def test_an_unknown_table_and_warehouse_contribute_nothing(spark, catalogue):
