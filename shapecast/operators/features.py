@@ -55,10 +55,6 @@ def featurise(df: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ("QUE
         if c not in seen.columns:
             seen = seen.withColumn(c, F.lit(None).cast("double" if c.startswith("PRIOR")
                                                        else "int"))
-    key = keys[0] if keys else None
-    if key is None:
-        seen = seen.withColumn("__key", F.monotonically_increasing_id())
-        key = "__key"
     parsed = shape_op.with_shape(seen, "QUERY_TEXT")
     sized = shape_op.with_table_sizes(parsed, catalogue)
     has_prior = F.coalesce(F.col("HAS_PRIOR").cast("double"), F.lit(0.0))
@@ -87,15 +83,12 @@ def featurise(df: DataFrame, catalogue: DataFrame, keys: tuple[str, ...] = ("QUE
 def training_rows(history: DataFrame, calibration: DataFrame,
                   order_col: str | None = None) -> DataFrame:
     """History rows with the calibrated target beside them (inner join on
-    the query id). A calibration id that repeats keeps its last row
-    (``order_col``, else any)."""
-    c = calibration
-    if order_col:
-        c = (c.groupBy("query_id").agg(F.max(F.struct(order_col, *[
-            x for x in c.columns if x not in ("query_id", order_col)])).alias("__r"))
-            .select("query_id", "__r.*").drop(order_col))
-    else:
-        c = c.dropDuplicates(["query_id"])
+    the query id). A calibration id that repeats keeps its last row: by
+    ``order_col``, else by its columns in their order."""
+    first = [order_col] if order_col else []
+    rest = [x for x in calibration.columns if x not in ("query_id", order_col)]
+    c = (calibration.groupBy("query_id").agg(F.max(F.struct(*first, *rest)).alias("__r"))
+         .select("query_id", *[F.col("__r")[x].alias(x) for x in rest]))
     beside = c.select(
         F.col("query_id").alias("QUERY_ID"),
         F.col("calibrated_execution_ms").cast("double").alias("TARGET_MS"),

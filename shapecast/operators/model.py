@@ -143,6 +143,10 @@ def fit_and_score(train_features: DataFrame, estimator_factory, key: str = "QUER
     rows, training rows by five out-of-fold fits (M4), plus the deployed refit
     on everything (M10). Returns (predictions, holdout_model, deployed_model)."""
     data = labelled(train_features, target).withColumn("__fold", fold_of(key, folds)).cache()
+    rows = data.count()
+    if rows < M.MIN_ROWS_TO_TRAIN:      # M7
+        data.unpersist()
+        raise ValueError(f"{rows} rows are too few to train on; {M.MIN_ROWS_TO_TRAIN} are needed")
     train = data.filter(F.col("in_holdout") == 0)
     hold = data.filter(F.col("in_holdout") == 1)
     # The seven fits are independent: holdout model, one per fold, deployed.
@@ -243,6 +247,24 @@ def grid_search(train_features: DataFrame, key: str = "QUERY_ID", target: str =
     return spark.createDataFrame(rows, "params string, cv_mape_pct double").orderBy("cv_mape_pct")
 
 
+def predict_text(model, catalogue: DataFrame, text: str, warehouse_size: str,
+                 index: DataFrame | None = None) -> float:
+    """The runtime in ms of one statement before it runs. ``index``: the
+    history's means by parameterised hash (``features.history_index``); without
+    it, or for a shape not seen before, there is no prior."""
+    from ..functions import shape as S
+    from . import features as fe
+    from .shape import check_warehouse
+    spark = catalogue.sparkSession
+    one = spark.createDataFrame([("statement", text, warehouse_size)],
+                                "QUERY_ID string, QUERY_TEXT string, warehouse_size string")
+    pre = one.select("QUERY_ID", "QUERY_TEXT", check_warehouse().alias("WAREHOUSE_SIZE"),
+                     S.parameterized_hash(F.col("QUERY_TEXT")).alias("QUERY_PARAMETERIZED_HASH"))
+    if index is not None:
+        pre = fe.attach_prior(pre, index)
+    return score(model, fe.featurise(pre, catalogue)).first()["predicted_ms"]
+
+
 def save_model(model, path: str) -> None:
     """A fitted PipelineModel to a shared folder (feature order is the
     assembler's input list, stored with it)."""

@@ -136,24 +136,23 @@ def m14(spark, sf_dir):
                                           *fe.FEATURES)
 
 
-@register("M15_out_of_envelope_latest_batch", q(SHAPE_CTES, BRACKET_CTES, TRAIN_CTES, FEATURE_CTES, """
-env as (select round(min(log_table_rows), 6) as lo, round(max(log_table_rows), 6) as hi,
-  round(min(predicate_literal), 6) as plo, round(max(predicate_literal), 6) as phi from feat
-  where query_tag < (select max(query_tag) from qlog))""", """
-select query_id as QUERY_ID,
-  (log_table_rows < lo - 1e-5 or log_table_rows > hi + 1e-5) as rows_outside,
-  (predicate_literal < plo - 1e-5 or predicate_literal > phi + 1e-5) as literal_outside
-from feat, env where query_tag = (select max(query_tag) from qlog)"""))
+@register("M15_out_of_envelope_latest_batch", q(SHAPE_CTES, BRACKET_CTES, TRAIN_CTES, FEATURE_CTES,
+    "env as (select " + ", ".join(
+        f"round(min({f}), 6) as {f}_lo, round(max({f}), 6) as {f}_hi" for f in fe.FEATURES)
+    + " from feat where query_tag < (select max(query_tag) from qlog))",
+    "select query_id as QUERY_ID, " + ", ".join(
+        f"({f} < {f}_lo - 1e-5 or {f} > {f}_hi + 1e-5) as {f}_outside" for f in fe.FEATURES)
+    + " from feat, env where query_tag = (select max(query_tag) from qlog)"))
 def m15(spark, sf_dir):
+    """Every feature of every row of the latest batch against the earlier batches."""
     feats = E.feature_rows(spark, sf_dir)
     last = feats.agg(F.max("QUERY_TAG").alias("__m"))
     tagged = feats.crossJoin(F.broadcast(last))
     env = M.feature_envelope(tagged.filter(F.col("QUERY_TAG") < F.col("__m")), fe.FEATURES)
     latest = tagged.filter(F.col("QUERY_TAG") == F.col("__m")).drop("__m")
     flagged = MO.out_of_envelope(latest, env)
-    return flagged.select("QUERY_ID",
-                          F.array_contains("outside", "log_table_rows").alias("rows_outside"),
-                          F.array_contains("outside", "predicate_literal").alias("literal_outside"))
+    return flagged.select("QUERY_ID", *[F.array_contains("outside", f).alias(f"{f}_outside")
+                                        for f in fe.FEATURES])
 
 
 @register("M16_grid_search_cv_mape")

@@ -27,3 +27,33 @@ def test_a_failing_store_is_not_a_missing_file(spark):
     with pytest.raises(Exception):
         IO.read_parquet_or_none(spark, "nosuchscheme://host/path")
     assert IO.read_parquet_or_none(spark, "/tmp/none-such-folder-here") is None
+
+
+def _fitted(spark, catalogue, n=40):
+    from pyspark.sql import functions as F
+
+    from shapecast.operators import features as fe
+    from shapecast.operators import model as MO
+    rows = spark.range(n).select(
+        F.concat(F.lit("q"), "id").alias("QUERY_ID"),
+        F.concat(F.lit("select count(*) from fact_event_"), F.when(F.col("id") % 2 == 0, "s").otherwise("l"),
+                 F.lit(" where a < "), F.col("id")).alias("QUERY_TEXT"),
+        F.lit("Small").alias("WAREHOUSE_SIZE"), (F.col("id") % 2 * 90 + 10).cast("double").alias("TARGET_MS"))
+    feats = fe.featurise(rows, catalogue).join(rows.select("QUERY_ID", "TARGET_MS"), "QUERY_ID")
+    return feats.withColumn("in_holdout", (F.substring("QUERY_ID", -1, 1) == "7").cast("int")), MO
+
+
+def test_one_statement_is_scored_before_it_runs(spark, catalogue):
+    feats, MO = _fitted(spark, catalogue)
+    model = MO.pipeline(MO.new_gbt()).fit(MO.labelled(feats))
+    small = MO.predict_text(model, catalogue, "select count(*) from fact_event_s where a < 5", "Small")
+    large = MO.predict_text(model, catalogue, "select count(*) from fact_event_l where a < 5", "Small")
+    assert 0 < small < 30 < large
+    with pytest.raises(Exception):
+        MO.predict_text(model, catalogue, "select 1", "Jumbo")
+
+
+def test_too_few_rows_are_refused(spark, catalogue):
+    feats, MO = _fitted(spark, catalogue, 11)
+    with pytest.raises(ValueError, match="too few"):
+        MO.fit_and_score(feats, MO.new_linear)
