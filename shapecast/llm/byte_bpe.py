@@ -6,11 +6,13 @@ the bytes of a word: the state holds the pieces and the rank of every adjacent
 pair; a step joins the leftmost pair of least rank and looks up only the two
 pairs that are new. A whole word that has a rank is taken as it is.
 
-A text is split into words by the tokenizer's pattern. Words are folded once
-each: the most frequent ones (``HEAD_WORDS`` at most, ``HEAD_BYTES`` long at
-most, so the table sent to the workers has a fixed bound) for the whole
-corpus, all others in the block of documents where they occur. No text is
-shuffled. Decoding concatenates the binary pieces of the ids.
+A text is split into words by the tokenizer's pattern. Distinct words are
+folded: frequent ones (``HEAD_WORDS`` at most, ``HEAD_BYTES`` long at most, so
+the table sent to the workers has a fixed bound) for the whole corpus, all
+others in the block of documents where they occur. Which words are frequent is
+counted on ``HEAD_DOCS`` documents about; it only decides where a word is
+folded. Blocks pass on the ids of their texts with marks for the other words,
+so no text is shuffled. Decoding concatenates the binary pieces of the ids.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are
 encoded each; very long texts and words are encoded whole; an empty table gives
@@ -22,11 +24,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,19 @@ from pyspark.sql import functions as F
 from .common import texts, written
 
 BUCKETS = 16384
-HEAD_WORDS = 400_000
+HEAD_WORDS = 300_000
 HEAD_BYTES = 32
 #: Documents of a block: by number and by characters.
 BLOCK_DOCS, BLOCK_CHARS = 512, 1_000_000
+#: Documents on which words are counted for the head.
+HEAD_DOCS = 40_000
 #: Chunks of text whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
+#: Ids from here on stand for the words a block folds itself.
+MARK = 1 << 31
+#: Chunks whose letters are plain, and the pattern's words in them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 #: Distinct words a task holds before it passes their counts on.
 COUNT_FLUSH = 200_000
 NONE = 2**31 - 1
@@ -69,8 +78,9 @@ def _let(value: Column, body) -> Column:
 
 
 def _rank(table: Column, piece: Column) -> Column:
-    bucket = F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int"))
-    return _let(bucket, lambda b: F.get(b["v"], (F.array_position(b["k"], piece) - 1).cast("int")))
+    at = F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")
+    bucket = F.get(table, at)
+    return F.get(bucket["v"], (F.array_position(bucket["k"], piece) - 1).cast("int"))
 
 
 def merged(word: Column, literal: Column) -> Column:
@@ -86,18 +96,19 @@ def merged(word: Column, literal: Column) -> Column:
             n = F.size(p)
 
             def join(at: Column) -> Column:
-                i = at["i"]
-                x = F.concat(F.get(p, i - 1), F.get(p, i))
-                return _let(x, lambda new: F.struct(
+                i, new = at["i"], at["new"]
+                return F.struct(
                     F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("p"),
                     F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
                              F.when(i > 1, F.array(pair(F.get(p, i - 2), new))).otherwise(F.slice(r, 1, 0)),
                              F.when(i + 1 < n, F.array(pair(new, F.get(p, i + 1)))).otherwise(F.slice(r, 1, 0)),
-                             F.slice(r, i + 2, F.greatest(n - i - 2, F.lit(0)))).alias("r")))
+                             F.slice(r, i + 2, F.greatest(n - i - 2, F.lit(0)))).alias("r"))
 
+            where = F.array_position(r, F.array_min(r)).cast("int")
+            there = F.struct(where.alias("i"), F.concat(F.get(p, where - 1), F.get(p, where)).alias("new"))
             least = F.array_min(r)
             return F.when(least.isNull() | (least == NONE), s).otherwise(
-                _let(F.struct(F.array_position(r, least).cast("int").alias("i")), join))
+                _let(there, join))
 
         folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step,
                              lambda s: F.transform(s["p"], lambda x: _rank(table, x)))
@@ -113,8 +124,10 @@ class Splitter:
     each distinct chunk; texts with longer white space around spaces run whole."""
 
     def __init__(self, pattern: str):
+        import public_tokenizers
         import regex
         self.find = regex.compile(pattern).findall
+        self.plain = pattern == public_tokenizers.PATTERN
         self.unsafe = regex.compile(r"\s | \s").search
 
     def chunks(self, text: str) -> tuple[list[str], list[str]]:
@@ -127,7 +140,8 @@ class Splitter:
         return self.find(first), rest
 
     def words(self, chunk: str) -> list[bytes]:
-        return [w.encode() for w in self.find(" " + chunk)]
+        find = PLAIN_WORDS if self.plain and PLAIN(chunk) else self.find
+        return [w.encode() for w in find(" " + chunk)]
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -185,26 +199,20 @@ def _memory(key: str, head) -> tuple[dict, dict]:
     return _KNOWN[key]
 
 
-def decode(ids: bytes, pieces: list[bytes]) -> bytes:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, ids.tolist()))
 
 
-class Encoded(NamedTuple):
-    """Blocks of documents (doc_ids, texts, and the words outside the head with
-    their ids), the head table sent to the workers and its key, the pattern."""
-    blocks: DataFrame
-    head: object
-    key: str
-    pattern: str
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Encoded:
-    """Encodes every text; ``digests`` and ``token_ids`` put the parts together."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """Blocks of documents: doc_ids, marked (their ids, words that the block folds
+    as ``MARK`` and up) and folded (the ids of those words)."""
     spark: SparkSession = docs.sparkSession
     literal = rank_literal(ranks)
-    counts = written(word_counts(docs, pattern), "words")
-    head = head_words(counts).select("word", merged(F.col("word"), literal).alias("ids")).toArrow()
-    table = {w: np.array(i, "<u4").tobytes() for w, i in zip(head["word"].to_pylist(), head["ids"].to_pylist())}
+    slices = max(1, docs.count() // HEAD_DOCS)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == 0)
+    head = head_words(written(word_counts(some, pattern), "words")).repartition(spark.sparkContext.defaultParallelism)
+    got = head.select("word", merged(F.col("word"), literal).alias("ids")).toArrow()
+    table = {w: np.array(i, "<u4").tobytes() for w, i in zip(got["word"].to_pylist(), got["ids"].to_pylist())}
     sent, key = spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,81 +220,90 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Encoded:
         words, chunks = _memory(key, sent)
 
         def block(ids, some):
-            seen, rare = set(), set()
-            for t in some:
-                first, rest = split.chunks(t)
-                rare.update(w for x in first if (w := x.encode()) not in words)
-                seen.update(rest)
-            for c in seen.difference(chunks):
-                got = split.words(c)
-                new = [w for w in got if w not in words]
-                rare.update(new)
-                if not new and len(chunks) < CACHE:
-                    chunks[c] = b"".join([words[w] for w in got])
-            return pa.record_batch([pa.array([ids], pa.list_(pa.int64())), pa.array([some], pa.list_(pa.large_string())).cast(pa.list_(pa.string())),
-                                    pa.array([sorted(rare)], pa.list_(pa.binary()))], ["doc_ids", "texts", "rare"])
+            cut = [split.chunks(t) for t in some]
+            rare: dict[bytes, bytes] = {}
+            mine: dict[str, bytes] = {}
+
+            def word(w):
+                if w in words:
+                    return words[w]
+                if w not in rare:
+                    rare[w] = (MARK + len(rare)).to_bytes(4, "little")
+                return rare[w]
+
+            for c in set().union(*(rest for _, rest in cut)).difference(chunks):
+                own, before = split.words(c), len(rare)
+                mine[c] = b"".join(map(word, own))
+                if len(chunks) < CACHE and len(rare) == before and not any(w in rare for w in own):
+                    chunks[c] = mine[c]
+            out = [b"".join([word(w.encode()) for w in first]) + b"".join([chunks[c] if c in chunks else mine[c] for c in rest])
+                   for first, rest in cut]
+            return pa.record_batch([pa.array([ids], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.binary())),
+                                    pa.array([list(rare)], pa.list_(pa.binary()))], ["doc_ids", "marked", "rare"])
 
         for batch in batches:
-            ids, some, size = [], [], 0
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if some and (len(some) >= BLOCK_DOCS or size + len(t) > BLOCK_CHARS):
-                    yield block(ids, some)
-                    ids, some, size = [], [], 0
-                ids.append(i)
-                some.append(t)
-                size += len(t)
-            if some:
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                ids, some, size = [], [], 0
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    if some and size + len(t) > BLOCK_CHARS:
+                        yield block(ids, some)
+                        ids, some, size = [], [], 0
+                    ids.append(i)
+                    some.append(t)
+                    size += len(t)
                 yield block(ids, some)
 
-    dealt = texts(docs).mapInArrow(blocks, "doc_ids array<long>, texts array<string>, rare array<binary>")
-    return Encoded(dealt.withColumn("rare_ids", F.transform("rare", lambda w: merged(w, literal))), sent, key, pattern)
-
-
-def _ids_of(batch: pa.RecordBatch, split: Splitter, words: dict, chunks: dict):
-    """(doc_id, ids as bytes) of a block's documents."""
-    for ids, some, rare, rare_ids in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "texts", "rare", "rare_ids"))):
-        own = {w: np.array(x, "<u4").tobytes() for w, x in zip(rare, rare_ids)}
-        mine: dict[str, bytes] = {}
-        word = lambda w: words[w] if w in words else own[w]
-        for i, t in zip(ids, some):
-            first, rest = split.chunks(t)
-            for c in set(rest).difference(chunks, mine):
-                mine[c] = b"".join(map(word, split.words(c)))
-            start = b"".join([word(w.encode()) for w in first])
-            yield i, start + b"".join([chunks[c] if c in chunks else mine[c] for c in rest])
-
-
-def digests(encoded: Encoded, ranks: dict[bytes, int]) -> DataFrame:
+    dealt = texts(docs).mapInArrow(blocks, "doc_ids array<long>, marked array<binary>, rare array<binary>")
+    return dealt.select("doc_ids", "marked", F.transform("rare", lambda w: merged(w, literal)).alias("folded"))
+
+
+def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of the blocks' documents, the marks replaced by the words' ids."""
+    for ids, marked, folded in zip(*(batch.column(c) for c in ("doc_ids", "marked", "folded"))):
+        sizes = np.array([len(x) for x in folded.values], np.int64) if len(folded) else np.empty(0, np.int64)
+        flat = folded.values.flatten().to_numpy(zero_copy_only=False).astype("<u4") if len(folded) else np.empty(0, "<u4")
+        first = np.cumsum(sizes) - sizes
+        for i, raw in zip(ids.as_py(), marked.as_py()):
+            out = np.frombuffer(raw, "<u4")
+            at = np.flatnonzero(out >= MARK)
+            if len(at):
+                word = (out[at] - MARK).astype(np.int64)
+                n = np.ones(len(out), np.int64)
+                n[at] = sizes[word]
+                whole = np.repeat(out, n)
+                places = (np.cumsum(n) - n)[at]
+                inside = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+                whole[np.repeat(places, n[at]) + inside] = flat[np.repeat(first[word], n[at]) + inside]
+                out = whole
+            yield i, out
+
+
+def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Per document: token count, SHA-256 of its ids and of the bytes they decode to."""
-    blocks, sent, key, pattern = encoded
     pieces = [b""] * (max(ranks.values()) + 1)
     for p, r in ranks.items():
         pieces[r] = p
-    table = blocks.sparkSession.sparkContext.broadcast(pieces)
+    table = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
-        words, chunks = _memory(key, sent)
         piece = table.value
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            rows = [(i, len(ids) // 4, sha(ids), sha(decode(ids, piece))) for i, ids in _ids_of(batch, split, words, chunks)]
+            rows = [(i, len(ids), sha(ids.tobytes()), sha(decode(ids, piece))) for i, ids in _ids_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), RESULT.types)], schema=RESULT) if rows \
                 else pa.RecordBatch.from_pylist([], schema=RESULT)
 
-    return blocks.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_ids(encoded: Encoded) -> DataFrame:
+def token_ids(encoded: DataFrame) -> DataFrame:
     """Per document its ids: doc_id, ids array<int>."""
-    blocks, sent, key, pattern = encoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
-        words, chunks = _memory(key, sent)
         for batch in batches:
-            rows = list(_ids_of(batch, split, words, chunks))
+            rows = list(_ids_of(batch))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()),
-                                   pa.array([np.frombuffer(r[1], "<i4") for r in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                                   pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, ids array<int>")
+    return encoded.mapInArrow(run, "doc_id long, ids array<int>")
