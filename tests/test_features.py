@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SPEC_TEXT
+from spec_text import SPEC_TEXT
 from shapecast import schemas as SC
 from shapecast.operators import features as fe
 

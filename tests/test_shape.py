@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SPEC_TEXT
+from spec_text import SPEC_TEXT
 from shapecast.functions import shape as S
 from shapecast.operators import shape as op
 
