@@ -139,3 +139,36 @@ def op1_brown_lm(spark, sf_dir):
     """Every text under the class model learnt from the rows that are not held out."""
     from .brown_lm import score
     return score(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+sized as (select r, doc_id, ts, len(ts)::bigint as n from d where len(ts) > 0),
+total as (select count(*)::bigint as all_n, sum(n)::bigint as all_l from sized),
+tf as (select r, term, count(*)::bigint as tf from (select r, unnest(ts) as term from sized) group by all),
+df as (select term, count(*)::bigint as df from tf group by all),
+items as (
+  select item_id, term, count(*)::bigint as times from (
+    select item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+weighed as (
+  select item_id, term, times * floor(1000 * ln((2 * all_n + 2)::double / (2 * df + 1)::double))::bigint as w
+  from items join df using (term), total),
+scored as (
+  select item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_n) // all_l))))::bigint as score
+  from weighed join tf using (term) join sized using (r), total group by all),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as place from scored where score > 0)
+select item_id, place::integer as rank, doc_id, score from ranked where place <= 20"""
+
+
+@query("op12_automaton_search", OP12_SQL)
+def op12_automaton_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    from .automaton_search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
