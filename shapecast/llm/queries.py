@@ -172,3 +172,45 @@ def op12_automaton_search(spark, sf_dir):
     """The 20 best documents of every benchmark item."""
     from .automaton_search import search
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+@query("op11_projection_passes")
+def op11_projection_passes(spark, sf_dir):
+    """Links and component of every vector among those of its label, cosine 0.93 or more."""
+    from .projection_passes import link
+    return link(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+with own as (
+  select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id),
+taken as (
+  select conv_id, turns, xor(4294967295, list_reduce(
+           [4294967295::bigint] || flatten(list_transform(string_split(conv_id::varchar, ''),
+             lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end)) % 6 as h from own),
+whole as (
+  select a.conv_id, list_concat(coalesce(b.turns[1:h], []), a.turns[h + 1:]) as seq
+  from taken a left join own b on b.conv_id = a.conv_id - a.conv_id % 100),
+begun as (select conv_id, d, seq[1:d] as way, d = len(seq) as ended from (select *, unnest(range(0, len(seq) + 1)) as d from whole)),
+node as (
+  select way, d, min(conv_id) as conv_id, count(*) as n_convs, case when d = 0 then 0 else length(any_value(way[d].text)) end as size,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ended), '')) as ends_sha256
+  from begun group by way, d),
+kids as (select way[1:d - 1] as way, count(*) as n_children from node where d > 0 group by 1),
+full_node as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (way)),
+sums as (
+  select way, sum((n_convs - 1) * size) as saved_tokens, sum((n_children = 0)::int) as n_leaves
+  from (select u.way[1:k] as way, n_convs, size, n_children from full_node u, unnest(range(0, u.d + 1)) as t(k)) group by way)
+select f.conv_id, f.d::bigint as depth, p.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children,
+       n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, f.ends_sha256
+from full_node f join sums using (way) left join node p on f.d > 0 and p.way = f.way[1:f.d - 1]"""
+
+
+@query("op13_conversation_trie", OP13_SQL)
+def op13_conversation_trie(spark, sf_dir):
+    """Every node of the trie of the rebuilt conversations."""
+    from .conversation_trie import trie
+    return trie(table(spark, sf_dir, "conversations"))
