@@ -22,6 +22,7 @@ GATE_RULE = "holdout MAPE <= 15% and holdout R2 >= 0.90 on log10 ms"
 BOOTSTRAP_DRAWS = 2000
 HOLDOUT_FRACTION = 0.3
 MIN_ROWS_TO_TRAIN = 12
+POISSON_MAX = 12          # bootstrap weights above this have a chance below 1e-10
 # ---------------------------------------------------------------------------------
 
 
@@ -72,7 +73,7 @@ def _uniform(key: F.Column, draw: F.Column) -> F.Column:
     return h.cast("double") / F.lit(4294967296.0)
 
 
-def _poisson1(u: F.Column, kmax: int = 12) -> F.Column:
+def _poisson1(u: F.Column, kmax: int = POISSON_MAX) -> F.Column:
     """Poisson(1) by inverse CDF of a uniform (P(k > 12) < 1e-10)."""
     cdf, term, expr = 0.0, math.exp(-1.0), None
     for k in range(kmax + 1):

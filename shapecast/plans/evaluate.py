@@ -1,32 +1,22 @@
-"""Model versions over cumulative batch prefixes (the learning curve), scored
-out of sample, as one DataFrame job per output.
-
-Version b is trained on the log up to batch b: its holdout is batch b (the
-tail 30% of batch 1 for b = 1), its training rows are scored out of fold. The
-model is ``ols_1d`` on one feature (log of the named tables' rows); the
-baseline is the intercept-only model (mean log runtime). Rows are copied once
-per version that contains them (work grows with rows x versions, as the
-learning curve's definition requires); every aggregate is keyed by version
-and combinable.
+"""The model versions of the log: feature rows, the versions' state, predictions
+and metrics, each staged once per application (see ``operators/versions``).
+
+The model with an exact SQL twin is ``ols_1d`` on one feature (log of the named
+tables' rows); the baseline of every version is least squares on all 13 features.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import metrics as M
-from ..operators import model as MO
+from ..operators import versions as V
 from ..session import stage
 from . import history as H
 from . import qlog as Q
 
-X_FEATURE = "log_table_rows"
-STATS = ("n", "sx", "sy", "sxx", "sxy")
-
-
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features (through the guard) joined back to target and ordinals."""
     return stage(spark, ("features", sf_dir), lambda: _feature_rows(spark, sf_dir))
@@ -43,140 +33,68 @@ def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.join(extra, "QUERY_ID", "inner")
 
 
-def version_rows(feats: DataFrame, holdout_fraction: float = M.HOLDOUT_FRACTION,
-                 latest_only: bool = False) -> DataFrame:
-    """One copy of each row per version b that contains it, with in_holdout
-    (``latest_only``: only the version with every batch, one copy per row)."""
-    tags = feats.select("QUERY_TAG").distinct()
-    # One row per batch: a window without partition over a tiny table.
-    tags = tags.withColumn("bn", F.row_number().over(W.orderBy("QUERY_TAG")))
-    meta = tags.agg(F.count(F.lit(1)).alias("nb"),
-                    F.min("QUERY_TAG").alias("__first"))
-    n1 = (feats.join(F.broadcast(meta), feats["QUERY_TAG"] == meta["__first"], "inner")
-          .agg(F.count(F.lit(1)).alias("n1")))
-    staged = (feats.join(F.broadcast(tags), "QUERY_TAG", "inner")
-              .crossJoin(F.broadcast(meta.crossJoin(n1))))   # one row
-    staged = staged.withColumn("b", F.col("nb") if latest_only else
-                               F.explode(F.sequence(F.col("bn"), F.col("nb"))))
-    hold = F.when(F.col("b") > 1, F.col("bn") == F.col("b")).otherwise(
-        F.col("pos") >= F.floor(F.col("n1") * F.lit(1.0 - holdout_fraction)))
-    return staged.withColumn("in_holdout", hold.cast("int")).drop("nb", "__first", "n1")
-
-
-def scored_versions(feats: DataFrame, x: str = X_FEATURE, latest_only: bool = False) -> DataFrame:
-    """Per (b, row): x, y, actual, model prediction (OOF for training rows),
-    baseline prediction (holdout rows)."""
-    v = version_rows(feats, latest_only=latest_only).select(
-        "b", "QUERY_ID", "QUERY_TAG", "in_holdout", "EXECUTION_TIME",
-        F.col(x).cast("double").alias("__x"), F.log("TARGET_MS").alias("__y"),
-        F.col("TARGET_MS").alias("__a"), MO.fold_of("QUERY_ID").alias("__fold"))
-    train = v.filter(F.col("in_holdout") == 0)
-    per_fold = train.groupBy("b", "__fold").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("__x").alias("sx"),
-        F.sum("__y").alias("sy"), F.sum(F.col("__x") * F.col("__x")).alias("sxx"),
-        F.sum(F.col("__x") * F.col("__y")).alias("sxy"))
-    total = per_fold.groupBy("b").agg(*[F.sum(c).alias("t" + c) for c in STATS])
-    slope_o, icpt_o = MO._slope_intercept(*[F.col("t" + c) - F.col(c) for c in STATS])
-    oof = per_fold.join(total, "b").select("b", "__fold", slope_o.alias("__sb"),
-                                           icpt_o.alias("__sa"))
-    slope_h, icpt_h = MO._slope_intercept(*[F.col("t" + c) for c in STATS])
-    full = total.select("b", slope_h.alias("__hb"), icpt_h.alias("__ha"),
-                        (F.col("tsy") / F.col("tn")).alias("__mean"))
-    # Coefficient tables have (versions x folds) rows: broadcast.
-    s = (v.join(F.broadcast(oof), ["b", "__fold"], "left")
-         .join(F.broadcast(full), "b", "left"))
-    pred = F.when(F.col("in_holdout") == 1, F.exp(F.col("__ha") + F.col("__hb") * F.col("__x"))) \
-        .otherwise(F.exp(F.col("__sa") + F.col("__sb") * F.col("__x")))
-    return s.select("b", "QUERY_ID", "QUERY_TAG", "in_holdout", "EXECUTION_TIME",
-                    F.col("__a").alias("actual_ms"), pred.alias("predicted_ms"),
-                    F.exp("__mean").alias("baseline_ms"))
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``scored_versions`` of the log's feature rows, materialized once."""
-    return stage(spark, ("scored", sf_dir),
-                 lambda: scored_versions(feature_rows(spark, sf_dir)))
-
-
-def version_metrics(scored: DataFrame, draws: int = M.BOOTSTRAP_DRAWS) -> DataFrame:
-    """M8 per version: counts, holdout MAPE / MAE / R2 / CI, CV MAPE, baseline
-    MAPE, gate, digest version name."""
-    hold = scored.filter(F.col("in_holdout") == 1)
-    train = scored.filter(F.col("in_holdout") == 0)
-    la, lp = F.log10("actual_ms"), F.log10("predicted_ms")
-    mean = hold.groupBy("b").agg(F.avg(la).alias("__m"))
-    h = (hold.join(F.broadcast(mean), "b").groupBy("b").agg(
-        F.count(F.lit(1)).cast("int").alias("n_holdout_rows"),
-        M.mape().alias("__mape"), M.mae().alias("__mae"),
-        F.sum((la - lp) * (la - lp)).alias("__res"),
-        F.sum((la - F.col("__m")) * (la - F.col("__m"))).alias("__tot"),
-        (F.avg(F.abs(F.col("baseline_ms") - F.col("actual_ms")) / F.col("actual_ms")) * 100.0)
-        .alias("__base")))
-    r2 = F.when(F.col("__tot") > 0, F.lit(1.0) - F.col("__res") / F.col("__tot")).otherwise(0.0)
-    t = train.groupBy("b").agg(F.count(F.lit(1)).cast("int").alias("n_train_rows"),
-                               M.mape().alias("__cv"))
-    ci = bootstrap_by_version(hold, draws)
-    micro = F.round(F.col("EXECUTION_TIME") * 1000).cast("bigint").cast("string")
-    hh = F.conv(F.substring(F.sha2(F.concat_ws(":", "QUERY_ID", micro), 256), 1, 15), 16, 10) \
-        .cast("bigint")
-    dig = (scored.select("b", hh.alias("__h")).groupBy("b")
-           .agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__h").cast("decimal(20,0)")).alias("__s"),
-                F.bit_xor("__h").alias("__xo"))
-           .select("b", F.substring(F.sha2(F.concat_ws(
-               ":", F.col("__n").cast("string"), F.col("__s").cast("string"),
-               F.col("__xo").cast("string")), 256), 1, 8).alias("__digest")))
-    last_tag = scored.groupBy("b").agg(F.max("QUERY_TAG").alias("trained_at"))
-    out = (h.join(t, "b", "left").join(ci, "b", "left").join(dig, "b").join(last_tag, "b"))
-    return out.select(
-        F.col("b").cast("int").alias("model_sequence"),
-        F.concat(F.lit("v"), F.col("b").cast("string"), F.lit("-"), F.col("__digest"))
-        .alias("model_version"),
-        "trained_at", F.col("b").cast("int").alias("batches_measured"),
-        F.coalesce(F.col("n_train_rows"), F.lit(0)).alias("n_train_rows"), "n_holdout_rows",
-        F.round("__mape", 3).alias("holdout_mape_pct"),
-        F.round("mape_ci_low_pct", 3).alias("mape_ci_low_pct"),
-        F.round("mape_ci_high_pct", 3).alias("mape_ci_high_pct"),
-        F.round(r2, 4).alias("holdout_r2"), F.round("__mae", 3).alias("holdout_mae_ms"),
-        F.round("__cv", 3).alias("cv_mape_pct"), F.round("__base", 3).alias("baseline_mape_pct"),
-        M.passes_gate(F.col("__mape"), r2).alias("passes_gate"))
-
-
-def bootstrap_by_version(hold: DataFrame, draws: int) -> DataFrame:
-    """A10 per version (Poisson bootstrap, see ``metrics.bootstrap_mape_ci``)."""
-    per_draw = (hold.select("b", "QUERY_ID", M.ape().alias("__e"),
-                            F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-                .withColumn("__w", M._poisson1(M._uniform(F.col("QUERY_ID"), F.col("draw"))))
-                .groupBy("b", "draw")
-                .agg((F.sum(F.col("__w") * F.col("__e")) / F.sum("__w")).alias("__m")))
-    return per_draw.groupBy("b").agg(F.percentile("__m", 0.025).alias("mape_ci_low_pct"),
-                                     F.percentile("__m", 0.975).alias("mape_ci_high_pct"))
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.numbered(feature_rows(spark, sf_dir))
+
+
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additive state of the log's batches."""
+    return stage(spark, ("state", sf_dir), lambda: V.state(numbered(spark, sf_dir)))
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of every version and fold: (versions x folds) rows."""
+    return stage(spark, ("models", sf_dir), lambda: V.models(state(spark, sf_dir)))
+
+
+def versions(spark: SparkSession, sf_dir: str, latest_only: bool = False) -> DataFrame:
+    """M8 of every version (or the newest), one row each."""
+    def build():
+        return version_metrics(numbered(spark, sf_dir), state(spark, sf_dir), models(spark, sf_dir), latest_only)
+    return stage(spark, ("versions", sf_dir, latest_only), build)
+
+
+def version_metrics(rows: DataFrame, st: DataFrame, fits: DataFrame, latest_only: bool = False) -> DataFrame:
+    """M8 from numbered rows, their state and its models: the coefficients (a few
+    numbers a version) go to the tasks of one pass over the rows."""
+    known = fits.collect()
+    wanted = sorted({r["b"] for r in known})
+    wanted = wanted[-1:] if latest_only else wanted
+    found = V.report(rows, V.OneFeature(known), V.Linear(known), wanted)
+    return V.metrics(found, V.names(st))
+
+
+def version_rows(rows: DataFrame, latest_only: bool = False) -> DataFrame:
+    """Per (b, row) with in_holdout: one copy of each numbered row per version
+    that contains it (what M1 and M4 list; ``latest_only``: the newest version)."""
+    b = F.col("nb") if latest_only else F.explode(F.sequence(F.col("bn"), F.col("nb").cast("int")))
+    staged = rows.withColumn("b", b)
+    hold = F.when(F.col("b") > 1, F.col("bn") == F.col("b")).otherwise(F.col("tail"))
+    return staged.withColumn("in_holdout", hold.cast("int"))
+
+
+def scored_versions(rows: DataFrame, fits: DataFrame, latest_only: bool = False) -> DataFrame:
+    """Per (b, row): actual and predicted ms (out of fold for training rows)."""
+    fits = fits.select("b", F.col("fold").alias("__fit"), "slope", "intercept")      # versions x folds: broadcast
+    used = F.when(F.col("in_holdout") == 1, F.lit(-1)).otherwise(F.col("fold"))
+    s = version_rows(rows, latest_only).withColumn("__fit", used).join(F.broadcast(fits), ["b", "__fit"], "left")
+    return s.select("b", "QUERY_ID", "QUERY_TAG", "in_holdout", F.col("TARGET_MS").alias("actual_ms"),
+                    F.exp(F.col("intercept") + F.col("slope") * F.col(V.X_FEATURE)).alias("predicted_ms"))
+
+
+def scored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, ("scored_latest", sf_dir),
+                 lambda: scored_versions(numbered(spark, sf_dir), models(spark, sf_dir), latest_only=True))
 
 
 def latest_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(predictions of the latest version with its model_version, feature rows)."""
-    feats = feature_rows(spark, sf_dir)
-    latest = stage(spark, ("scored_latest", sf_dir),
-                   lambda: scored_versions(feats, latest_only=True))
-    name = version_names(latest)
-    preds = latest.join(F.broadcast(name), "b").select(
+    name = V.names(state(spark, sf_dir)).select("b", "model_version")
+    preds = scored_latest(spark, sf_dir).join(F.broadcast(name), "b").select(
         "model_version", F.col("QUERY_ID").alias("query_id"), "in_holdout",
         F.round("actual_ms", 3).alias("actual_ms"), F.round("predicted_ms", 3).alias("predicted_ms"),
         F.round(M.ape(), 3).alias("abs_pct_error"))
-    return preds, feats
-
-
-def version_names(scored: DataFrame) -> DataFrame:
-    micro = F.round(F.col("EXECUTION_TIME") * 1000).cast("bigint").cast("string")
-    hh = F.conv(F.substring(F.sha2(F.concat_ws(":", "QUERY_ID", micro), 256), 1, 15), 16, 10) \
-        .cast("bigint")
-    return (scored.select("b", hh.alias("__h")).groupBy("b")
-            .agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__h").cast("decimal(20,0)")).alias("__s"),
-                 F.bit_xor("__h").alias("__xo"))
-            .select("b", F.concat(F.lit("v"), F.col("b").cast("string"), F.lit("-"),
-                                  F.substring(F.sha2(F.concat_ws(
-                                      ":", F.col("__n").cast("string"), F.col("__s").cast("string"),
-                                      F.col("__xo").cast("string")), 256), 1, 8))
-                    .alias("model_version")))
+    return preds, feature_rows(spark, sf_dir)
 
 
 def shape_rows(feats: DataFrame) -> DataFrame:

@@ -110,6 +110,8 @@ def q(*parts: str) -> str:
     body = PRELUDE.rstrip()
     for block in ctes:
         body += ",\n" + block.strip()
+    if VERSION_CTES in ctes:        # the least squares of the versions is solved step by step
+        body = body.replace("with knobs", "with recursive knobs", 1)
     return body + "\n" + final.strip()
 
 # Training rows: calibrated target (needs BRACKET_CTES from q_calibrate) and
@@ -160,8 +162,20 @@ def _poisson_sql(u: str, kmax: int = 12) -> str:
     return "case " + " ".join(parts) + f" else {kmax + 1} end"
 
 
-_U = ("(cast(('0x' || substr(md5(query_id || ':' || cast(draw as varchar)), 1, 8)) as bigint)"
-      " / 4294967296.0)")
+def _products(columns: list[str]) -> str:
+    """Rows of the normal equations of (1, columns) with the target's products last."""
+    z = ["1", *columns, "y"]
+    return "[" + ", ".join("[" + ", ".join(f"cast(sum({a} * {b}) as double)" for b in z) + "]" for a in z[:-1]) + "]"
+
+
+def _fitted(columns: list[str]) -> str:
+    return "c[1] + " + " + ".join(f"c[{i + 2}] * {f}" for i, f in enumerate(columns))
+
+
+#: The 13 features by name (the contract's order).
+FEATURE_NAMES = ["log_table_rows", "log_table_bytes", "n_tables", "n_joins", "has_group_by", "has_order_by",
+                 "has_window", "log_limit_rows", "n_predicates", "predicate_literal", "warehouse_threads",
+                 "has_prior", "log_prior_ms"]
 
 # Versions over cumulative batch prefixes, one-feature OLS scored out of
 # sample (needs SHAPE, BRACKET, TRAIN and FEATURE CTEs).
@@ -191,11 +205,10 @@ co2 as (select b, fold, n_, sx_, sy_,
 coef_o as (select b, fold, sb, (sy_ - sb * sx_) / n_ as sa from co2),
 ch1 as (select b, tn, tsx, tsy, case when tn * tsxx - tsx * tsx <> 0
     then (tn * tsxy - tsx * tsy) / (tn * tsxx - tsx * tsx) else 0.0 end as hb from tot),
-coef_h as (select b, hb, (tsy - hb * tsx) / tn as ha, tsy / tn as mean_y from ch1),
+coef_h as (select b, hb, (tsy - hb * tsx) / tn as ha from ch1),
 vscored as (select v.b, v.query_id, v.query_tag, v.in_holdout, v.execution_ms, v.a as actual_ms,
     case when v.in_holdout = 1 then exp(h.ha + h.hb * v.x) else exp(o.sa + o.sb * v.x) end
-      as predicted_ms,
-    exp(h.mean_y) as baseline_ms
+      as predicted_ms
   from vrows v left join coef_o o on o.b = v.b and o.fold = v.fold
   left join coef_h h on h.b = v.b),
 hmean as (select b, avg(log10(actual_ms)) as m from vscored where in_holdout = 1 group by b),
@@ -203,18 +216,33 @@ hm as (select v.b, cast(count(*) as integer) as n_holdout_rows,
     avg(abs(predicted_ms - actual_ms) / actual_ms) * 100.0 as mape,
     avg(abs(predicted_ms - actual_ms)) as mae,
     sum((log10(actual_ms) - log10(predicted_ms)) * (log10(actual_ms) - log10(predicted_ms))) as res,
-    sum((log10(actual_ms) - hmean.m) * (log10(actual_ms) - hmean.m)) as tot,
-    avg(abs(baseline_ms - actual_ms) / actual_ms) * 100.0 as base
+    sum((log10(actual_ms) - hmean.m) * (log10(actual_ms) - hmean.m)) as tot
   from vscored v join hmean on hmean.b = v.b where in_holdout = 1 group by v.b),
+
 tm as (select b, cast(count(*) as integer) as n_train_rows,
     avg(abs(predicted_ms - actual_ms) / actual_ms) * 100.0 as cv
   from vscored where in_holdout = 0 group by b),
-bdraw as (select b, draw, sum(w * e) / sum(w) as m from (
-    select v.b, d.draw, abs(v.predicted_ms - v.actual_ms) / v.actual_ms * 100.0 as e,
-      POISSON as w
-    from vscored v cross join range(1, DRAWS + 1) as d(draw) where v.in_holdout = 1) s
+hdraw as (select v.b, abs(v.predicted_ms - v.actual_ms) / v.actual_ms * 100.0 as e,
+    (cast(('0x' || substr(md5(v.query_id), 9, 8)) as ubigint) + cast(d.draw as ubigint) * 2654435769::ubigint)
+      % 4294967296::ubigint as x, d.draw
+  from vscored v cross join range(1, DRAWS + 1) as d(draw) where v.in_holdout = 1),
+mix1 as (select b, e, draw, (xor(x, x >> 16) * 2246822507::ubigint) % 4294967296::ubigint as x from hdraw),
+mix2 as (select b, e, draw, (xor(x, x >> 13) * 3266489909::ubigint) % 4294967296::ubigint as x from mix1),
+mix3 as (select b, e, draw, cast(xor(x, x >> 16) as double) / 4294967296.0 as u from mix2),
+bdraw as (select b, draw, sum(w * e) / sum(w) as m from (select b, draw, e, POISSON as w from mix3) s
   group by b, draw),
 ci as (select b, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bdraw group by b),
+bx as (select v.b, v.in_holdout, v.y, f.* from vrows v join feat f on f.query_id = v.query_id),
+bmom as (select b, PRODUCTS as g from bx where in_holdout = 0 group by b),
+bsolve as (select b, 0 as k, g, list_transform(g, lambda r, i: r[i]) as raw, []::boolean[] as used from bmom
+  union all
+  select b, k + 1, case when p then list_transform(g, lambda r, i: list_transform(r, lambda x, j:
+      case when i = k + 1 then x / g[k + 1][k + 1] else x - r[k + 1] * g[k + 1][j] / g[k + 1][k + 1] end)) else g end,
+    raw, list_append(used, p)
+  from (select *, g[k + 1][k + 1] > 1e-9 * raw[k + 1] as p from bsolve where k < 14) s),
+bcoef as (select b, list_transform(g, lambda r, i: case when used[i] then r[15] else 0.0 end) as c from bsolve where k = 14),
+bbase as (select bx.b, avg(abs(exp(FITTED) - target_ms) / target_ms) * 100.0 as base
+  from bx join bcoef on bcoef.b = bx.b where in_holdout = 1 group by bx.b),
 dig as (select b, 'v' || cast(b as varchar) || '-' || substr(sha256(cast(count(*) as varchar) || ':'
       || cast(sum(cast(h as decimal(20, 0))) as varchar) || ':' || cast(bit_xor(h) as varchar)), 1, 8)
       as model_version
@@ -228,9 +256,9 @@ vmetrics as (select hm.b, dig.model_version,
     round(ci.hi, 3) as mape_ci_high_pct,
     round(case when tot > 0 then 1.0 - res / tot else 0.0 end, 4) as holdout_r2,
     round(hm.mae, 3) as holdout_mae_ms, round(tm.cv, 3) as cv_mape_pct,
-    round(hm.base, 3) as baseline_mape_pct,
+    round(bbase.base, 3) as baseline_mape_pct,
     (hm.mape <= 15.0 and case when tot > 0 then 1.0 - res / tot else 0.0 end >= 0.90) as passes_gate
-  from hm left join tm on tm.b = hm.b left join ci on ci.b = hm.b join dig on dig.b = hm.b),
+  from hm left join bbase on bbase.b = hm.b left join tm on tm.b = hm.b left join ci on ci.b = hm.b join dig on dig.b = hm.b),
 latest as (select v.*, dig.model_version from vscored v join dig on dig.b = v.b
            where v.b = (select max(b) from vscored)),
 detail as (select l.model_version, l.query_id, s.template_id, s.template_label,
@@ -256,7 +284,8 @@ sla_out as (select template_id, template_label, queries, round(p50a, 3) as p50_a
     case when wp > 200.0 and wa > 200.0 then 'breach_called'
          when not wp > 200.0 and not wa > 200.0 then 'inside_sla'
          when wa > 200.0 then 'missed_breach' else 'false_alarm' end as sla_verdict,
-    200.0 as sla_ms from sla)""".replace("POISSON", _poisson_sql(_U)).replace("DRAWS", "2000")
+    200.0 as sla_ms from sla)""".replace("POISSON", _poisson_sql("u")).replace("DRAWS", "2000").replace(
+    "PRODUCTS", _products(FEATURE_NAMES)).replace("FITTED", _fitted(FEATURE_NAMES))
 
 # Shape rows with the template label (needs SHAPE_CTES).
 LABEL_CTES = r"""

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
+from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import model as MO
 from ..session import state_dir
 from . import evaluate as E
 from . import qlog as Q
-from .oracle import FEATURE_CTES, SHAPE_CTES, TRAIN_CTES, q
+from .oracle import FEATURE_CTES, FEATURE_NAMES, LABEL_CTES, SHAPE_CTES, TRAIN_CTES, VERSION_CTES, _fitted, q
 from .q_calibrate import BRACKET_CTES
 from .registry import register
 
@@ -48,6 +49,18 @@ def m02(spark, sf_dir):
     return c.select(F.round("slope", 9).alias("slope"), F.round("intercept", 9).alias("intercept"))
 
 
+@register("M02_least_squares_by_version", q(SHAPE_CTES, BRACKET_CTES, TRAIN_CTES, FEATURE_CTES, LABEL_CTES, VERSION_CTES, """
+select bx.b, bx.query_id as QUERY_ID, round(exp(FITTED), 3) as baseline_ms
+from bx join bcoef on bcoef.b = bx.b where in_holdout = 1""".replace("FITTED", _fitted(FEATURE_NAMES))))
+def m02_versions(spark, sf_dir):
+    """The baseline of every version on its holdout: least squares on the 13
+    features from the additive moments of the earlier batches."""
+    fits = E.models(spark, sf_dir).filter("fold = -1").select("b", "coef")       # one row a version
+    rows = E.numbered(spark, sf_dir).filter((F.col("bn") > 1) | F.col("tail"))
+    return rows.join(F.broadcast(fits), rows["bn"] == fits["b"]).select(
+        F.col("b").cast("bigint").alias("b"), "QUERY_ID", F.round(F.exp(L.fitted(F.col("coef"), fe.FEATURES)), 3).alias("baseline_ms"))
+
+
 @register("M02_linear_regression_13_features")
 def m02b(spark, sf_dir):
     """OLS on the 13-feature vector (Spark ML), scored out of sample."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import report as R
+from ..operators import versions as V
 from ..operators.features import FEATURES
 from ..operators.ordinal import sorted_position
 from . import evaluate as E
@@ -23,13 +24,9 @@ def qq(*parts: str) -> str:
     return q(*CHAIN, *parts)
 
 
-def _scored(spark, sf_dir):
-    return E.scored(spark, sf_dir)
-
-
 def _versions(spark, sf_dir):
-    # One row per version; the bootstrap behind it runs once per application.
-    return stage(spark, ("versions", sf_dir), lambda: E.version_metrics(_scored(spark, sf_dir)))
+    # One row per version; the pass behind it runs once per application.
+    return E.versions(spark, sf_dir)
 
 
 def detail(spark, sf_dir):
@@ -43,7 +40,7 @@ def detail(spark, sf_dir):
 @register("M01_holdout_split_by_version", qq("""
 select b, query_id as QUERY_ID, in_holdout from vrows"""))
 def m01(spark, sf_dir):
-    return E.version_rows(E.feature_rows(spark, sf_dir)).select(
+    return E.version_rows(E.numbered(spark, sf_dir)).select(
         F.col("b").cast("bigint").alias("b"), "QUERY_ID", "in_holdout")
 
 
@@ -51,7 +48,7 @@ def m01(spark, sf_dir):
 select b, query_id as QUERY_ID, round(predicted_ms, 3) as predicted_ms
 from vscored where in_holdout = 0"""))
 def m04(spark, sf_dir):
-    s = _scored(spark, sf_dir).filter(F.col("in_holdout") == 0)
+    s = E.scored_versions(E.numbered(spark, sf_dir), E.models(spark, sf_dir)).filter(F.col("in_holdout") == 0)
     return s.select(F.col("b").cast("bigint").alias("b"), "QUERY_ID",
                     F.round("predicted_ms", 3).alias("predicted_ms"))
 
@@ -74,9 +71,7 @@ where b = (select max(b) from vmetrics)"""))
 def m08n(spark, sf_dir):
     """The production path: only the newest version (every batch), each row
     scored once - O(rows), the versions table grows by one row per run."""
-    latest = stage(spark, ("scored_latest", sf_dir),
-                   lambda: E.scored_versions(E.feature_rows(spark, sf_dir), latest_only=True))
-    return E.version_metrics(latest).withColumn(
+    return E.versions(spark, sf_dir, latest_only=True).withColumn(
         "model_sequence", F.col("model_sequence").cast("bigint")).withColumn(
         "batches_measured", F.col("batches_measured").cast("bigint"))
 
@@ -108,16 +103,14 @@ def a09(spark, sf_dir):
 @register("A10_bootstrap_mape_ci_by_version", qq("""
 select b, round(lo, 3) as mape_ci_low_pct, round(hi, 3) as mape_ci_high_pct from ci"""))
 def a10(spark, sf_dir):
-    hold = _scored(spark, sf_dir).filter(F.col("in_holdout") == 1)
-    return E.bootstrap_by_version(hold, M.BOOTSTRAP_DRAWS).select(
-        F.col("b").cast("bigint").alias("b"), F.round("mape_ci_low_pct", 3).alias("mape_ci_low_pct"),
-        F.round("mape_ci_high_pct", 3).alias("mape_ci_high_pct"))
+    return _versions(spark, sf_dir).select(
+        F.col("model_sequence").cast("bigint").alias("b"), "mape_ci_low_pct", "mape_ci_high_pct")
 
 
 @register("A20_training_digest_by_version", qq("""
 select b, model_version from dig"""))
 def a20(spark, sf_dir):
-    return E.version_names(_scored(spark, sf_dir)).select(
+    return V.names(E.state(spark, sf_dir)).select(
         F.col("b").cast("bigint").alias("b"), "model_version")
 
 
@@ -233,11 +226,8 @@ select cast(decile as integer) as decile, cast(count(*) as integer) as queries,
   round(avg(abs(predicted_ms - actual_ms) / actual_ms) * 100.0, 2) as abs_pct_error
 from d group by decile"""))
 def a11(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    last = s.agg(F.max("b").alias("__lb"))
-    hold = (s.join(F.broadcast(last), s["b"] == F.col("__lb"))
-            .filter(F.col("in_holdout") == 1)
-            .select(F.col("QUERY_ID").alias("query_id"), "actual_ms", "predicted_ms"))
+    hold = E.scored_latest(spark, sf_dir).filter(F.col("in_holdout") == 1).select(
+        F.col("QUERY_ID").alias("query_id"), "actual_ms", "predicted_ms")
     return M.calibration_table(hold)
 
 

@@ -149,6 +149,7 @@ def append_newest_version(spark: SparkSession, history: str, catalogue: DataFram
     (one row per run, partition ``model_sequence``: a re-run replaces it).
     Each row is scored once, so a run is O(rows); earlier versions are state."""
     from ..operators import features as fe
+    from ..operators import versions as V
     from ..plans import evaluate as E
     rows = spark.read.parquet(history).select(
         F.col("query_id").alias("QUERY_ID"), F.col("query_tag").alias("QUERY_TAG"),
@@ -157,6 +158,8 @@ def append_newest_version(spark: SparkSession, history: str, catalogue: DataFram
         "seq", "pos")
     feats = fe.featurise(rows, catalogue, keys=("QUERY_ID", "QUERY_TAG"))
     extra = rows.select("QUERY_ID", "TARGET_MS", "EXECUTION_TIME", "seq", "pos")
-    newest = E.version_metrics(E.scored_versions(feats.join(extra, "QUERY_ID"), latest_only=True))
+    numbered = V.numbered(feats.join(extra, "QUERY_ID"))
+    st = materialize(V.state(numbered))
+    newest = E.version_metrics(numbered, st, V.models(st), latest_only=True)
     (newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("model_sequence").parquet(versions))
