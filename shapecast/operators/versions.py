@@ -79,6 +79,16 @@ def names(st: DataFrame) -> DataFrame:
                       .alias("model_version"), F.col("QUERY_TAG").alias("trained_at"))
 
 
+def trainable(st: DataFrame) -> list[int]:
+    """Versions with enough rows up to their batch (M7), in order; fewer rows than
+    ``MIN_ROWS_TO_TRAIN`` in the whole log are refused."""
+    upto = W.orderBy("bn").rowsBetween(W.unboundedPreceding, 0)      # one row per batch
+    rows = st.groupBy("bn").agg(F.sum("n").alias("n")).select("bn", F.sum("n").over(upto).alias("n")).orderBy("bn").collect()
+    if not rows or rows[-1]["n"] < M.MIN_ROWS_TO_TRAIN:
+        raise ValueError(f"{rows[-1]['n'] if rows else 0} rows are too few to train on; {M.MIN_ROWS_TO_TRAIN} are needed")
+    return [r["bn"] for r in rows if r["n"] >= M.MIN_ROWS_TO_TRAIN]
+
+
 def training_moments(st: DataFrame) -> DataFrame:
     """b, fold, k, v: moment k of the training rows of version b in that fold (0
     where there are none). Long form: prefix sums are one window, whatever k is."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import features as fe
 from ..operators import metrics as M
 from ..operators import versions as V
@@ -57,13 +58,46 @@ def versions(spark: SparkSession, sf_dir: str, latest_only: bool = False) -> Dat
 def version_metrics(rows: DataFrame, st: DataFrame, fits: DataFrame, latest_only: bool = False) -> DataFrame:
     """M8 from numbered rows, their state and its models: the coefficients (a few
     numbers a version) go to the tasks of one pass over the rows."""
+    wanted = V.trainable(st)
     known = fits.collect()
-    wanted = sorted({r["b"] for r in known})
-    wanted = wanted[-1:] if latest_only else wanted
-    found = V.report(rows, V.OneFeature(known), V.Linear(known), wanted)
+    found = V.report(rows, V.OneFeature(known), V.Linear(known), wanted[-1:] if latest_only else wanted)
     return V.metrics(found, V.names(st))
 
 
+def boosted(spark: SparkSession, sf_dir: str) -> B.Boosted:
+    """The boosted trees of every version and fold, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOOSTED:
+        wanted = V.trainable(state(spark, sf_dir))
+        _BOOSTED[key] = B.fit(numbered(spark, sf_dir), B.model_names(wanted))
+    return _BOOSTED[key]
+
+
+_BOOSTED: dict = {}
+
+
+def boosted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 of every version with the trained model, against the 13-feature baseline."""
+    def build():
+        st = state(spark, sf_dir)
+        found = V.report(numbered(spark, sf_dir), boosted(spark, sf_dir), V.Linear(models(spark, sf_dir).collect()), V.trainable(st))
+        return V.metrics(found, V.names(st))
+    return stage(spark, ("boosted_versions", sf_dir), build)
+
+
+def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: the newest version's out-of-sample predictions by the trained model."""
+    def build():
+        st = state(spark, sf_dir)
+        b = V.trainable(st)[-1]
+        name = V.names(st).filter(F.col("b") == b).select("model_version")      # one row
+        return B.predict(numbered(spark, sf_dir), boosted(spark, sf_dir), b).crossJoin(F.broadcast(name)).select(
+            "model_version", F.col("QUERY_ID").alias("query_id"), "in_holdout",
+            F.round("actual_ms", 3).alias("actual_ms"), F.round("predicted_ms", 3).alias("predicted_ms"),
+            F.round(M.ape(), 3).alias("abs_pct_error"))
+    return stage(spark, ("boosted_predictions", sf_dir), build)
+
+
 def version_rows(rows: DataFrame, latest_only: bool = False) -> DataFrame:
     """Per (b, row) with in_holdout: one copy of each numbered row per version
     that contains it (what M1 and M4 list; ``latest_only``: the newest version)."""

@@ -27,6 +27,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the plan modules fills REGISTRY.
-    from . import (q_calibrate, q_features, q_io, q_model, q_report, q_shape,  # noqa: F401
-                   q_star, q_summary)
+    from . import (q_boosted, q_calibrate, q_features, q_io, q_model, q_report,  # noqa: F401
+                   q_shape, q_star, q_summary)
     return REGISTRY

@@ -149,6 +149,7 @@ def append_newest_version(spark: SparkSession, history: str, catalogue: DataFram
     (one row per run, partition ``model_sequence``: a re-run replaces it).
     Each row is scored once, so a run is O(rows); earlier versions are state."""
     from ..operators import features as fe
+    from ..operators import metrics as M
     from ..operators import versions as V
     from ..plans import evaluate as E
     rows = spark.read.parquet(history).select(
@@ -160,6 +161,8 @@ def append_newest_version(spark: SparkSession, history: str, catalogue: DataFram
     extra = rows.select("QUERY_ID", "TARGET_MS", "EXECUTION_TIME", "seq", "pos")
     numbered = V.numbered(feats.join(extra, "QUERY_ID"))
     st = materialize(V.state(numbered))
+    if st.agg(F.sum("n")).first()[0] < M.MIN_ROWS_TO_TRAIN:       # M7: no version yet
+        return
     newest = E.version_metrics(numbered, st, V.models(st), latest_only=True)
     (newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("model_sequence").parquet(versions))
