@@ -1,8 +1,8 @@
 """Byte-level BPE by Spark's higher-order functions.
 
-The rank file becomes a literal in the plan: an array of buckets (CRC-32 of the
-piece), each with its pieces and ranks. ``merged`` folds the ranked merges over
-the bytes of a word: the state holds the pieces and the rank of every adjacent
+The rank file becomes a literal in the plan: buckets of pairs of adjacent pieces,
+(id, id) -> id of both joined. ``merged`` folds the ranked merges over the ids of
+a word's bytes: the state holds the pieces' ids and the rank of every adjacent
 pair; a step joins the leftmost pair of least rank and looks up only the two
 pairs that are new. A whole word that has a rank is taken as it is.
 
@@ -26,7 +26,6 @@ import hashlib
 import json
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import texts, written
 
-BUCKETS = 16384
+#: Buckets of the pairs (a prime), bits of a byte's place in a word, a first id's factor in a pair.
+BUCKETS, PLACE_BITS, ID = 65521, 31, 1 << 24
+PLACE = 1 << PLACE_BITS
 HEAD_WORDS = 300_000
 HEAD_BYTES = 32
 #: Documents of a block: by number and by characters.
@@ -53,7 +54,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 #: Distinct words a task holds before it passes their counts on.
 COUNT_FLUSH = 200_000
-NONE = 2**31 - 1
+NONE = 1 << 31
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                     ("decoded_sha256", pa.string())])
 
@@ -63,57 +64,60 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a column that the optimizer folds into one literal."""
+def byte_ids(ranks: dict[bytes, int]) -> np.ndarray:
+    """The id of each byte."""
+    return np.array([ranks[bytes([b])] for b in range(256)], "<i4")
+
+
+def pair_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map by pairs of adjacent pieces, (id, id) -> id of both joined, as
+    a column that the optimizer folds into one literal."""
     buckets: list[dict] = [{"k": [], "v": []} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        b = buckets[zlib.crc32(piece) % BUCKETS]
-        b["k"].append(base64.b64encode(piece).decode())
-        b["v"].append(rank)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<binary>,v:array<int>>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                pair = a * ID + b
+                buckets[pair % BUCKETS]["k"].append(pair)
+                buckets[pair % BUCKETS]["v"].append(rank)
+    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<bigint>>>")
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _rank(table: Column, piece: Column) -> Column:
-    at = F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")
-    bucket = F.get(table, at)
-    return F.get(bucket["v"], (F.array_position(bucket["k"], piece) - 1).cast("int"))
-
-
-def merged(word: Column, literal: Column) -> Column:
-    """Ids of one word (binary) as array<int>."""
+def merged(start: Column, literal: Column) -> Column:
+    """Ids (array<int>) of one word given as the ids of its bytes, two at least. The
+    state holds the pieces' ids between two marks, and for each adjacent pair its
+    rank and place in one number, so the least one is the leftmost of least rank."""
     def fold(table: Column) -> Column:
-        pair = lambda a, b: F.coalesce(_rank(table, F.concat(a, b)), F.lit(NONE))
-        one = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(word, i, F.lit(1)))
-        start = _let(one, lambda p: F.struct(
-            p.alias("p"), F.transform(F.slice(p, 2, F.size(p)), lambda x, i: pair(F.get(p, i), x)).alias("r")))
+        def key(a: Column, b: Column, place: Column) -> Column:
+            pair = a * ID + b
+            bucket = F.get(table, F.pmod(pair, F.lit(BUCKETS)).cast("int"))
+            rank = F.get(bucket["v"], (F.array_position(bucket["k"], pair) - 1).cast("int"))
+            return F.coalesce(rank, F.lit(NONE)) * PLACE + place
 
-        def step(s: Column, _: Column) -> Column:
-            p, r = s["p"], s["r"]
-            n = F.size(p)
+        ids = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform(start, lambda x: x.cast("bigint")), F.array(F.lit(-1).cast("bigint")))
+        first = _let(ids, lambda p: F.struct(p.alias("p"), F.transform(
+            F.slice(p, 1, F.size(p) - 1), lambda x, i: key(x, F.get(p, i + 1), i.cast("bigint"))).alias("r")))
 
-            def join(at: Column) -> Column:
-                i, new = at["i"], at["new"]
+        def step(s: Column, _: Column) -> Column:
+            def join(m: Column) -> Column:
+                p, r, least, i = m["p"], m["r"], m["least"], m["i"]
+                new, n = F.shiftright(least, PLACE_BITS), F.size(m["r"]) + 2
+                left = F.get(r, i - 2).bitwiseAND(F.lit(PLACE - 1))       # the place of the pair before
                 return F.struct(
-                    F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
-                             F.when(i > 1, F.array(pair(F.get(p, i - 2), new))).otherwise(F.slice(r, 1, 0)),
-                             F.when(i + 1 < n, F.array(pair(new, F.get(p, i + 1)))).otherwise(F.slice(r, 1, 0)),
-                             F.slice(r, i + 2, F.greatest(n - i - 2, F.lit(0)))).alias("r"))
-
-            where = F.array_position(r, F.array_min(r)).cast("int")
-            there = F.struct(where.alias("i"), F.concat(F.get(p, where - 1), F.get(p, where)).alias("new"))
-            least = F.array_min(r)
-            return F.when(least.isNull() | (least == NONE), s).otherwise(
-                _let(there, join))
-
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step,
-                             lambda s: F.transform(s["p"], lambda x: _rank(table, x)))
-        return _let(F.struct(_rank(table, word).alias("r")),
-                    lambda w: F.when(w["r"].isNotNull(), F.array(w["r"])).otherwise(folded))
+                    F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
+                    F.concat(F.slice(r, 1, i - 2), F.array(key(F.get(p, i - 2), new, left), key(
+                        new, F.get(p, i + 1), least.bitwiseAND(F.lit(PLACE - 1)))), F.slice(r, i + 2, n)).alias("r"))
+
+            least = _let(F.array_min(s["r"]), lambda v: F.when(v < F.lit(NONE * PLACE), F.struct(
+                s["p"].alias("p"), s["r"].alias("r"), v.alias("least"), F.array_position(s["r"], v).cast("int").alias("i"))))
+            return _let(least, lambda m: F.when(m.isNull(), s).otherwise(join(m)))
+
+        return F.aggregate(F.sequence(F.lit(2), F.size(start)), first, step,
+                           lambda s: F.transform(F.slice(s["p"], 2, F.size(s["p"]) - 2), lambda x: x.cast("int")))
 
     return _let(F.struct(literal.alias("t")), lambda t: fold(t["t"]))
 
@@ -203,16 +207,32 @@ def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     return b"".join(map(pieces.__getitem__, ids.tolist()))
 
 
+def _start(words: list[bytes], bytes_to_ids: np.ndarray) -> pa.Array:
+    """The ids of the bytes of each word."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = bytes_to_ids[np.frombuffer(b"".join(words), np.uint8)]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Blocks of documents: doc_ids, marked (their ids, words that the block folds
     as ``MARK`` and up) and folded (the ids of those words)."""
     spark: SparkSession = docs.sparkSession
-    literal = rank_literal(ranks)
+    literal, bytes_to_ids = pair_literal(ranks), byte_ids(ranks)
     slices = max(1, docs.count() // HEAD_DOCS)
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == 0)
     head = head_words(written(word_counts(some, pattern), "words")).repartition(spark.sparkContext.defaultParallelism)
-    got = head.select("word", merged(F.col("word"), literal).alias("ids")).toArrow()
-    table = {w: np.array(i, "<u4").tobytes() for w, i in zip(got["word"].to_pylist(), got["ids"].to_pylist())}
+    whole = spark.sparkContext.broadcast(ranks)
+
+    def unranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w for w in batch.column("word").to_pylist() if w not in whole.value]
+            yield pa.record_batch([pa.array(words, pa.binary()), _start(words, bytes_to_ids)], ["word", "start"])
+
+    got = (head.select("word").mapInArrow(unranked, "word binary, start array<int>")
+           .select("word", merged(F.col("start"), literal).alias("ids")).toArrow())
+    table = {w: r.to_bytes(4, "little") for w, r in ranks.items()}
+    table |= {w: np.array(i, "<u4").tobytes() for w, i in zip(got["word"].to_pylist(), got["ids"].to_pylist())}
     sent, key = spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +259,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             out = [b"".join([word(w.encode()) for w in first]) + b"".join([chunks[c] if c in chunks else mine[c] for c in rest])
                    for first, rest in cut]
             return pa.record_batch([pa.array([ids], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.binary())),
-                                    pa.array([list(rare)], pa.list_(pa.binary()))], ["doc_ids", "marked", "rare"])
+                                    pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), _start(list(rare), bytes_to_ids))],
+                                   ["doc_ids", "marked", "rare"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_DOCS):
@@ -254,7 +275,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                     size += len(t)
                 yield block(ids, some)
 
-    dealt = texts(docs).mapInArrow(blocks, "doc_ids array<long>, marked array<binary>, rare array<binary>")
+    dealt = texts(docs).mapInArrow(blocks, "doc_ids array<long>, marked array<binary>, rare array<array<int>>")
     return dealt.select("doc_ids", "marked", F.transform("rare", lambda w: merged(w, literal)).alias("folded"))
 
 

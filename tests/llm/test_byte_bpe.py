@@ -52,3 +52,15 @@ def test_equals_the_library(docs_of, monkeypatch):
 
 def test_empty(docs_of):
     assert digests(encode(docs_of([]), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+def test_blocks_and_long_texts(docs_of, monkeypatch):
+    """Several blocks of documents, a text longer than a block, a long word, no head."""
+    monkeypatch.setattr(byte_bpe, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(byte_bpe, "HEAD_WORDS", 0)
+    monkeypatch.setattr(byte_bpe.head_words, "__defaults__", (0,))
+    enc = library()
+    rows = list(enumerate(ODD * 3)) + [(200, "wörd unseen " * 400), (201, "xyzzyqua" * 40 + "é" * 90), (202, "ab")]
+    got = {r.doc_id: r.ids for r in token_ids(encode(docs_of(rows), RANKS, public_tokenizers.PATTERN)).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in rows}
