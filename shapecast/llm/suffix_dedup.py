@@ -15,11 +15,12 @@ and bytes that match no other context are trimmed, which changes no window.
 Earlier means: a smaller doc_id, or the same document and an earlier start.
 Defined cases: a null text is empty; a null id is smaller than all others; rows
 that repeat an id and a text are one document and get equal results; rows that
-repeat an id with other texts are ordered by a hash of the text; texts under
-``LENGTH`` bytes lose nothing; an empty table gives no rows; very long texts are
-taken whole, in overlapping parts; extra columns are ignored. Hashes have 64
-bits; a collision could cover bytes wrongly with a chance of about 1e-4 in 1e9
-anchors.
+repeat an id with other texts are ordered by a 64-bit hash of the text; texts
+under ``LENGTH`` bytes lose nothing; an empty table gives no rows; very long
+texts are taken whole, in overlapping parts; extra columns are ignored.
+Segments are equal when their 64-bit hashes are, without a look at the bytes: a
+collision could cover bytes wrongly, with a chance of about 3e-2 in 1e9 different
+segments and 3e-8 in 1e6. Contexts around an anchor are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
@@ -48,11 +49,24 @@ END, GAP, ANCHOR, BYTE = 0, 1, 2, 3
 LOCKSTEP = 2_000_000
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """doc (the id, or NO_ID), tag (21 bits of a hash of the text), text."""
-    rows = texts(docs)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"),
-                       F.pmod(F.xxhash64("text"), F.lit(1 << 21)).cast("int").alias("tag"), "text")
+def _place(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _several(docs: DataFrame) -> DataFrame:
+    """doc of the ids (null: NO_ID) that stand for more than one text: only their
+    rows are told apart by the hash of the text."""
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), _place(F.col("text")).alias("h"))
+    found = rows.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    return written(found.select("doc", F.lit(True).alias("several")), "several")
+
+
+def _documents(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """doc (the id, or NO_ID), tag (64 bits of a hash of the text where the id has
+    several texts, else 0), text."""
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    return rows.join(several, "doc", "left").select(
+        "doc", F.when(F.col("several"), _place(F.col("text"))).otherwise(F.lit(0).cast("long")).alias("tag"), "text")
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -84,18 +98,18 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _pack(tag, start, n, offset) -> np.ndarray:
-    return (np.asarray(tag, np.int64) << 42) | (start << 12) | ((n - 1) << 6) | offset
+def _pack(start, n, offset) -> np.ndarray:
+    return (start << 12) | ((n - 1) << 6) | offset
 
 
 def _unpack(pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """tag, first start, windows, anchor's offset."""
-    return pos >> 42, (pos >> 12) & ((1 << 30) - 1), ((pos >> 6) & 63) + 1, pos & 63
+    """First start, windows, anchor's offset."""
+    return pos >> 12, ((pos >> 6) & 63) + 1, pos & 63
 
 
-ROW = ["anchor", "segment", "doc", "pos"]
-SCHEMA = "anchor long, segment long, doc long, pos long"
-SPAN = "doc long, tag int, start long, stop long"
+ROW = ["anchor", "segment", "doc", "tag", "pos"]
+SCHEMA = "anchor long, segment long, doc long, tag long, pos long"
+SPAN = "doc long, tag long, start long, stop long"
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +123,14 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         parts = [segments(np.frombuffer(raw, np.uint8)) for _, _, raw in held]
         n = [len(p[0]) for p in parts]
         anchor, segment, start, windows, offset = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        doc = np.repeat(np.array([h[0] for h in held], np.int64), n)
-        pos = _pack(np.repeat(np.array([h[1] for h in held], np.int64), n), start, windows, offset)
+        doc, tag = (np.repeat(np.array([h[i] for h in held], np.int64), n) for i in (0, 1))
+        pos = _pack(start, windows, offset)
         anchor, segment = anchor.view(np.int64), (segment | np.uint64(1)).view(np.int64)
         _, first, same = np.unique(segment, return_index=True, return_inverse=True)
         # equal rows (a repeated document) are the same place
         keep = (first[same] == np.arange(len(segment)))
-        again = ~keep & ~((doc == doc[first[same]]) & (pos == pos[first[same]]))
-        out = [np.concatenate([x[keep], x[again]]) for x in (anchor, segment, doc, pos)]
+        again = ~keep & ~((doc == doc[first[same]]) & (tag == tag[first[same]]) & (pos == pos[first[same]]))
+        out = [np.concatenate([x[keep], x[again]]) for x in (anchor, segment, doc, tag, pos)]
         out[1][keep.sum():] = 0
         out[0][keep.sum():] = out[2][keep.sum():]
         return pa.record_batch([pa.array(x) for x in out], ROW)
@@ -142,45 +156,45 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nda
 def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the anchors dealt to this task: covered segments as (doc, pos, null), and
     the earliest of each segment of an anchor that has several as (doc, pos, anchor)."""
-    anchor, segment, doc, pos = _columns(batches, ROW)
+    anchor, segment, doc, tag, pos = _columns(batches, ROW)
     done = segment == 0
-    out = [(doc[done], pos[done], None)]
-    anchor, segment, doc, pos = (x[~done] for x in (anchor, segment, doc, pos))
-    tag, start, _, _ = _unpack(pos)
-    by = np.lexsort((start, tag, doc, segment, anchor))
-    anchor, segment, doc, pos = (x[by] for x in (anchor, segment, doc, pos))
+    out = [(doc[done], tag[done], pos[done], None)]
+    anchor, segment, doc, tag, pos = (x[~done] for x in (anchor, segment, doc, tag, pos))
+    by = np.lexsort((_unpack(pos)[0], tag, doc, segment, anchor))
+    anchor, segment, doc, tag, pos = (x[by] for x in (anchor, segment, doc, tag, pos))
     new_anchor = np.ones(len(anchor), bool)
     new_anchor[1:] = anchor[1:] != anchor[:-1]
     new = new_anchor.copy()
     new[1:] |= segment[1:] != segment[:-1]
     same = ~new
-    same[1:] &= ~((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]))       # a repeated row is the same place
+    same[1:] &= ~((doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (pos[1:] == pos[:-1]))       # a repeated row is the same place
     # of equal rows that follow the first one as well
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    same &= ~((doc == doc[first]) & (pos == pos[first]))
-    out.append((doc[same], pos[same], None))
+    same &= ~((doc == doc[first]) & (tag == tag[first]) & (pos == pos[first]))
+    out.append((doc[same], tag[same], pos[same], None))
     if len(anchor):
         kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))
         several = new & (np.repeat(kinds, np.diff(np.append(np.flatnonzero(new_anchor), len(anchor)))) > 1)
-        out.append((doc[several], pos[several], anchor[several]))
-    for d, p, a in out:
+        out.append((doc[several], tag[several], pos[several], anchor[several]))
+    for d, t, p, a in out:
         if len(d):
-            yield pa.record_batch([pa.array(d), pa.array(p), pa.array(a) if a is not None else pa.nulls(len(d), pa.int64())], ["doc", "pos", "anchor"])
+            yield pa.record_batch([pa.array(d), pa.array(t), pa.array(p), pa.array(a) if a is not None else pa.nulls(len(d), pa.int64())],
+                                  ["doc", "tag", "pos", "anchor"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes to the left and right of the anchors asked for, of each document."""
     for batch in batches:
-        for doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "asked"))):
+        for doc, tag, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "text", "asked"))):
             raw = text.encode("utf-8", "replace")
             pos = np.array(sorted({a["pos"] for a in asked}), np.int64)
-            _, start, n, offset = _unpack(pos)
+            start, n, offset = _unpack(pos)
             anchors = {a["pos"]: a["anchor"] for a in asked}
             left = [raw[s:s + o] for s, o in zip(start.tolist(), offset.tolist())]
             right = [raw[s + o + GRAM:s + k - 1 + LENGTH] for s, k, o in zip(start.tolist(), n.tolist(), offset.tolist())]
             yield pa.record_batch([pa.array([anchors[p] for p in pos.tolist()], pa.int64()), pa.array([doc] * len(pos), pa.int64()),
-                                   pa.array(pos), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                                  ["anchor", "doc", "pos", "left", "right"])
+                                   pa.array([tag] * len(pos), pa.int64()), pa.array(pos), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                                  ["anchor", "doc", "tag", "pos", "left", "right"])
 
 
 def _common(group: np.ndarray, sides: list[bytes]) -> np.ndarray:
@@ -295,39 +309,40 @@ def _windows_of(groups, a, b, left, right, rank) -> list[tuple[int, int, int]]:
 def _order_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered spans of the contexts of the anchors dealt to this task."""
     held = list(batches)
-    anchor, doc, pos = _columns(held, ["anchor", "doc", "pos"])
+    anchor, doc, tag, pos = _columns(held, ["anchor", "doc", "tag", "pos"])
     left, right = ([x for b in held for x in b.column(c).to_pylist()] for c in ("left", "right"))
     if not len(anchor):
         return
-    tag, start, n, offset = _unpack(pos)
+    start, n, offset = _unpack(pos)
     by = np.lexsort((start, tag, doc))
     rank = np.empty(len(by), np.int64)
     same = np.zeros(len(by), bool)
-    same[1:] = (doc[by][1:] == doc[by][:-1]) & (pos[by][1:] == pos[by][:-1])
+    same[1:] = (doc[by][1:] == doc[by][:-1]) & (tag[by][1:] == tag[by][:-1]) & (pos[by][1:] == pos[by][:-1])
     rank[by] = np.cumsum(~same)
     # a window of which the anchor lies at offset o starts at start + offset - o
     spans = repeated_windows(anchor, rank, left, right)
     if spans:
         i, low, high = (np.array(x, np.int64) for x in zip(*spans))
         first = start[i] + offset[i] - high
-        yield pa.record_batch([pa.array(doc[i]), pa.array(tag[i].astype(np.int32)), pa.array(first),
+        yield pa.record_batch([pa.array(doc[i]), pa.array(tag[i]), pa.array(first),
                                pa.array(start[i] + offset[i] - low + LENGTH)], ["doc", "tag", "start", "stop"])
 
 
-def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents as doc, tag, text; spans doc, tag, start, stop in bytes, which may overlap)."""
-    rows = _documents(docs)
+def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents as doc, tag, text; spans doc, tag, start, stop in bytes, which may
+    overlap; the ids with several texts)."""
+    several = _several(docs)
+    rows = _documents(docs, several)
     dealt = rows.mapInArrow(_segment_rows, SCHEMA).repartition("anchor")
-    first = written(dealt.mapInArrow(_first_rows, "doc long, pos long, anchor long"), "segments")
-    tag = F.shiftright("pos", 42).cast("int").alias("tag")
-    start = F.shiftright("pos", 12).bitwiseAND(F.lit((1 << 30) - 1))
-    whole = first.where("anchor is null").select("doc", tag, start.alias("start"), (
+    first = written(dealt.mapInArrow(_first_rows, "doc long, tag long, pos long, anchor long"), "segments")
+    start = F.shiftright("pos", 12)
+    whole = first.where("anchor is null").select("doc", "tag", start.alias("start"), (
         start + F.shiftright("pos", 6).bitwiseAND(F.lit(63)) + LENGTH).alias("stop"))
-    asked = (first.where("anchor is not null").select("doc", tag, F.struct("pos", "anchor").alias("a"))
+    asked = (first.where("anchor is not null").select("doc", "tag", F.struct("pos", "anchor").alias("a"))
              .groupBy("doc", "tag").agg(F.collect_list("a").alias("asked")))
-    contexts = (rows.join(asked, ["doc", "tag"]).select("doc", "text", "asked")
-                .mapInArrow(_contexts, "anchor long, doc long, pos long, left binary, right binary").repartition("anchor"))
-    return rows, whole.unionByName(contexts.mapInArrow(_order_contexts, SPAN))
+    contexts = (rows.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked")
+                .mapInArrow(_contexts, "anchor long, doc long, tag long, pos long, left binary, right binary").repartition("anchor"))
+    return rows, whole.unionByName(contexts.mapInArrow(_order_contexts, SPAN)), several
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
@@ -349,7 +364,7 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    rows, spans = covered_spans(docs)
+    rows, spans, _ = covered_spans(docs)
     by = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(by, ["doc", "tag"], "left")
 
@@ -376,11 +391,12 @@ def removals(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the covered bytes taken out of ``text``; a character that loses
     a byte goes as a whole. All rows and columns stay."""
-    _, spans = covered_spans(docs)
+    _, spans, several = covered_spans(docs)
     by = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                              "_tag": F.pmod(F.xxhash64(text), F.lit(1 << 21)).cast("int")})
+    several = several.withColumnsRenamed({"doc": "_doc", "several": "_several"})
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(several, "_doc", "left")
+    keyed = keyed.withColumn("_tag", F.when(F.col("_several"), _place(text)).otherwise(F.lit(0).cast("long")))
     by = by.withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
 
     @F.udf("string", useArrow=True)

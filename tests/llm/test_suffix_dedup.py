@@ -85,3 +85,19 @@ def test_suffix_arrays_of_many_strings():
 
 def test_empty(docs_of):
     assert removals(docs_of([])).count() == 0
+
+
+def test_many_texts_without_an_id(docs_of):
+    """Each loses its own repeat and nothing of another's, however many share the missing (or one) id."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(6000):
+        own = "".join(rng.choice("abcdefghijklmnop") for _ in range(120))
+        text = "x" * rng.randrange(30) + own + f" {i} " + own
+        rows.append((None if i % 2 else 7, text))
+        want[text] = brute([(0, text)])[0][1:]
+    got = removals(docs_of(rows, "tag")).collect()
+    assert sorted((r["doc_id"], *list(r)[1:5]) for r in got if r["doc_id"]) == sorted((7, *want[t]) for i, t in rows if i)
+    assert sorted(tuple(r)[1:5] for r in got if r["doc_id"] is None) == sorted(want[t] for i, t in rows if i is None)
+    kept = {r["text"] for r in remove_repeats(docs_of(rows, "tag")).collect()}
+    assert {hashlib.sha256(t.encode()).hexdigest() for t in kept} == {w[3] for w in want.values()}
