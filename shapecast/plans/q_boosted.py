@@ -12,8 +12,10 @@ from ..operators import metrics as M
 from ..operators import report as R
 from ..operators import versions as V
 from ..operators.features import FEATURES
+from ..operators.importance import permutation_importance
 from ..session import stage, state_dir
 from . import evaluate as E
+from .oracle import FEATURE_NAMES, _fitted
 from .q_report import qq
 from .registry import register
 
@@ -145,3 +147,52 @@ def deployed(spark, sf_dir):
     before = B.predict(rows, m, b, deployed=True).select("QUERY_ID", F.col("predicted_ms").alias("p"))
     after = B.predict(rows, B.Boosted.load(spark, path), b, deployed=True)
     return after.join(before, "QUERY_ID").select("QUERY_ID", (F.col("p") == F.col("predicted_ms")).alias("same"))
+
+
+@register("M05_boosted_permutation_importance")
+def importance(spark, sf_dir):
+    """The trained model's importances on its holdout, 15 permutations without a sort of copies."""
+    m, b = E.boosted(spark, sf_dir), V.trainable(E.state(spark, sf_dir))[-1]
+    hold = E.numbered(spark, sf_dir).filter((F.col("bn") == b) if b > 1 else F.col("tail"))
+    return permutation_importance(hold, lambda x: m.log_ms(b, B.HOLDOUT, x)).orderBy(F.desc("importance"), "feature")
+
+
+_DONORS = """
+mine as (select row_number() over (order by query_id) - 1 as p, y, {own}, ({fit}) as fitted, c
+  from bx join (select b as cb, c from bcoef) k on k.cb = bx.b where in_holdout = 1 and b = (select max(b) from bx)),
+size as (select count(*) as n, greatest(1::ubigint, cast(ceil(length(bin(greatest(count(*) - 1, 1))) / 2.0) as ubigint)) as half from mine),
+walk as (
+  select p, r, 0 as step, false as done, p::ubigint as x, n, half from mine, size, range(1, 16) t(r)
+  union all
+  select p, r, step + 1, z < n, z, n, half from (
+    select *, (l4 << half) + r4 as z from (
+      select *, r3 as l4, xor(l3, {f3}) as r4 from (
+        select *, r2 as l3, xor(l2, {f2}) as r3 from (
+          select *, r1 as l2, xor(l1, {f1}) as r2 from (
+            select *, r0 as l1, xor(l0, {f0}) as r1 from (
+              select *, x >> half as l0, x & ((1::ubigint << half) - 1) as r0 from walk where not done) w0) w1) w2) w3) w4) w5),
+paired as (select m.p, w.r, m.y, m.fitted, m.c, w.x as donor from walk w join mine m on m.p = w.p where w.done)"""
+
+
+def _round(i: int, r: str) -> str:
+    x = f"(({r} + (r::ubigint * 2654435769::ubigint + {i * 0x7F4A7C15 % 2**32}::ubigint) % 4294967296::ubigint) % 4294967296::ubigint)"
+    a = f"(({x} * 2654435761::ubigint) % 4294967296::ubigint)"
+    b = f"((xor({a}, {a} >> 15) * 2246822519::ubigint) % 4294967296::ubigint)"
+    return f"(xor({b}, {b} >> 13) & ((1::ubigint << half) - 1))"
+
+
+_OWN = ", ".join(FEATURE_NAMES)
+_IMPORTANCE = " union all ".join(
+    f"select '{f}' as feature, round(avg(abs(fitted + c[{i + 2}] * (o.{f} - m.{f}) - y)) - avg(abs(fitted - y)), 4) as importance "
+    f"from (select paired.*, mine.{f} from paired join mine on mine.p = paired.p) m join (select p as op, {f} from mine) o on o.op = m.donor"
+    for i, f in enumerate(FEATURE_NAMES))
+
+
+@register("M05_least_squares_permutation_importance", qq(_DONORS.format(
+    own=_OWN, fit=_fitted(FEATURE_NAMES), **{f"f{i}": _round(i, f"r{i}") for i in range(4)}), _IMPORTANCE))
+def importance_linear(spark, sf_dir):
+    """The baseline's importances: the same permutations, with an SQL twin."""
+    b = V.trainable(E.state(spark, sf_dir))[-1]
+    base = V.Linear(E.models(spark, sf_dir).filter((F.col("b") == b) & (F.col("fold") == -1)).collect())
+    hold = E.numbered(spark, sf_dir).filter((F.col("bn") == b) if b > 1 else F.col("tail"))
+    return permutation_importance(hold, lambda x: base.log_ms(b, -1, x))

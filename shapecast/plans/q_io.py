@@ -18,6 +18,7 @@ from . import qlog as Q
 from .oracle import TRAIN_CTES, q
 from .q_calibrate import BRACKET_CTES
 from .q_report import K03_SQL as REPORT_K03_SQL
+from .q_report import qq
 from .registry import register
 
 
@@ -247,3 +248,89 @@ def k03s(spark, sf_dir):
     SQ.write_intake(Q.qlog(spark, sf_dir), f"{root}/intake")
     paths = SQ.run_intake(spark, f"{root}/intake", root, catalogue=Q.qtables(spark, sf_dir))
     return R.model_versions(spark.read.parquet(paths["versions"]))
+
+
+#: Columns whose cells differ in kind: numbers and empty, text and numbers, decimals and text.
+_CELLS = ["mixed", "plain", "wide"]
+
+
+@register("S02_cells_typed_one_by_one", q("""
+select seq, kind.name as name, kind.type as type, kind.value as value from (
+  select seq, unnest([
+    {'name': 'mixed', 'type': case seq % 4 when 0 then 'BIGINT' when 1 then 'DOUBLE' when 2 then 'STRING' end,
+     'value': case seq % 4 when 0 then cast(seq as varchar) when 1 then cast(round(execution_ms * 1000) as bigint)::varchar when 2 then query_id end},
+    {'name': 'plain', 'type': 'BIGINT', 'value': cast(pos as varchar)},
+    {'name': 'wide', 'type': 'STRING', 'value': warehouse_size}]) as kind from qlog) s"""))
+def s02_cells(spark, sf_dir):
+    """A column of integers, floats, text and blanks: every cell keeps its own type."""
+    log = Q.qlog(spark, sf_dir)
+    i = F.col("seq") % 4
+    mixed = (F.when(i == 0, F.col("seq").cast("string")).when(i == 1, F.format_string("%.6f", F.col("execution_ms")))
+             .when(i == 2, F.col("query_id")).otherwise(F.lit("")))
+    path = _folder(spark, "cells_csv")
+    IO.write_csv(log.select("seq", mixed.alias("mixed"), F.col("pos").alias("plain"), F.col("warehouse_size").alias("wide")), path)
+    cells = IO.read_csv_cells(spark, path)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in _CELLS])).alias("c")
+    seq = F.try_variant_get("seq", "$", "bigint").alias("seq")
+    kind = F.when(F.col("c.v").isNotNull(), F.schema_of_variant("c.v"))
+    number = F.round(F.try_variant_get("c.v", "$", "double") * 1000).cast("bigint").cast("string")
+    return cells.select(seq, each).select("seq", F.col("c.name").alias("name"), kind.alias("type"),
+                                          F.when(kind == "DOUBLE", number).otherwise(F.try_variant_get("c.v", "$", "string")).alias("value"))
+
+
+def _published(spark, sf_dir, root):
+    """The run's six tables, checked on their staged copies, as one commit."""
+    from ..operators import report as R
+    from ..sources import publish as P
+    from . import evaluate as E
+    from .q_report import _versions, detail
+    log = Q.qlog(spark, sf_dir, extra=True)
+    found = detail(spark, sf_dir)
+    tables = {"query_history": H.history(spark, sf_dir, log).select(*SC.QUERY_HISTORY_COLUMNS),
+              "tables": IO.tables_layout(Q.qtables(spark, sf_dir).select(
+                  F.col("table_name").alias("TABLE_NAME"), F.col("row_count").alias("ROW_COUNT"), F.col("bytes").alias("BYTES"))),
+              "calibration": H.calibration(spark, sf_dir, log), "predictions": found,
+              "model_versions": R.model_versions(_versions(spark, sf_dir)), "sla": R.sla_table(found)}
+    return P.publish_set(tables, root, lambda t: R.checks(t["query_history"], t["predictions"], t["model_versions"]))
+
+
+@register("S16_A15_T02_published_set", qq("""
+select 'query_history' as table_name, (select count(*) from qlog) as row_count
+union all select 'tables', (select count(*) from qtables) union all select 'calibration', (select count(*) from qlog)
+union all select 'predictions', (select count(*) from detail) union all select 'model_versions', (select count(*) from vmetrics)
+union all select 'sla', (select count(*) from sla_out) union all select 'run_checks', 6"""))
+def s16_set(spark, sf_dir):
+    """Published twice (a re-run changes nothing): row counts that readers see."""
+    from ..sources import publish as P
+    root = _folder(spark, "published-set")
+    _published(spark, sf_dir, root)
+    _published(spark, sf_dir, root)
+    return P.counts(spark, root)
+
+
+@register("S16_published_predictions_and_verdicts", qq("""
+select d.query_id, d.model_version, d.actual_ms, d.predicted_ms, s.sla_verdict
+from detail d left join sla_out s on s.template_id = d.template_id"""))
+def s16_rows(spark, sf_dir):
+    """Two published tables read through the commit and joined."""
+    from ..sources import publish as P
+    root = _folder(spark, "published-rows")
+    _published(spark, sf_dir, root)
+    verdicts = P.published(spark, root, "sla").select("template_id", "sla_verdict")
+    return P.published(spark, root, "predictions").join(verdicts, "template_id", "left").select(
+        "query_id", "model_version", "actual_ms", "predicted_ms", "sla_verdict")
+
+
+@register("T01_T03_name_order_and_late_files", q(BRACKET_CTES, TRAIN_CTES, """
+select query_id, target_ms as TARGET_MS, has_prior as HAS_PRIOR, prior_ms as PRIOR_EXECUTION_MS
+from trp"""))
+def t01_names(spark, sf_dir):
+    """Every second batch comes late: first the others, file by file in name order,
+    then the late ones; targets and priors are those of the whole log."""
+    root = _folder(spark, "names")
+    log = Q.qlog(spark, sf_dir)
+    even = F.substring("query_tag", -1, 1).cast("int") % 2 == 0
+    for part in (log.filter(even), log.filter(~even)):
+        SQ.write_intake(part, f"{root}/intake")
+        SQ.run_in_name_order(spark, f"{root}/intake", root)
+    return spark.read.parquet(SQ.folders(root)["history"]).select("query_id", "TARGET_MS", "HAS_PRIOR", "PRIOR_EXECUTION_MS")

@@ -75,6 +75,33 @@ def read_csv_coerced(spark: SparkSession, path: str, limit: int | None = None) -
     return cleaned.select(*cols)
 
 
+# ---- fixed values: what a cell is read as (white space around a number counts) ----
+INT_CELL = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+FLOAT_CELL = (r"(?i)^\s*[+-]?(([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?"
+              r"|nan|inf|infinity)\s*$")
+# -----------------------------------------------------------------------------------
+
+
+def typed_cell(cell: F.Column) -> F.Column:
+    """One text cell as VARIANT - '' is NULL, then an integer (bigint, or
+    decimal(38,0) beyond it), a double, or the text itself. Integers beyond 38
+    digits become doubles."""
+    plain = F.regexp_replace(F.trim(cell), "_", "")
+    whole, number = cell.rlike(INT_CELL), cell.rlike(FLOAT_CELL)
+    integer = F.coalesce(plain.try_cast("bigint").cast("variant"), plain.try_cast("decimal(38,0)").cast("variant"),
+                         plain.try_cast("double").cast("variant"))
+    return (F.when(cell == "", F.lit(None).cast("variant")).when(whole, integer)
+            .when(number, plain.try_cast("double").cast("variant")).otherwise(cell.cast("variant")))
+
+
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Every cell of a header CSV typed by itself (VARIANT columns), so one
+    column may hold integers, floats and text. No pass decides a column's type."""
+    raw = (spark.read.option("header", True).option("multiLine", True)
+           .option("quote", '"').option("escape", '"').csv(path))
+    return raw.select(*[typed_cell(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
 def read_batch(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """S3: one queue file (query_id, template_id, template_label,
     warehouse_size, query_text); optionally its first ``limit`` rows."""
