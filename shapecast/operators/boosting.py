@@ -21,6 +21,7 @@ parts by rank where there are more); they use features of all rows, no target.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -240,7 +241,7 @@ def best_split(sums: np.ndarray, least_rows: int, l2: float) -> Split | None:
     return Split(k, c, float(gain[k, c]), (float(gl[k, c]), float(nl[k, c])), (float(gr[k, c]), float(nr[k, c])))
 
 
-def _splits(least_rows: int, l2: float):
+def _splits(settings):
     """Sums of several tasks to the best split of each (model, node)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -250,7 +251,7 @@ def _splits(least_rows: int, l2: float):
                 total[key] = total[key] + h[i] if key in total else h[i].copy()
         rows = []
         for (m, v), h in total.items():
-            s = best_split(h, least_rows, l2)
+            s = best_split(h, settings[m].least_rows, settings[m].l2)
             rows.append((m, v, s.feature, s.cut, s.gain, *s.left, *s.right) if s else (m, v, -1, -1, 0.0, 0.0, 0.0, 0.0, 0.0))
         types = [pa.int32()] * 4 + [pa.float64()] * 5
         names = [c.split()[0] for c in BEST.split(", ")]
@@ -307,36 +308,44 @@ def model_names(versions: Sequence[int]) -> list[tuple[int, int]]:
     return [(b, f) for b in versions for f in (HOLDOUT, *range(N_FOLDS))] + [(max(versions), DEPLOYED)]
 
 
-def fit(rows: DataFrame, names: Sequence[tuple[int, int]], setting: Setting | None = None) -> Boosted:
-    """Fits the models ``names`` = (version, fold) on ``versions.numbered`` rows."""
-    use = setting or Setting()
-    edges = cuts(rows)
-    # by a number of its own: the cells are few bytes, but every pass is work
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = materialize(cells(rows, edges).repartition(width, "bins"))
-    mine = table.select("bn", "tail", "fold", "n", "y").groupBy("bn", "tail", "fold").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
-    bn, fold = (np.array([r[c] for r in mine], np.int64) for c in ("bn", "fold"))
-    tail = np.array([r["tail"] for r in mine], bool)
-    n, y = (np.array([r[c] for r in mine], np.float64) for c in ("n", "y"))
-    if n.sum() < M.MIN_ROWS_TO_TRAIN:       # M7
-        raise ValueError(f"{int(n.sum())} rows are too few to train on; {M.MIN_ROWS_TO_TRAIN} are needed")
-    base = []
-    for name in names:
-        at = in_training(name, bn, tail, fold)
-        base.append(float(y[at].sum() / n[at].sum()) if n[at].sum() else float("nan"))
-    zero = F.array_repeat(F.lit(0.0), len(names))
-    scored = table.withColumn("score", zero)
-    trees: list[list] = [[] for _ in names]
-    recent: list[list] = [[] for _ in names]
-    roots: dict = {}
-    for turn in range(use.rounds):
-        growing = [Grown() for _ in names]
+class Growth:
+    """Models ``names`` = (version, fold), each with its setting, while they grow in
+    the same passes. ``active``: those that still do."""
+
+    def __init__(self, rows: DataFrame, names: Sequence[tuple[int, int]], settings: Sequence[Setting]):
+        self.names, self.settings, self.edges = list(names), list(settings), cuts(rows)
+        # by a number of its own: the cells are few bytes, but every pass is work
+        width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        table = materialize(cells(rows, self.edges).repartition(width, "bins"))
+        mine = table.groupBy("bn", "tail", "fold").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()   # a row a batch and fold
+        bn, fold = (np.array([r[c] for r in mine], np.int64) for c in ("bn", "fold"))
+        tail = np.array([r["tail"] for r in mine], bool)
+        n, y = (np.array([r[c] for r in mine], np.float64) for c in ("n", "y"))
+        if n.sum() < M.MIN_ROWS_TO_TRAIN:       # M7
+            raise ValueError(f"{int(n.sum())} rows are too few to train on; {M.MIN_ROWS_TO_TRAIN} are needed")
+        self.base = []
+        for name in self.names:
+            at = in_training(name, bn, tail, fold)
+            self.base.append(float(y[at].sum() / n[at].sum()) if n[at].sum() else float("nan"))
+        self.scored = table.withColumn("score", F.array_repeat(F.lit(0.0), len(self.names)))
+        self.trees: list[list] = [[] for _ in self.names]
+        self.recent: list[list] = [[] for _ in self.names]
+        self.roots: list[Split | None] = [None] * len(self.names)
+        self.active = set(range(len(self.names)))
+
+    def round(self) -> None:
+        """One more tree for every active model."""
+        if max(map(len, self.recent)) >= KEEP:
+            kind = "bn int, tail boolean, fold int, bins binary, n long, y double, score array<double>"
+            self.scored = materialize(self.scored.mapInArrow(_rescored(self.recent), kind))
+            self.recent = [[] for _ in self.names]
+        growing = [Grown() for _ in self.names]
         while True:
-            wanted = [g.order(use.leaves)[1] for g in growing]
+            wanted = [g.order(self.settings[m].leaves)[1] if m in self.active else [] for m, g in enumerate(growing)]
             if not any(wanted):
                 break
-            parts = scored.mapInArrow(_histograms(names, base, recent, growing, wanted), HIST)
-            found = parts.repartition("model").mapInArrow(_splits(use.least_rows, use.l2), BEST).collect()   # one row a node
+            parts = self.scored.mapInArrow(_histograms(self.names, self.base, self.recent, growing, wanted), HIST)
+            found = parts.repartition("model").mapInArrow(_splits(self.settings), BEST).collect()   # one row a node
             for m, nodes in enumerate(wanted):
                 for v in nodes:
                     growing[m].best[v] = None
@@ -344,17 +353,98 @@ def fit(rows: DataFrame, names: Sequence[tuple[int, int]], setting: Setting | No
                 if r["feature"] >= 0:
                     growing[r["model"]].best[r["node"]] = Split(r["feature"], r["cut"], r["gain"], (r["g_left"], r["n_left"]),
                                                                (r["g_right"], r["n_right"]))
-        if turn == 0:
-            roots = {name: g.best.get(0) for name, g in zip(names, growing)}
-        for m, g in enumerate(growing):
-            done = g.finished(use.leaves, use.rate, use.l2)
-            trees[m].append(done)
-            recent[m].append(done)
-        if (turn + 1) % KEEP == 0 and turn + 1 < use.rounds:
-            kind = "bn int, tail boolean, fold int, bins binary, n long, y double, score array<double>"
-            scored = materialize(scored.mapInArrow(_rescored(recent), kind))
-            recent = [[] for _ in names]
-    return Boosted(edges, dict(zip(names, base)), dict(zip(names, trees)), roots)
+        for m in self.active:
+            if not self.trees[m]:
+                self.roots[m] = growing[m].best.get(0)
+            done = growing[m].finished(self.settings[m].leaves, self.settings[m].rate, self.settings[m].l2)
+            self.trees[m].append(done)
+            self.recent[m].append(done)
+
+
+def fit(rows: DataFrame, names: Sequence[tuple[int, int]], setting: Setting | None = None) -> Boosted:
+    """Fits the models ``names`` = (version, fold) on ``versions.numbered`` rows."""
+    use = setting or Setting()
+    growth = Growth(rows, names, [use] * len(names))
+    for _ in range(use.rounds):
+        growth.round()
+    return Boosted(growth.edges, dict(zip(names, growth.base)), dict(zip(names, growth.trees)), dict(zip(names, growth.roots)))
+
+
+# ---- grid ---------------------------------------------------------------------------
+
+#: 72 points: learning rate, rounds, leaves, least rows of a leaf, L2.
+GRID = {"rate": (0.06, 0.12, 0.24), "rounds": (20, 40), "leaves": (3, 5, 7), "least_rows": (4, 16), "l2": (0.0, 1.0)}
+
+
+def _fold_errors(model_of: list[dict[int, int]], names, base, trees, edges, b: int):
+    """Sums of the relative out-of-fold error of each fit over the training rows of version b."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(len(model_of)), 0
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
+            bn, fold, a = (batch.column(c).to_numpy() for c in ("bn", "fold", "actual_ms"))
+            tail = batch.column("tail").to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(in_training((b, HOLDOUT), bn, tail, fold))
+            bins, fold, a = to_bins(x[at], edges), fold[at], a[at]
+            n += len(at)
+            for i, by_fold in enumerate(model_of):
+                for f, m in by_fold.items():
+                    here = fold == f
+                    p = np.full(here.sum(), base[m])
+                    for splits, values in trees[m]:
+                        p += np.array(values)[leaf_of(bins[here], splits)]
+                    sums[i] += (np.abs(np.exp(p) - a[here]) / a[here]).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["s", "n"])
+    return run
+
+
+def grid_search(rows: DataFrame, b: int, grid: dict | None = None, exact: bool = False, step: int = KEEP) -> list[tuple[dict, float | None]]:
+    """(point, out-of-fold MAPE on the training rows of version ``b``), best
+    first; the holdout is not read. All points grow in the same passes, and points
+    that differ in their rounds share a fit.
+
+    Every ``step`` rounds a fit is given up (None) if its error would stay above
+    the best one reached so far even if it went on falling until the last round as
+    fast as in the last ``step``. Errors fall ever more slowly, so the winner is
+    kept; ``exact`` gives none up."""
+    from itertools import product
+    use = grid or GRID
+    keys = [k for k in use if k != "rounds"]
+    fits = [dict(zip(keys, v)) for v in product(*(use[k] for k in keys))]
+    last, marks = max(use["rounds"]), set(use["rounds"])
+    names, settings, model_of = [], [], []
+    for f in fits:
+        model_of.append({k: len(names) + k for k in range(N_FOLDS)})
+        names += [(b, k) for k in range(N_FOLDS)]
+        settings += [Setting(rounds=last, **f)] * N_FOLDS
+    growth = Growth(rows, names, settings)
+    seen = materialize(rows.filter((F.col("bn") <= b) & F.col("TARGET_MS").isNotNull()).select(
+        "bn", "fold", "tail", F.col("TARGET_MS").cast("double").alias("actual_ms"),
+        F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x")))
+
+    def errors(live: list[int]) -> dict[int, float]:
+        run = _fold_errors([model_of[i] for i in live], names, growth.base, growth.trees, growth.edges, b)
+        parts = seen.mapInArrow(run, "s array<double>, n long")
+        got = parts.agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(len(live))]).first()
+        return {i: float(got[f"s{k}"] / got["n"] * 100.0) for k, i in enumerate(live)}
+
+    live, result, before, best = list(range(len(fits))), {}, errors(list(range(len(fits)))), math.inf
+    for done in range(1, last + 1):
+        growth.round()
+        if done % step and done not in marks:
+            continue
+        now = errors(live)
+        if done in marks:
+            result |= {(i, done): e for i, e in now.items()}
+            best = min(best, *now.values())
+        if done % step == 0:
+            best = min(best, *now.values())
+            if not exact:
+                live = [i for i in live if now[i] - max(0.0, before[i] - now[i]) * (last - done) / step <= best]
+                growth.active = {m for i in live for m in model_of[i].values()}
+            before = now
+    points = [({**fits[i], "rounds": r}, result.get((i, r))) for i in range(len(fits)) for r in sorted(marks)]
+    return sorted(points, key=lambda p: (p[1] is None, p[1] or 0.0, str(p[0])))
 
 
 def predict(rows: DataFrame, model: Boosted, b: int, deployed: bool = False) -> DataFrame:

@@ -110,3 +110,22 @@ def test_too_few_rows_are_refused(spark):
     with pytest.raises(ValueError, match="too few"):
         V.trainable(V.state(few))
     assert V.trainable(V.state(V.numbered(rows_of(spark, batches=3, per=5)))) == [3]
+
+
+def test_grid_keeps_the_winner_and_leaves_the_holdout_alone(spark):
+    grid = {"rate": (0.1, 0.5), "rounds": (4, 8), "leaves": (2, 5), "least_rows": (4,), "l2": (0.0,)}
+    rows = V.numbered(rows_of(spark))
+    every = B.grid_search(rows, 3, grid, exact=True, step=2)
+    some = B.grid_search(rows, 3, grid, step=2)
+    assert len(every) == len(some) == 8 and all(e is not None for _, e in every)
+    assert some[0][0] == every[0][0] and some[0][1] == pytest.approx(every[0][1])
+    assert any(e is None for _, e in some)
+    # the error is that of models fitted one by one, and no holdout row counts
+    point, error = every[0]
+    names = [(3, k) for k in range(5)]
+    model = B.fit(rows, names, B.Setting(**point))
+    kept = rows.filter("bn < 3").select("fold", "TARGET_MS", F.array(*FEATURES).alias("x")).collect()
+    off = [abs(np.exp(model.log_ms(3, r["fold"], np.array([r["x"]]))[0]) - r["TARGET_MS"]) / r["TARGET_MS"] for r in kept]
+    assert error == pytest.approx(np.mean(off) * 100)
+    changed = rows.withColumn("TARGET_MS", F.when(F.col("bn") == 3, F.col("TARGET_MS") * 7).otherwise(F.col("TARGET_MS")))
+    assert B.grid_search(changed, 3, grid, exact=True, step=2)[0][1] == pytest.approx(error)
