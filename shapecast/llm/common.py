@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.testdata import table
 
-__all__ = ["shared_path", "table", "texts", "written", "file_system"]
+__all__ = ["shared_path", "small_batches", "table", "texts", "written", "file_system"]
 
 #: White space of the token contracts: space and \t \n \v \f \r.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
@@ -31,6 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs inside passes texts to Python by ``rows`` at a time: a task and its
+    worker then hold a few MB of text each, not 10,000 texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` (long), ``text`` (null: empty) and the named columns only, so
     that extra columns of any name cannot clash with an operator's own."""
