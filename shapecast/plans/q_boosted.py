@@ -206,3 +206,50 @@ def grid(spark, sf_dir):
     rows = [(float(p["rate"]), int(p["rounds"]), int(p["leaves"]), int(p["least_rows"]), float(p["l2"]), None if e is None else round(e, 3))
             for p, e in found]
     return spark.createDataFrame(rows, "rate double, rounds int, leaves int, least_rows int, l2 double, cv_mape_pct double")
+
+
+def metrics_row(spark, sf_dir):
+    """M8: the newest training run in one row, all its fields."""
+    feats = E.feature_rows(spark, sf_dir)
+    latest = E.boosted_versions(spark, sf_dir).orderBy(F.desc("model_sequence")).limit(1)
+    facts = feats.agg(
+        F.array_sort(F.collect_set("QUERY_TAG")).alias("batches"),
+        F.transform(F.array_sort(F.collect_set(F.struct("warehouse_threads", "WAREHOUSE_SIZE"))), lambda s: s["WAREHOUSE_SIZE"])
+        .alias("warehouse_sizes"))                                   # batches and sizes: a few
+    deciles = a11(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct(
+        "decile", "queries", "predicted_ms", "actual_ms", "abs_pct_error"))).alias("calibration"))
+    ranked = importance(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        (-F.col("importance")).alias("order"), "feature", "importance"))), lambda s: F.struct(s["feature"], s["importance"])).alias("importances"))
+    out = latest.drop("model_sequence")
+    for part in (facts, M.runtime_profile(feats), deciles, ranked):
+        out = out.crossJoin(F.broadcast(part))      # one-row parts
+    return out.withColumns({
+        "model_kind": F.lit("histogram boosted trees (log ms)"), "engine": F.lit(f"spark-{spark.version}"),
+        "gate_rule": F.lit(M.GATE_RULE), "gate_mape_pct": F.lit(M.GATE_MAPE_PCT), "gate_r2": F.lit(M.GATE_R2),
+        "reps_median": F.col("reps_median").cast("int")})
+
+
+@register("M08_boosted_metrics_row")
+def m08(spark, sf_dir):
+    return stage(spark, ("boosted_metrics", sf_dir), lambda: metrics_row(spark, sf_dir))
+
+
+@register("M08_boosted_metrics_fixed_fields", qq("""
+select v.model_version, v.trained_at, cast(v.b as integer) as batches_measured, v.n_train_rows, v.n_holdout_rows, v.baseline_mape_pct,
+  (select string_agg(query_tag, ',' order by query_tag) from (select distinct query_tag from feat) t) as batches,
+  (select string_agg(warehouse_size, ',' order by threads) from (select distinct warehouse_size, threads from spec) s) as warehouse_sizes,
+  'holdout MAPE <= 15% and holdout R2 >= 0.90 on log10 ms' as gate_rule, 15.0 as gate_mape_pct, 0.90e0 as gate_r2, 5 as reps_median,
+  (select min(target_ms) from feat) as runtime_min_ms, (select max(target_ms) from feat) as runtime_max_ms,
+  (select round(median(target_ms), 6) from feat) as runtime_median_ms, (select min(machine_factor) from feat) as machine_factor_min,
+  (select max(machine_factor) from feat) as machine_factor_max,
+  (select round(avg(cast(has_prior_int as double)), 4) from feat) as seen_before_share, cast(13 as integer) as features,
+  cast((select least(10, greatest(1, count(*) // 4)) from latest where in_holdout = 1) as integer) as deciles
+from vmetrics v where v.b = (select max(b) from vmetrics)"""))
+def m08_fixed(spark, sf_dir):
+    """The fields of that row that do not depend on the trees."""
+    row = m08(spark, sf_dir)
+    return row.select("model_version", "trained_at", "batches_measured", "n_train_rows", "n_holdout_rows", "baseline_mape_pct",
+                      F.array_join("batches", ",").alias("batches"), F.array_join("warehouse_sizes", ",").alias("warehouse_sizes"),
+                      "gate_rule", "gate_mape_pct", "gate_r2", "reps_median", "runtime_min_ms", "runtime_max_ms",
+                      F.round("runtime_median_ms", 6).alias("runtime_median_ms"), "machine_factor_min", "machine_factor_max",
+                      "seen_before_share", F.size("importances").alias("features"), F.size("calibration").alias("deciles"))
