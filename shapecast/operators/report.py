@@ -157,3 +157,35 @@ def fail_on_checks(check_rows: DataFrame) -> DataFrame:
     """A failed check fails the job (raised inside the query)."""
     return check_rows.withColumn("ok", F.when(F.col("ok"), F.col("ok")).otherwise(
         F.raise_error(F.concat(F.lit("[check] failed: "), F.col("check")))))
+
+
+# ---- run log (K12, O7) -----------------------------------------------------------
+
+RUN_LOG = "at string, action string, passed int, failed int, batch string, measure string, train string, publish string"
+RUNS_KEPT = 12
+
+
+def run_log_entries(measured: DataFrame, versions: DataFrame, passed: F.Column, failed: F.Column) -> DataFrame:
+    """What each step of a run did, one row per batch with its model version.
+    ``measured``: batch, queries, reps (upper median of the batch's repetitions),
+    predictions (rows the run published); ``versions``: model_versions rows."""
+    v = versions.select(F.col("trained_at").alias("batch"), "model_version", "holdout_mape_pct", "mape_ci_low_pct",
+                        "mape_ci_high_pct", "holdout_r2", "gate_status")
+    one = lambda c, d=1: F.round(c, d).cast("string")
+    measure = F.when(F.col("queries") > 0, F.concat(
+        "batch", F.lit(" · "), F.col("queries").cast("string"), F.lit(" queries measured ("), F.col("reps").cast("string"),
+        F.lit(" reps median)"))).otherwise(F.lit("every batch is already measured"))
+    train = F.when(F.col("model_version").isNotNull(), F.concat(
+        F.lit("model "), "model_version", F.lit(" · holdout MAPE "), one("holdout_mape_pct"), F.lit("% ["), one("mape_ci_low_pct"),
+        F.lit(", "), one("mape_ci_high_pct"), F.lit("] · R² "), one("holdout_r2", 2), F.lit(" · "), F.upper("gate_status"))).otherwise(F.lit("no model"))
+    publish = F.when(passed + failed > 0, F.concat(
+        F.col("predictions").cast("string"), F.lit(" predictions · checks PASS="), passed.cast("string"))).otherwise(F.lit("nothing to publish yet"))
+    return measured.join(v, "batch", "left").select(
+        F.col("batch").alias("at"), F.lit("measure_batch").alias("action"), passed.cast("int").alias("passed"), failed.cast("int").alias("failed"),
+        "batch", measure.alias("measure"), train.alias("train"), publish.alias("publish"))
+
+
+def append_run_log(log: DataFrame | None, entry: DataFrame, keep: int = RUNS_KEPT) -> DataFrame:
+    """The log with the entry's rows, its last ``keep`` runs by ``at``; a run that is logged again replaces its row."""
+    both = entry if log is None else log.join(entry.select("at"), "at", "left_anti").unionByName(entry)
+    return both.orderBy(F.desc("at")).limit(keep)

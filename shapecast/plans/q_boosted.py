@@ -5,18 +5,26 @@ every model, the baseline - is compared with SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import template_label
 from ..operators import boosting as B
+from ..operators import features as fe
 from ..operators import metrics as M
 from ..operators import report as R
 from ..operators import versions as V
 from ..operators.features import FEATURES
+from ..operators.forecast import forecast
 from ..operators.importance import permutation_importance
+from ..operators.ordinal import rank_value
 from ..session import stage, state_dir
 from . import evaluate as E
+from . import history as H
+from . import qlog as Q
 from .oracle import FEATURE_NAMES, _fitted
-from .q_report import qq
+from .q_report import _versions, qq
+from .q_report import detail as one_feature_detail
 from .registry import register
 
 #: Rows of every model: version b without a fold (folds 0-4), all its training rows (-1), every row of the newest (-2).
@@ -253,3 +261,60 @@ def m08_fixed(spark, sf_dir):
                       "gate_rule", "gate_mape_pct", "gate_r2", "reps_median", "runtime_min_ms", "runtime_max_ms",
                       F.round("runtime_median_ms", 6).alias("runtime_median_ms"), "machine_factor_min", "machine_factor_max",
                       "seen_before_share", F.size("importances").alias("features"), F.size("calibration").alias("deciles"))
+
+
+def _queue(spark, sf_dir):
+    """(the newest batch as a queue, past means of the batches before it)."""
+    log = Q.qlog(spark, sf_dir, extra=True)
+    last = log.agg(F.max("query_tag").alias("__m"))      # one row
+    queue = log.crossJoin(F.broadcast(last)).filter(F.col("query_tag") == F.col("__m")).select(
+        "query_id", "template_id", template_label().alias("template_label"), "warehouse_size", "query_text")
+    past = H.training(spark, sf_dir, with_prior=False).crossJoin(F.broadcast(last)).filter(F.col("QUERY_TAG") < F.col("__m"))
+    return queue, fe.history_index(past)
+
+
+_FORECAST = """
+select s.query_id, s.template_id, s.template_label, s.warehouse_size, s.n_tables, s.n_joins, cast(s.table_rows as bigint) as table_rows,
+  s.has_group_by, s.has_order_by, s.has_window, s.limit_rows, s.predicate_literal, t.has_prior as seen_before, s.query_text{more}
+from labelled s join trp t on t.query_id = s.query_id where s.query_tag = (select max(query_tag) from qlog)"""
+
+
+@register("M14_forecast_without_model", qq(_FORECAST.format(more="")))
+def forecast_plain(spark, sf_dir):
+    """The queue before there is a model: shapes and priors, no prediction."""
+    queue, index = _queue(spark, sf_dir)
+    return forecast(queue, index, Q.qtables(spark, sf_dir))
+
+
+@register("M14_boosted_forecast", qq(_FORECAST.format(
+    more=", (select model_version from vmetrics where b = (select max(b) from vmetrics)) as predicted_by, true as predicted")))
+def forecast_scored(spark, sf_dir):
+    """The queue scored by the trees that were fitted on the batches before it."""
+    queue, index = _queue(spark, sf_dir)
+    st = E.state(spark, sf_dir)
+    b = V.trainable(st)[-1]
+    name = V.names(st).filter(F.col("b") == b).first()["model_version"]
+    out = forecast(queue, index, Q.qtables(spark, sf_dir), E.boosted(spark, sf_dir), (b, B.HOLDOUT), name)
+    return out.withColumn("predicted", F.col("predicted_ms") > 0).drop("predicted_ms")
+
+
+@register("K12_O07_run_log", qq("""
+select v.trained_at as at, 'measure_batch' as action, 6 as passed, 0 as failed, v.trained_at as batch,
+  v.trained_at || ' · ' || cast(n.n as varchar) || ' queries measured (5 reps median)' as measure,
+  'model ' || v.model_version || ' · holdout MAPE ' || cast(round(v.holdout_mape_pct, 1) as varchar) || '% ['
+    || cast(round(v.mape_ci_low_pct, 1) as varchar) || ', ' || cast(round(v.mape_ci_high_pct, 1) as varchar) || '] · R² '
+    || cast(round(v.holdout_r2, 2) as varchar) || ' · ' || case when v.passes_gate then 'PASS' else 'FAIL' end as train,
+  cast((select count(*) from qlog q where q.query_tag <= v.trained_at) as varchar) || ' predictions · checks PASS=6' as publish
+from vmetrics v join (select query_tag, count(*) as n from qlog group by query_tag) n on n.query_tag = v.trained_at"""))
+def run_log(spark, sf_dir):
+    """The run log after a run for each batch, the last 12 kept."""
+    cal = H.calibration(spark, sf_dir)
+    reps = rank_value(cal, ["batch_name"], "reps", lambda n: F.floor(n / 2) + 1, "reps")
+    sizes = cal.groupBy("batch_name").agg(F.count(F.lit(1)).alias("queries"))
+    upto = W.orderBy("batch_name").rowsBetween(W.unboundedPreceding, 0)      # one row per batch
+    measured = sizes.join(reps, "batch_name").select(
+        F.col("batch_name").alias("batch"), "queries", "reps", F.sum("queries").over(upto).alias("predictions"))
+    versions = R.model_versions(_versions(spark, sf_dir))
+    checks = R.checks(E.feature_rows(spark, sf_dir), one_feature_detail(spark, sf_dir), versions).agg(
+        F.count_if("ok").alias("p"), F.count_if(~F.col("ok")).alias("f")).first()     # one row
+    return R.append_run_log(None, R.run_log_entries(measured, versions, F.lit(checks["p"]), F.lit(checks["f"])))
