@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import even_tasks, materialize
 from . import metrics as M
 from .features import FEATURES
 from .model import N_FOLDS
@@ -214,6 +214,8 @@ def _histograms(names, base, recent, growing, wanted):
                 node = node_of(b, growing[m])
                 for v in wanted[m]:
                     here = np.flatnonzero(node == v)
+                    if not len(here):
+                        continue
                     flat = code[at[here]].ravel()
                     h = np.concatenate([np.bincount(flat, np.repeat(g[here], len(FEATURES)), width),
                                         np.bincount(flat, np.repeat(n[at[here]], len(FEATURES)), width)])
@@ -314,9 +316,11 @@ class Growth:
 
     def __init__(self, rows: DataFrame, names: Sequence[tuple[int, int]], settings: Sequence[Setting]):
         self.names, self.settings, self.edges = list(names), list(settings), cuts(rows)
-        # by a number of its own: the cells are few bytes, but every pass is work
-        width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        table = materialize(cells(rows, self.edges).repartition(width, "bins"))
+        spark, table = rows.sparkSession, materialize(cells(rows, self.edges))
+        # Dealt evenly by a number of its own: the cells are few bytes, but every pass is
+        # work, and each task passes on a histogram a node however few cells it has.
+        table = materialize(table.repartition(even_tasks(spark, table.count()), "bins", "bn", "fold", "tail"))
+        self.meet = max(1, min(len(names), spark.sparkContext.defaultParallelism))     # tasks where the sums of a model meet
         mine = table.groupBy("bn", "tail", "fold").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()   # a row a batch and fold
         bn, fold = (np.array([r[c] for r in mine], np.int64) for c in ("bn", "fold"))
         tail = np.array([r["tail"] for r in mine], bool)
@@ -345,7 +349,7 @@ class Growth:
             if not any(wanted):
                 break
             parts = self.scored.mapInArrow(_histograms(self.names, self.base, self.recent, growing, wanted), HIST)
-            found = parts.repartition("model").mapInArrow(_splits(self.settings), BEST).collect()   # one row a node
+            found = parts.repartition(self.meet, "model").mapInArrow(_splits(self.settings), BEST).collect()   # one row a node
             for m, nodes in enumerate(wanted):
                 for v in nodes:
                     growing[m].best[v] = None

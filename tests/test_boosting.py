@@ -129,3 +129,18 @@ def test_grid_keeps_the_winner_and_leaves_the_holdout_alone(spark):
     assert error == pytest.approx(np.mean(off) * 100)
     changed = rows.withColumn("TARGET_MS", F.when(F.col("bn") == 3, F.col("TARGET_MS") * 7).otherwise(F.col("TARGET_MS")))
     assert B.grid_search(changed, 3, grid, exact=True, step=2)[0][1] == pytest.approx(error)
+
+
+def test_passes_have_tasks_by_cells_not_by_shuffle_partitions(spark):
+    from shapecast.session import LEAST_ROWS, MOST_ROWS, even_tasks
+    rows = V.numbered(rows_of(spark))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        growth = B.Growth(rows, [(3, B.HOLDOUT)], [FITS])
+        assert growth.scored.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cores = spark.sparkContext.defaultParallelism
+    assert even_tasks(spark, 0) == 1 and even_tasks(spark, LEAST_ROWS * cores) == cores
+    assert even_tasks(spark, MOST_ROWS * 100 * cores) == 100 * cores
