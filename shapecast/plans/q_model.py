@@ -133,7 +133,7 @@ def m14(spark, sf_dir):
     queue = tagged.filter(F.col("query_tag") == F.col("__m"))
     train_rows = E.feature_rows(spark, sf_dir).crossJoin(F.broadcast(last)) \
         .filter(F.col("QUERY_TAG") < F.col("__m")).drop("__m")
-    model = MO.pipeline(MO.new_gbt()).fit(MO.labelled(train_rows))
+    model = MO.fit(train_rows, MO.new_gbt)
     from . import history as H
     hist = H.training(spark, sf_dir, with_prior=False).crossJoin(F.broadcast(last))
     index = fe.history_index(hist.filter(F.col("QUERY_TAG") < F.col("__m")))

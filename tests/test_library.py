@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from shapecast import schemas as SC
 from shapecast.sources import history_io as IO
@@ -57,3 +58,14 @@ def test_too_few_rows_are_refused(spark, catalogue):
     feats, MO = _fitted(spark, catalogue, 11)
     with pytest.raises(ValueError, match="too few"):
         MO.fit_and_score(feats, MO.new_linear)
+
+
+def test_fits_have_tasks_by_rows_not_by_shuffle_partitions(spark):
+    from shapecast.operators import model as MO
+    from shapecast.operators.features import FEATURES
+    vector = [(F.col("id") % (k + 2)).cast("double").alias(f) for k, f in enumerate(FEATURES)]
+    rows = spark.range(3000).select(F.concat(F.lit("q"), "id").alias("QUERY_ID"), *vector)
+    dealt = MO.dealt(rows.repartition(40), 3000)
+    assert dealt.rdd.getNumPartitions() == 2 and dealt.count() == 3000
+    # one key and one vector many times, or none: nothing is lost
+    assert MO.dealt(rows.withColumn("QUERY_ID", F.lit(None).cast("string")), 3000).count() == 3000
