@@ -68,3 +68,11 @@ def test_null_group_keys_are_a_group(spark):
     med = {r["g"]: (r["m"], r["s"]) for r in exact_percentiles(df, ["g"], {"v": "m", "seq": "s"}, 0.5).collect()}
     assert med == {None: (2.0, 2.0), "a": (-1.5, 1.5)}
     assert rank_value(df, ["g"], "v", lambda n: n, "top").count() == 2
+
+
+def test_a_batch_of_a_million_rows_is_many_blocks(spark):
+    from shapecast.operators.ordinal import DEFAULT_BLOCK
+    df = spark.range(1_000_000).select(F.col("id").alias("seq"), F.lit("hot").alias("g"))
+    got = block_position(df, ["g"], "seq", "p")
+    assert got.agg(F.countDistinct(F.floor(F.col("seq") / DEFAULT_BLOCK))).first()[0] == 16
+    assert got.where("p <> seq").count() == 0 and got.count() == 1_000_000
