@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 from .. import schemas as SC
 
+#: Rows of a CSV file: a file with multi-line fields is read by one task.
+CSV_ROWS = 200_000
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether the path is there; any other failure (an unreachable store, a
@@ -121,11 +124,11 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str,
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Contract column order (extra columns ignored), NULL as empty field,
-    quotes doubled, one header."""
+    quotes doubled, one header a file, ``CSV_ROWS`` rows a file at most."""
     out = df.select(*columns) if columns else df
     (out.write.mode("overwrite").option("header", True).option("quote", '"')
      .option("escape", '"').option("nullValue", "").option("emptyValue", "")
-     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").option("maxRecordsPerFile", CSV_ROWS)
      .csv(path))
 
 

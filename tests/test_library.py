@@ -69,3 +69,11 @@ def test_fits_have_tasks_by_rows_not_by_shuffle_partitions(spark):
     assert dealt.rdd.getNumPartitions() == 2 and dealt.count() == 3000
     # one key and one vector many times, or none: nothing is lost
     assert MO.dealt(rows.withColumn("QUERY_ID", F.lit(None).cast("string")), 3000).count() == 3000
+
+
+def test_a_written_csv_has_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IO, "CSV_ROWS", 100)
+    IO.write_csv(spark.range(250).coalesce(1).select("id", F.lit("a\nb").alias("t")), f"{tmp_path}/rows")
+    assert len([f for f in os.listdir(f"{tmp_path}/rows") if f.endswith(".csv")]) == 3
+    back = spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/rows")
+    assert back.count() == 250 and back.select("t").distinct().collect()[0][0] == "a\nb"
