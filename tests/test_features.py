@@ -95,3 +95,10 @@ def test_the_column_sets_partition_query_history():
     for c in ("EXECUTION_TIME", "BYTES_SCANNED", "ROWS_PRODUCED", "END_TIME"):
         assert c in post
     assert set(fe.SOURCE_COLUMNS + fe.HISTORY_SOURCE_COLUMNS) <= pre
+
+
+def test_texts_are_parsed_once(spark, catalogue):
+    df = spark.createDataFrame([("q1", "select 1 from FACT_EVENT_S limit 5", "Small")], "QUERY_ID string, QUERY_TEXT string, WAREHOUSE_SIZE string")
+    out = fe.featurise(df, catalogue)
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.first()["n_tables"] == 1.0 and out.columns == ["QUERY_ID", *fe.FEATURES]
