@@ -98,3 +98,38 @@ def test_sanitised_text(docs_of):
 
 def test_empty(docs_of):
     assert report(find_spans(docs_of([]))).count() == 0
+
+
+def brute_whole(rows, threshold=0.9, support=3):
+    """Terms of the whole text, wherever the entity is."""
+    found = []
+    for i, t in rows:
+        b, blank = base(t or ""), list(t or "")
+        for s, _, e, _ in b:
+            blank[s:e] = " " * (e - s)
+        found.append((i, t or "", b, [(m.group().lower(), (m.start(), 4, m.end(), m.group())) for m in re.finditer(
+            r"(?<![^\W\d_])[^\W\d_]{3,}(?![^\W\d_])", "".join(blank))] if b else []))
+    entity = lambda k, v: f"{k}:" + (v.lower() if k < 2 else re.sub("[^0-9]", "", v))
+    n_et, n_e, n_t = Counter(), Counter(), Counter()
+    for _, t, b, words in found:
+        mine = {entity(k, v) for _, k, _, v in b}
+        n_e.update(mine)
+        n_et.update({(e, w) for e in mine for w, _ in words})
+        n_t.update({w for w in re.split(r"[\W\d_]+", t.lower()) if len(w) > 2})
+    n = len(rows)
+    risky = {p for p, c in n_et.items() if c >= support and n_e[p[0]] < n and n_t[p[1]]
+             and math.log(c * n) - math.log(n_e[p[0]] * n_t[p[1]]) >= threshold * math.log(n / n_e[p[0]]) - 1e-12}
+    return sorted(((i, listed([*b, *{s for w, s in words if any((entity(k, v), w) in risky for _, k, _, v in b)}]))
+                   for i, _, b, words in found), key=str)
+
+
+def test_terms_of_the_whole_text(docs_of):
+    """A term 900 characters and two lines away from the entity, and one that is twice in the row."""
+    rows = corpus() + [(300 + i, "Vesnin lives here\n" + "the and river " * 70 + f"\nto a.v@x.org x{i} Vesnin") for i in range(8)]
+    rows += [(400, "ab" * 300 + "c@d.ef" * 40 + " one two " * 50)]
+    got = find_spans(docs_of(rows, "key"), context=None)
+    assert sorted(((r.doc_id, r.spans) for r in report(got).collect()), key=str) == brute_whole(rows)
+    spans = {r.doc_id: r.spans for r in report(got).collect()}
+    assert "term:0:6" in spans[300] and spans[300].count("term") >= 2
+    assert "Vesnin" not in {r.doc_id: r.text for r in sanitise(docs_of(rows), context=None).collect()}[301]
+    assert report(find_spans(docs_of([]), context=None)).count() == 0
