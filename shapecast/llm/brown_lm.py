@@ -1,20 +1,23 @@
 """Brown class-based bigram model by exchange clustering, and its scores.
 
-Training counts cover every training row: a lexicon (word, count) and, for the
-clustering, bigrams of units. A unit is one of the most frequent words, or all
-other words of one hashed ending (three bytes), so the unit matrix has
-``UNITS`` squared cells whatever the corpus. Exchange clustering on that matrix
-moves a unit to the class that raises the class bigram likelihood most, unit by
-unit with counts kept up, until nothing moves or ``ROUNDS`` have passed; every
-word has the class of its unit, so a text's classes need no join.
+Training counts cover every training row. Classes are found in two steps. First
+exchange clustering on a matrix of units - one of the most frequent words, or all
+other words of one hashed ending (three bytes), ``UNITS`` squared cells whatever
+the corpus: a unit moves to the class that raises the class bigram likelihood
+most, unit by unit with counts kept up, until nothing moves or ``ROUNDS`` have
+passed. Then every other word of the lexicon has an exchange step of its own: it
+is taken out of its ending's class and put into the one in which its own
+neighbours' classes raise the likelihood most. Those classes are a column of the
+lexicon. Only words that are in no training row have the class of their ending.
 
 P(w | before) = P(class(w) | class(before)) P(w | class(w)). Transitions are
 interpolated with the classes' own frequencies (Witten-Bell), emissions are
 discounted by class, the discount going to unknown words as one type.
 
-Scoring sends the ``HEAD`` most frequent words (a fixed bound) to the workers;
-the counts of all other words come by a join on the word, as additive terms of
-the rows, so no text moves.
+The ``HEAD`` most frequent words (a fixed bound) are sent to the workers; all
+other words of the texts get their counts and classes by a join on the word. A
+text moves as a byte a token, its classes, on which the class bigrams are counted
+and the transitions are scored.
 
 Defined cases: a null text is empty and has the end token alone; a row without
 an id counts as one of id '' (it is learnt from, not held out); repeated rows
@@ -80,8 +83,8 @@ def lexicon(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent words, ``most`` at most: all above a count (words that tie there are left out)."""
+def frequent(words: DataFrame, most: int) -> dict[bytes, tuple]:
+    """The most frequent words with their other columns, ``most`` at most: all above a count (words that tie there are left out)."""
     short = words.where(F.octet_length("word") <= HEAD_BYTES)
     steps = short.groupBy("n").count().orderBy(F.desc("n"))
     total, least = 0, None
@@ -93,7 +96,7 @@ def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
     if least is None:
         return {}
     got = short.where(F.col("n") >= least).toArrow()
-    return dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
+    return dict(zip(got["word"].to_pylist(), zip(*(got[c].to_pylist() for c in got.column_names if c != "word"))))
 
 
 def leading(words: DataFrame, most: int) -> list[bytes]:
@@ -106,11 +109,12 @@ class Units:
     """The unit of a word: its own if it is frequent, else that of its ending."""
 
     def __init__(self, own: list[bytes]):
+        self.endings = ENDINGS
         self.own = {w: ENDINGS + i for i, w in enumerate(own)}
 
     def of(self, word: bytes) -> int:
         got = self.own.get(word)
-        return zlib.crc32(word[-3:]) % ENDINGS if got is None else got
+        return zlib.crc32(word[-3:]) % self.endings if got is None else got
 
 
 _UNITS: dict[str, dict[bytes, int]] = {}
@@ -220,6 +224,130 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
+class Neighbours(dict):
+    """Numbers of words: a frequent one has its class, another ``CLASSES`` and up, as they come."""
+
+    def __init__(self, units: Units, of: np.ndarray):
+        super().__init__({w: int(of[u]) for w, u in units.own.items()})
+        self.units, self.of, self.frequent = units, of, dict(self)
+        self.words: list[bytes] = []
+        self.classes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = got = CLASSES + len(self.words)
+        self.words.append(word)
+        self.classes.append(int(self.of[self.units.of(word)]))
+        return got
+
+    def restart(self) -> None:
+        self.clear()
+        self.update(self.frequent)
+        self.words, self.classes = [], []
+
+
+def neighbours(rows: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
+    """Of each word without a unit of its own: (word, codes, ns) - how often it stands
+    between two classes, code = class before * (CLASSES + 1) + class after, the number
+    CLASSES standing for the word itself; a row for each part."""
+    sent, k = rows.sparkSession.sparkContext.broadcast((units, of)), CLASSES + 1
+    cells = k * k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Neighbours(*sent.value)
+        found: list[np.ndarray] = []
+
+        def flush():
+            cell, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+            bounds = pa.array(np.searchsorted(cell, np.arange(len(known.words) + 1) * cells), pa.int32())
+            out = pa.record_batch([pa.array(known.words, pa.binary()), pa.ListArray.from_arrays(bounds, pa.array((cell % cells).astype(np.int32))),
+                                   pa.ListArray.from_arrays(bounds, pa.array(n, pa.int64()))], ["word", "codes", "ns"])
+            known.restart()
+            found.clear()
+            return out
+
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = [END]
+                for text in batch.column("text")[at:at + 256].to_pylist():
+                    part += tokens(text)
+                ids = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
+                c = ids.copy()
+                rest = np.flatnonzero(ids >= CLASSES)
+                c[rest] = np.array(known.classes, np.int64)[ids[rest] - CLASSES]
+                before, after = (np.where(ids[rest + d] == ids[rest], CLASSES, c[rest + d]) for d in (-1, 1))
+                found.append((ids[rest] - CLASSES) * cells + before * k + after)
+                held += len(rest)
+                if len(known.words) > COUNT_FLUSH or held > 10 * COUNT_FLUSH:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    return rows.select("text").mapInArrow(run, "word binary, codes array<int>, ns array<long>")
+
+
+def own_step(row: np.ndarray, code: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Class of each word by its neighbours (``n`` times ``code`` of word ``row``): it is
+    taken out of its class ``of`` and put where the likelihood of ``pairs``, the class
+    bigrams, is highest (the first of equals), as in ``exchange``. No empty class is filled."""
+    k, size, f = len(pairs), len(of), _xlogx
+    to, fro = (np.bincount(row * (k + 1) + c, n, size * (k + 1)).reshape(size, k + 1) for c in (code % (k + 1), code // (k + 1)))
+    own, to, fro = to[:, k:], to[:, :k], fro[:, :k]
+    every, diagonal = np.arange(size), pairs.diagonal()
+    gain, stay = np.zeros((size, k)), np.zeros(size)
+    # row b of the pairs gains the classes after, column b those before
+    for side, other, p in ((to, fro, pairs), (fro, to, pairs.T)):
+        w, c = np.nonzero(side)
+        if len(w):
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(f(p.T[c] + side[w, c][:, None]) - f(p.T[c]), first)
+        # what the word gave to its old class is gone from there
+        now, mine = p.T[of], side[every, of][:, None]
+        gain += f(now - other + mine) - f(now - other) - f(now + mine) + f(now)
+        total, whole = side.sum(1)[:, None] + own, p.sum(1)
+        gain -= f(whole + total) - f(whole)
+        kept = f(p[of]) - f(p[of] - side)
+        kept[every, of] = 0
+        stay += kept.sum(1) - (f(whole[of]) - f(whole[of] - total[:, 0]))
+    gain += f(diagonal + to + fro + own) - f(diagonal + to) - f(diagonal + fro) + f(diagonal)
+    corner = diagonal[of]
+    gain[every, of] = stay + f(corner) - f(corner - to[every, of] - fro[every, of] - own[:, 0])
+    gain[:, (pairs.sum(0) + pairs.sum(1)) == 0] = -np.inf
+    top = gain.max(1, keepdims=True)
+    return (gain >= top - 1e-9 * np.abs(top)).argmax(1)
+
+
+def classed(rows: DataFrame, words: DataFrame, units: Units, of: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """The lexicon with every word's class: word, n, class. ``pairs``: class bigrams of the units."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                mine = np.array([of[units.of(w)] for w in some.column("word").to_pylist()], np.int64)
+                codes, ns = (some.column(c).flatten() for c in ("codes", "ns"))     # lists of parts
+                parts = np.repeat(np.arange(some.num_rows), some.column("codes").value_lengths().to_numpy())
+                row = np.repeat(parts, codes.value_lengths().to_numpy())
+                code, n = codes.flatten().to_numpy(), ns.flatten().to_numpy()
+                got = own_step(row, code, n, mine, pairs)
+                total = np.bincount(row, n, some.num_rows).astype(np.int64)
+                yield pa.record_batch([some.column("word"), pa.array(total), pa.array(got, pa.int32())], ["word", "n", "class"])
+
+    rest = (neighbours(rows, units, of).groupBy("word").agg(F.collect_list("codes").alias("codes"), F.collect_list("ns").alias("ns"))
+            .mapInArrow(run, "word binary, n long, class int"))
+    own = rows.sparkSession.createDataFrame([(w, int(of[u])) for w, u in units.own.items()], "word binary, class int")
+    return words.join(F.broadcast(own), "word").select("word", "n", "class").unionByName(rest)
+
+
+def emissions(stats: dict[int, tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each class's tokens, discount and log10 of an unknown word."""
+    size, discount, unknown = np.zeros(CLASSES), np.full(CLASSES, 0.5), np.zeros(CLASSES)
+    for c, (total, kinds, once, twice) in stats.items():
+        size[c] = total
+        discount[c] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+        unknown[c] = np.log10(discount[c] * kinds / total)
+    return size, discount, unknown
+
+
 class Brown:
     """Class of each unit, log10 transitions, and each class's tokens, discount and log10 unknown."""
 
@@ -229,46 +357,44 @@ class Brown:
         prior = (size + 0.5) / (size.sum() + 0.5 * len(size))
         kinds, out = (pairs > 0).sum(1), pairs.sum(1)
         self.step = np.log10((pairs + np.maximum(kinds, 1)[:, None] * prior) / (out + np.maximum(kinds, 1))[:, None])
-        self.tokens, self.discount, self.unknown = np.zeros(len(size)), np.full(len(size), 0.5), np.zeros(len(size))
-        for c, (total, kinds_, once, twice) in stats.items():
-            self.tokens[c] = total
-            self.discount[c] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-            self.unknown[c] = np.log10(self.discount[c] * kinds_ / total)
+        self.tokens, self.discount, self.unknown = emissions(stats)
 
     def class_of(self, word: bytes) -> int:
+        """Of a frequent or an unknown word; the others have theirs in the lexicon."""
         return int(self.of[self.units.of(word)])
 
 
-def class_stats(words: DataFrame, units: Units, of: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+def class_stats(words: DataFrame) -> dict[int, tuple[int, int, int, int]]:
     """Class -> (tokens, words, words seen once, twice), over the whole lexicon."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [int(of[units.of(w)]) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([pa.array(got, pa.int32()), batch.column("n")], ["c", "n"])
-
-    by = words.mapInArrow(run, "c int, n long").groupBy("c").agg(
+    by = words.groupBy("class").agg(
         F.sum("n"), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1)))
     return {r[0]: tuple(r)[1:] for r in by.collect()}
 
 
-PART = ("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "word binary, times long, class int")
+ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, codes binary"
+PART = f"rid long, {ROW}, at int, word binary, class int"
+
 
+def _logs(n: np.ndarray, c: np.ndarray, stats, n_train: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 base and emission of words of counts ``n`` and classes ``c``."""
+    size, discount, unknown = emissions(stats)
+    emit = np.where(n > 0, np.log10((n - discount[c]).clip(1e-9) / size[c].clip(1)), unknown[c])
+    return np.log10((n + 0.5) / (n_train + 0.5 * (kinds + 1))), emit
 
-def _scored(model, head, n_train: int, kinds: int):
-    """Of each row the terms of the head's words, and a row for each other word."""
+
+def _parts(head, units, of, stats, n_train: int, kinds: int):
+    """Of each row the terms and classes of the head's words, and a row for each place of another word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = model.value, head.value
+        words, u = head.value, units.value
         index = {w: i for i, w in enumerate(words)}
-        count = np.array(list(words.values()) + [0], float)
-        class_of = np.array([m.class_of(w) for w in words] + [0], np.int64)
-        emit = np.log10((count - m.discount[class_of]).clip(1e-9) / m.tokens[class_of].clip(1))
-        emit[-1] = 0
-        base = np.log10((count + 0.5) / (n_train + 0.5 * (kinds + 1)))
-        base[-1] = 0
-        start = m.class_of(END)
+        count, class_of = (np.array([x[i] for x in words.values()] + [0], np.int64) for i in (0, 1))
+        base, emit = _logs(count, class_of, stats, n_train, kinds)
+        base[-1] = emit[-1] = 0
         rid = TaskContext.get().partitionId() << 33
         get = index.get
+        names = [x.split()[0] for x in PART.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+        whole, places = [True] * 8 + [False] * 3, [True] + [False] * 7 + [True] * 3
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -276,58 +402,119 @@ def _scored(model, head, n_train: int, kinds: int):
                 for doc, held, text in zip(*(some.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
                     t = tokens(text)
                     ids = np.array([get(w, -1) for w in t], np.int64)
-                    c = class_of[ids]
                     rest = np.flatnonzero(ids < 0).tolist()
-                    if rest:
-                        own = [m.class_of(t[i]) for i in rest]
-                        c[rest] = own
-                        tails += [(rid, w, k, x) for (w, x), k in Counter(zip([t[i] for i in rest], own)).items()]
-                    walk = m.step[np.concatenate(([start], c[:-1])), c].sum()
-                    rows.append((rid, doc, held, len(t), len(t) - len(rest), float(base[ids].sum()), float(walk + emit[ids].sum())))
+                    tails += [(rid, i, t[i], int(of[u.of(t[i])])) for i in rest]
+                    rows.append((rid, doc, held, len(t), len(t) - len(rest), float(base[ids].sum()), float(emit[ids].sum()),
+                                 class_of[ids].astype(np.uint8).tobytes()))
                     rid += 1
-                none = lambda n, t: pa.nulls(n, t)
-                columns = list(zip(*rows))
-                first = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                names = [x.split()[0] for x in PART.split(", ")]
-                yield pa.record_batch([*first, none(len(rows), pa.binary()), none(len(rows), pa.int64()), none(len(rows), pa.int32())], names)
-                if tails:
-                    r, w, k, x = zip(*tails)
-                    n = len(tails)
-                    yield pa.record_batch([pa.array(r, pa.int64()), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()),
-                                           none(n, pa.float64()), none(n, pa.float64()), pa.array(w, pa.binary()), pa.array(k, pa.int64()),
-                                           pa.array(x, pa.int32())], names)
+                for found, here in ((rows, whole), (tails, places)):
+                    if found:
+                        column = iter(zip(*found))
+                        yield pa.record_batch([pa.array(next(column), t) if h else pa.nulls(len(found), t) for h, t in zip(here, types)], names)
     return run
 
 
+def _filled(stats, n_train: int, kinds: int):
+    """Rows of ``_parts`` with the counts and classes that the join found for their other words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            got = batch.column("tail")
+            many = got.value_lengths().fill_null(0).to_numpy()
+            values = got.flatten()
+            at, n, c = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            row = np.repeat(np.arange(size), many)
+            base, emit = _logs(n, c, stats, n_train, kinds)
+            raw, length = batch.column("codes").to_pylist(), batch.column("n_tokens").to_numpy()
+            codes, first = np.frombuffer(b"".join(raw), np.uint8).copy(), np.cumsum(length) - length
+            codes[first[row] + at] = c
+            data = codes.tobytes()
+            add = lambda name, w: batch.column(name).to_numpy() + np.bincount(row, w, size)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"),
+                                   pa.array(add("n_known", n > 0).astype(np.int64)), pa.array(add("base", base)), pa.array(add("emit", emit)),
+                                   pa.array([data[a:a + k] for a, k in zip(first.tolist(), length.tolist())], pa.binary())],
+                                  [x.split()[0] for x in ROW.split(", ")])
+    return run
+
+
+def _steps(batch: pa.RecordBatch, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class) of every token, and where the rows begin; a text starts after an end."""
+    length = batch.column("n_tokens").to_numpy()
+    c = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).astype(np.int64)
+    first = np.cumsum(length) - length
+    before = np.concatenate(([start], c[:-1]))
+    before[first] = start
+    return before, c, first
+
+
+def class_bigrams(coded: DataFrame, start: int) -> np.ndarray:
+    """CLASSES x CLASSES counts of (class, next class) of the rows."""
+    k = CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                before, c, _ = _steps(batch, start)
+                total += np.bincount(before * k + c, minlength=k * k)
+        cell = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], ["cell", "n"])
+
+    out = np.zeros(k * k, np.int64)
+    for r in coded.select("n_tokens", "codes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]                              # CLASSES squared rows at most
+    return out.reshape(k, k)
+
+
+class Learnt:
+    """Units and their classes, the classed lexicon (written), its tokens and words, and each class's statistics."""
+
+    def __init__(self, rows: DataFrame):
+        words = written(lexicon(rows), "lexicon")
+        self.total, self.kinds = words.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        own = leading(words, UNITS - ENDINGS - 1)
+        self.units = Units([END, *(w for w in own if w != END)][:UNITS - ENDINGS])
+        bigrams = unit_bigrams(rows, self.units)
+        self.of = exchange(bigrams)
+        one = np.zeros((UNITS, CLASSES))
+        one[np.arange(UNITS), self.of] = 1
+        self.words = written(classed(rows, words, self.units, self.of, one.T @ bigrams @ one), "classed")
+        self.stats = class_stats(self.words)
+        self.start = int(self.of[self.units.of(END)])
+
+    def coded(self, rows: DataFrame) -> DataFrame:
+        """The rows (with held_out) with their counts, base and emission sums and a class a token (written)."""
+        send = rows.sparkSession.sparkContext.broadcast
+        parts = written(rows.mapInArrow(_parts(send(frequent(self.words, HEAD)), send(self.units), self.of, self.stats, self.total, self.kinds), PART), "parts")
+        tail = (parts.where("word is not null").select("rid", "at", "word", F.col("class").alias("spare")).join(self.words, "word", "left")
+                .groupBy("rid").agg(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", "spare").alias("class"))).alias("tail")))
+        whole = parts.where("word is null").drop("at", "word", "class").join(tail, "rid", "left")
+        return written(whole.mapInArrow(_filled(self.stats, self.total, self.kinds), ROW), "coded")
+
+    def model(self, coded: DataFrame) -> Brown:
+        return Brown(self.units, self.of, class_bigrams(coded, self.start), self.stats)
+
+
 def train(rows: DataFrame) -> tuple[Brown, DataFrame, int, int]:
-    """The model, the lexicon (written), its tokens and its words."""
-    words = written(lexicon(rows), "lexicon")
-    total, kinds = words.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    own = leading(words, UNITS - ENDINGS - 1)
-    units = Units([END, *(w for w in own if w != END)][:UNITS - ENDINGS])
-    bigrams = unit_bigrams(rows, units)
-    of = exchange(bigrams)
-    one = np.zeros((UNITS, CLASSES))
-    one[np.arange(UNITS), of] = 1
-    return Brown(units, of, one.T @ bigrams @ one, class_stats(words, units, of)), words, total, kinds
+    """The model, the classed lexicon (written), its tokens and its words."""
+    learnt = Learnt(rows)
+    return learnt.model(learnt.coded(rows.withColumn("held_out", F.lit(False)))), learnt.words, learnt.total, learnt.kinds
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
     rows = texts(docs).withColumn("held_out", _remainder() == 1)
-    model, words, n_train, kinds = train(rows.where(~F.col("held_out")))
-    sent, head = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(frequent(words, HEAD))
-    parts = written(rows.mapInArrow(_scored(sent, head, n_train, kinds), PART), "scores")
-    of_class = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("class") + 1)
-    n, times = F.coalesce("n", F.lit(0)), F.col("times")
-    known = n > 0
-    emit = F.when(known, F.log10((n - of_class(model.discount)) / of_class(np.maximum(model.tokens, 1)))).otherwise(of_class(model.unknown))
-    tail = (parts.where("word is not null").select("rid", "word", "times", "class").join(words, "word", "left")
-            .select("rid", F.when(known, times).otherwise(0).alias("known"), (times * emit).alias("emit"),
-                    (times * F.log10((n + 0.5) / (n_train + 0.5 * (kinds + 1)))).alias("plain"))
-            .groupBy("rid").agg(F.sum("known").alias("known"), F.sum("emit").alias("emit"), F.sum("plain").alias("plain")))
-    whole = parts.where("word is null").join(tail, "rid", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return whole.select("doc_id", "held_out", "n_tokens", add("n_known", "known").cast("long").alias("n_known"),
-                        F.lit(n_train).cast("long").alias("train_tokens"), add("base", "plain").alias("base_score"), add("score", "emit").alias("score"))
+    learnt = Learnt(rows.where(~F.col("held_out")))
+    coded = learnt.coded(rows)
+    step, start = learnt.model(coded.where(~F.col("held_out"))).step, learnt.start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                before, c, first = _steps(batch, start)
+                s = batch.column("emit").to_numpy() + np.add.reduceat(step[before, c], first)
+                yield pa.record_batch([*(batch.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base")), pa.array(s)],
+                                      ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    got = coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(learnt.total).cast("long").alias("train_tokens"), "base_score", "score")

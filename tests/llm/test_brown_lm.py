@@ -99,3 +99,50 @@ def test_units_are_chosen_by_rank_whatever_the_counts(spark):
     table = spark.createDataFrame(words[::-1], "word binary, n long")
     assert brown_lm.leading(table, 8) == [w for w, _ in words[:8]] and brown_lm.leading(table, 4) == [w for w, _ in words[:4]]
     assert set(brown_lm.frequent(table, 8)) == {w for w, _ in words[:6]}
+
+
+def test_every_word_has_an_exchange_step_of_its_own(docs_of, monkeypatch):
+    """More words than units: classes and scores against the likelihood written out."""
+    for name, value in (("UNITS", 24), ("ENDINGS", 4), ("HEAD", 30)):
+        monkeypatch.setattr(brown_lm, name, value)
+    rows = corpus()
+    docs = docs_of(rows)
+    learn = [t or "" for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    model, words, _, _ = train(texts(docs).where(brown_lm._remainder() != 1))
+    lexicon = {bytes(r["word"]): (r["n"], r["class"]) for r in words.collect()}
+    _, count = brute(rows)
+    assert {w: n for w, (n, _) in lexicon.items()} == count
+    own = set(model.units.own)
+    k, near = brown_lm.CLASSES, {}
+    pairs = np.zeros((k, k))
+    for t in learn:
+        way = [END, *tokens(t)]
+        for a, b in zip(way, way[1:]):
+            pairs[model.class_of(a), model.class_of(b)] += 1
+            for w in {a, b}:
+                near.setdefault(w, Counter())[a, b] += 1
+    f = brown_lm._xlogx
+
+    def likelihood(w, c):
+        """With the word moved from its ending's class to c."""
+        moved = pairs.copy()
+        for (a, b), n in near[w].items():
+            moved[model.class_of(a), model.class_of(b)] -= n
+            moved[c if a == w else model.class_of(a), c if b == w else model.class_of(b)] += n
+        return f(moved).sum() - f(moved.sum(0)).sum() - f(moved.sum(1)).sum()
+
+    rest = [w for w in lexicon if w not in own]
+    assert len(rest) > 100
+    used = np.flatnonzero(pairs.sum(0) + pairs.sum(1))
+    for w in rest:
+        assert likelihood(w, lexicon[w][1]) == pytest.approx(max(likelihood(w, c) for c in used), rel=1e-10, abs=1e-6), w
+    assert any(lexicon[w][1] != model.class_of(w) for w in rest)     # more than its ending tells
+    by = {str((i, len(tokens(t or "")))): t for i, t in rows}
+    of = lambda w: lexicon[w][1] if w in lexicon else model.class_of(w)
+    for r in score(docs).collect():
+        before, s = model.class_of(END), 0.0
+        for w in tokens(by[str((r.doc_id, r.n_tokens))] or ""):
+            c = of(w)
+            s += model.step[before, c] + (math.log10((count[w] - model.discount[c]) / model.tokens[c]) if count[w] else model.unknown[c])
+            before = c
+        assert r.score == pytest.approx(s, rel=1e-9)
