@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import small_batches, texts, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -71,11 +71,11 @@ class ChunkEncoder:
         for at in range(0, len(new), 5000):
             some = new[at:at + 5000]
             ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+            last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(last) != len(some):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            for w, piece in zip(some, np.split(ids, last[:-1])):
-                self.words[w] = piece.tobytes()
+            raw = ids.tobytes()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(some, [0, *last], last))
 
     def __call__(self, chunks_of: list[list[bytes]]) -> list[bytes]:
         known, words = self.known, self.words
@@ -83,9 +83,13 @@ class ChunkEncoder:
             words.clear()
         mine: dict[bytes, bytes] = {}
         parts, odd = {}, []
-        for c in set().union(*chunks_of).difference(known) if chunks_of else ():
+        distinct = set().union(*chunks_of)
+        new = distinct.difference(known)
+        for c in new:
             text = c.decode()
-            if "<|" not in text and PLAIN(text):
+            if text.isascii() and text.isalpha():
+                parts[c] = [text.lower()]
+            elif "<|" not in text and PLAIN(text):
                 parts[c] = PLAIN_WORDS(text.lower())
             else:
                 odd.append(c)
@@ -94,10 +98,11 @@ class ChunkEncoder:
             mine[c] = np.array(e.ids, "<u4").tobytes()
         for c, p in parts.items():
             mine[c] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
+        here = mine | {c: known[c] for c in distinct.difference(new)}      # small: its entries stay near
         room = CHUNKS - len(known)
         if room > 0:
             known.update((c, x) for c, x in itertools.islice(mine.items(), room) if len(c) <= CACHE_BYTES)
-        return [b"".join([known[x] if x in known else mine[x] for x in c]) for c in chunks_of]
+        return [b"".join(map(here.__getitem__, c)) for c in chunks_of]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -267,7 +272,8 @@ def place(pieces: DataFrame, slots: pd.DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(cut_pieces(docs, vocabulary, capacity, end_id), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(cut_pieces(docs, vocabulary, capacity, end_id), "pieces")
     # at most ``capacity`` rows, whatever the input
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     return place(pieces, plan_sequences(histogram, capacity))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import small_batches, texts, written
 from .components import components
 from .hashing import shingles
 
@@ -170,7 +170,8 @@ def join_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall
     """doc_id, text_hash, copy, class_id (least doc_id of the connected group),
     copy_id (least doc_id with an equal n-gram set), n_links (different sets of
     similarity ``threshold`` or more) of every row."""
-    signed = written(_signed(docs, width), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = written(_signed(docs, width), "signatures")
     classes = (signed.where("copy is not null").groupBy("copy")
                .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("doc_id").alias("copy_id"), F.min("sig").alias("sig")))
     classes = written(classes.select("copy", "copy_id", "row.doc_id", "row.text_hash", "sig"), "classes")
