@@ -11,8 +11,9 @@ residuals by (model, node, feature, bin); the sums meet by model, where the best
 split of each node is found; the driver sees one split a node. Trees grow
 leaf-wise, the best gain first, up to ``leaves`` leaves: a pass evaluates the
 children of every leaf that may be split next, so a tree costs about one pass a
-level, whatever the number of models. Scores of the finished trees are written
-with the cells every ``KEEP`` rounds, so a pass evaluates only a few trees.
+level, whatever the number of models. The cells of a task are blocks of arrays that
+its executor keeps. Scores of the finished trees are added to them every ``KEEP``
+rounds, so a pass evaluates only a few trees.
 
 Cuts are the distinct values of a feature (the greatest of each of ``BINS`` equal
 parts by rank where there are more); they use features of all rows, no target.
@@ -24,10 +25,12 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import even_tasks, materialize
@@ -58,7 +61,7 @@ def cuts(rows: DataFrame, bins: int = BINS) -> list[np.ndarray]:
     """Ascending cut values of each feature (the last bin has none): at most bins - 1."""
     values = rows.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in FEATURES])).alias("k", "v")).distinct()
     ranked = sorted_position(values, ["k"], [F.col("v").asc()], "r")
-    sizes = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    sizes = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     part = F.when(F.col("n") <= bins, F.col("r") - 1).otherwise(F.floor((F.col("r") - 1) * bins / F.col("n")))
     found = (ranked.join(F.broadcast(sizes), "k").groupBy("k", part.alias("bin")).agg(F.max("v").alias("cut"))
              .orderBy("k", "bin").collect())          # bins x features
@@ -182,29 +185,33 @@ def node_of(bins: np.ndarray, tree: Grown) -> np.ndarray:
 
 # ---- passes -----------------------------------------------------------------------
 
-HIST = "model int, node int, sums array<double>"
-BEST = "model int, node int, feature int, cut int, gain double, g_left double, n_left double, g_right double, n_right double"
+#: Cells of a block at most.
+BLOCK = 8192
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, len(FEATURES))
-    return (bins, batch.column("bn").to_numpy(), batch.column("tail").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(),
-            batch.column("n").to_numpy().astype(np.float64), batch.column("y").to_numpy())
+def _blocks(models: int):
+    """Cells to blocks of arrays: bins, bn, tail, fold, n, y, and a score of each model."""
+    def run(rows: Iterator[Row]) -> Iterator[tuple[np.ndarray, ...]]:
+        while some := list(islice(rows, BLOCK)):
+            bins = np.frombuffer(b"".join(r["bins"] for r in some), np.uint8).reshape(len(some), len(FEATURES))
+            of = {c: np.array([r[c] for r in some], t) for c, t in (("bn", np.int32), ("tail", bool), ("fold", np.int32), ("n", float), ("y", float))}
+            yield bins, of["bn"], of["tail"], of["fold"], of["n"], of["y"], np.zeros((len(some), models))
+    return run
 
 
-def _histograms(names, base, recent, growing, wanted):
-    """Residual sums and counts by (model, node, feature, bin) of a task's cells."""
-    width = len(FEATURES) * BINS
+def _histograms(names, base, recent, growing, wanted, edges):
+    """Residual sums and counts by (model, node, feature, bin) of a task's cells; only
+    the bins that a feature has are passed on."""
+    sizes = np.array([len(e) + 1 for e in edges])
+    first, width = np.cumsum(sizes) - sizes, int(sizes.sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            bins, bn, tail, fold, n, y = _arrays(batch)
-            score = batch.column("score").flatten().to_numpy().reshape(batch.num_rows, -1)
-            code = bins.astype(np.int64) + np.arange(len(FEATURES)) * BINS
+        for bins, bn, tail, fold, n, y, score in blocks:
+            code = bins + first
             for m, name in enumerate(names):
-                at = np.flatnonzero(in_training(name, bn, tail, fold))
-                if not wanted[m] or not len(at):
+                at = np.flatnonzero(in_training(name, bn, tail, fold)) if wanted[m] else ()
+                if not len(at):
                     continue
                 b = bins[at]
                 f = base[m] + score[at, m]
@@ -220,9 +227,8 @@ def _histograms(names, base, recent, growing, wanted):
                     h = np.concatenate([np.bincount(flat, np.repeat(g[here], len(FEATURES)), width),
                                         np.bincount(flat, np.repeat(n[at[here]], len(FEATURES)), width)])
                     sums[m, v] = sums[m, v] + h if (m, v) in sums else h
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
-                                              pa.array(list(sums.values()), pa.list_(pa.float64()))], ["model", "node", "sums"])
+        for (m, v), h in sums.items():
+            yield m, (v, h)
     return run
 
 
@@ -243,36 +249,30 @@ def best_split(sums: np.ndarray, least_rows: int, l2: float) -> Split | None:
     return Split(k, c, float(gain[k, c]), (float(gl[k, c]), float(nl[k, c])), (float(gr[k, c]), float(nr[k, c])))
 
 
-def _splits(settings):
+def _splits(settings, edges):
     """Sums of several tasks to the best split of each (model, node)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = np.concatenate([k * BINS + np.arange(len(e) + 1) for k, e in enumerate(edges)])
+
+    def run(parts: Iterator[tuple[int, tuple[int, np.ndarray]]]) -> Iterator[tuple[int, int, Split | None]]:
         total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            h = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for i, key in enumerate(zip(batch.column("model").to_pylist(), batch.column("node").to_pylist())):
-                total[key] = total[key] + h[i] if key in total else h[i].copy()
-        rows = []
+        for m, (v, h) in parts:
+            total[m, v] = total[m, v] + h if (m, v) in total else h
         for (m, v), h in total.items():
-            s = best_split(h, settings[m].least_rows, settings[m].l2)
-            rows.append((m, v, s.feature, s.cut, s.gain, *s.left, *s.right) if s else (m, v, -1, -1, 0.0, 0.0, 0.0, 0.0, 0.0))
-        types = [pa.int32()] * 4 + [pa.float64()] * 5
-        names = [c.split()[0] for c in BEST.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            every = np.zeros((2, len(FEATURES) * BINS))
+            every[:, place] = h.reshape(2, -1)
+            yield m, v, best_split(every, settings[m].least_rows, settings[m].l2)
     return run
 
 
 def _rescored(recent):
     """Adds the values of finished trees to the scores of the cells."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = _arrays(batch)[0]
-            score = batch.column("score").flatten().to_numpy().reshape(batch.num_rows, -1).copy()
+    def run(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+        for bins, *rest, score in blocks:
+            score = score.copy()
             for m, trees in enumerate(recent):
                 for splits, values in trees:
                     score[:, m] += np.array(values)[leaf_of(bins, splits)]
-            cols = [batch.column(c) for c in batch.schema.names if c != "score"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(score), pa.list_(pa.float64()))],
-                                             [*[c for c in batch.schema.names if c != "score"], "score"])
+            yield bins, *rest, score
     return run
 
 
@@ -331,7 +331,10 @@ class Growth:
         for name in self.names:
             at = in_training(name, bn, tail, fold)
             self.base.append(float(y[at].sum() / n[at].sum()) if n[at].sum() else float("nan"))
-        self.scored = table.withColumn("score", F.array_repeat(F.lit(0.0), len(self.names)))
+        self.scored = table
+        # Blocks of arrays, kept by the executors (what one loses is made again from the
+        # written cells): a pass is one job of two stages and plans nothing.
+        self.kept = [table.rdd.mapPartitions(_blocks(len(self.names))).persist(StorageLevel.MEMORY_AND_DISK)]
         self.trees: list[list] = [[] for _ in self.names]
         self.recent: list[list] = [[] for _ in self.names]
         self.roots: list[Split | None] = [None] * len(self.names)
@@ -340,23 +343,22 @@ class Growth:
     def round(self) -> None:
         """One more tree for every active model."""
         if max(map(len, self.recent)) >= KEEP:
-            kind = "bn int, tail boolean, fold int, bins binary, n long, y double, score array<double>"
-            self.scored = materialize(self.scored.mapInArrow(_rescored(self.recent), kind))
+            self.kept.append(self.kept[-1].mapPartitions(_rescored(self.recent)).persist(StorageLevel.MEMORY_AND_DISK))
             self.recent = [[] for _ in self.names]
         growing = [Grown() for _ in self.names]
         while True:
             wanted = [g.order(self.settings[m].leaves)[1] if m in self.active else [] for m, g in enumerate(growing)]
             if not any(wanted):
                 break
-            parts = self.scored.mapInArrow(_histograms(self.names, self.base, self.recent, growing, wanted), HIST)
-            found = parts.repartition(self.meet, "model").mapInArrow(_splits(self.settings), BEST).collect()   # one row a node
+            parts = self.kept[-1].mapPartitions(_histograms(self.names, self.base, self.recent, growing, wanted, self.edges))
+            found = parts.partitionBy(self.meet, int).mapPartitions(_splits(self.settings, self.edges)).collect()   # one row a node
+            while len(self.kept) > 1:               # the pass has made the newest
+                self.kept.pop(0).unpersist()
             for m, nodes in enumerate(wanted):
                 for v in nodes:
                     growing[m].best[v] = None
-            for r in found:
-                if r["feature"] >= 0:
-                    growing[r["model"]].best[r["node"]] = Split(r["feature"], r["cut"], r["gain"], (r["g_left"], r["n_left"]),
-                                                               (r["g_right"], r["n_right"]))
+            for m, v, split in found:
+                growing[m].best[v] = split
         for m in self.active:
             if not self.trees[m]:
                 self.roots[m] = growing[m].best.get(0)
@@ -364,6 +366,11 @@ class Growth:
             self.trees[m].append(done)
             self.recent[m].append(done)
 
+    def close(self) -> None:
+        """Frees the blocks."""
+        for blocks in self.kept:
+            blocks.unpersist()
+
 
 def fit(rows: DataFrame, names: Sequence[tuple[int, int]], setting: Setting | None = None) -> Boosted:
     """Fits the models ``names`` = (version, fold) on ``versions.numbered`` rows."""
@@ -371,6 +378,7 @@ def fit(rows: DataFrame, names: Sequence[tuple[int, int]], setting: Setting | No
     growth = Growth(rows, names, [use] * len(names))
     for _ in range(use.rounds):
         growth.round()
+    growth.close()
     return Boosted(growth.edges, dict(zip(names, growth.base)), dict(zip(names, growth.trees)), dict(zip(names, growth.roots)))
 
 
@@ -447,6 +455,7 @@ def grid_search(rows: DataFrame, b: int, grid: dict | None = None, exact: bool =
                 live = [i for i in live if now[i] - max(0.0, before[i] - now[i]) * (last - done) / step <= best]
                 growth.active = {m for i in live for m in model_of[i].values()}
             before = now
+    growth.close()
     points = [({**fits[i], "rounds": r}, result.get((i, r))) for i in range(len(fits)) for r in sorted(marks)]
     return sorted(points, key=lambda p: (p[1] is None, p[1] or 0.0, str(p[0])))
 

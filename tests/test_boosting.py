@@ -144,3 +144,18 @@ def test_passes_have_tasks_by_cells_not_by_shuffle_partitions(spark):
     cores = spark.sparkContext.defaultParallelism
     assert even_tasks(spark, 0) == 1 and even_tasks(spark, LEAST_ROWS * cores) == cores
     assert even_tasks(spark, MOST_ROWS * 100 * cores) == 100 * cores
+
+
+def test_a_pass_is_one_job_and_frees_the_blocks_before_it(spark):
+    sc, keep = spark.sparkContext, B.KEEP
+    growth = B.Growth(V.numbered(rows_of(spark)), [(3, B.HOLDOUT), (2, B.HOLDOUT)], [B.Setting(leaves=2)] * 2)
+    sc.setJobGroup("boosted-passes", "rounds of one pass each")
+    try:
+        for _ in range(2 * keep + 1):
+            growth.round()
+        assert len(sc.statusTracker().getJobIdsForGroup("boosted-passes")) == 2 * keep + 1
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(growth.kept) == 1 and len(growth.recent[0]) == 1 and len(growth.trees[0]) == 2 * keep + 1
+    growth.close()
+    assert not growth.kept[0].getStorageLevel().useMemory
