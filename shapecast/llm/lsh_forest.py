@@ -208,12 +208,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8
     found = join_classes(docs, width, threshold)
     keep = (found.where("copy is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
             .select("k.doc_id", "k.text_hash").distinct())
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_kept"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"_h": F.xxhash64(text), "_d": F.col("doc_id").cast("long")})
-    joined = marked.join(keep, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    # join and window have the same plain keys (no null in them), so texts are dealt once
+    same = ["_none", "_d", "_h"]
+    keep = keep.select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("text_hash").alias("_h"),
+                       F.lit(True).alias("_kept"))
+    own = F.col("doc_id").cast("long")
+    marked = docs.withColumns({"_none": own.isNull(), "_d": F.coalesce(own, F.lit(0)), "_h": F.xxhash64(text)})
+    joined = marked.join(keep, same, "left")
     blank = ~text.rlike("[^\\x20\\x09-\\x0D]")
     # repeated rows of one id and text: one of them
     one = joined.where(F.col("_kept") & ~blank).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+        "_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))).where("_n = 1").drop("_n")
     return one.unionByName(joined.where(blank)).select(*docs.columns)

@@ -113,3 +113,17 @@ def test_components(spark):
 def test_empty(docs_of):
     assert join_classes(docs_of([])).count() == 0
     assert drop_near_duplicates(docs_of([]).where(F.lit(True))).count() == 0
+
+
+def test_texts_are_dealt_once_to_be_kept_and_numbered(spark, docs_of):
+    """Between the window that leaves one of repeated rows and the join below it there is no exchange."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        out = drop_near_duplicates(docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i"), (None, "g h i"), (2, "")]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
+    finally:
+        spark.conf.set(name, before)
+    assert "Exchange" not in plan.split(" Window [")[1].split("SortMergeJoin")[0]
