@@ -29,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+CUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = PIECES + ", sequence_id long, offset long"
 #: Words, and chunks of a text (between white space), whose ids a worker remembers.
 CACHE, CHUNKS = 500_000, 300_000
@@ -46,8 +48,10 @@ RANK_PARTS = 256
 
 #: Chunks in which letters are plain: their words are told apart and lower-cased here.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PLAIN_ASCII = re.compile(b"[!-~]+").fullmatch
 #: The vocabulary's own pattern, for lower-cased plain chunks.
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+").findall
+ASCII_WORDS = re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+").findall
 
 
 class ChunkEncoder:
@@ -61,16 +65,20 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, new: list[str]) -> None:
+    def _ids(self, some: list[str]) -> list[list[int]]:
+        """Ids only: no places of the tokens in the text are kept."""
+        return [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
         """Words are encoded many in a text: each one's last id is marked as such."""
         for at in range(0, len(new), 5000):
             some = new[at:at + 5000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._ids([b" ".join(some).decode()])[0], "<u4")
             last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(last) != len(some):
                 raise ValueError("the vocabulary does not mark the ends of words")
@@ -85,17 +93,20 @@ class ChunkEncoder:
         parts, odd = {}, []
         distinct = set().union(*chunks_of)
         new = distinct.difference(known)
+        single: dict[bytes, bytes] = {}
         for c in new:
-            text = c.decode()
-            if text.isascii() and text.isalpha():
-                parts[c] = [text.lower()]
-            elif "<|" not in text and PLAIN(text):
-                parts[c] = PLAIN_WORDS(text.lower())
+            if c.isalpha():                     # of bytes: ASCII letters
+                single[c] = c.lower()
+            elif c.isascii() and b"<|" not in c and PLAIN_ASCII(c):
+                parts[c] = ASCII_WORDS(c.lower())
+            elif "<|" not in (text := c.decode()) and PLAIN(text):
+                parts[c] = [w.encode() for w in PLAIN_WORDS(text.lower())]
             else:
                 odd.append(c)
-        self._learn(list(set().union(*parts.values()).difference(words)))
-        for c, e in zip(odd, self.tok.encode_batch([c.decode() for c in odd], add_special_tokens=False)):
-            mine[c] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list(set(single.values()).union(*parts.values()).difference(words)))
+        for c, ids in zip(odd, self._ids([c.decode() for c in odd])):
+            mine[c] = np.array(ids, "<u4").tobytes()
+        mine.update(zip(single, map(words.__getitem__, single.values())))
         for c, p in parts.items():
             mine[c] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
         here = mine | {c: known[c] for c in distinct.difference(new)}      # small: its entries stay near
@@ -120,22 +131,21 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1)
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            raw = [t.encode("utf-8", "replace") for t in batch["text"]]
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            ids_of = batch.column("doc_id").to_pylist()
             for at in range(0, len(raw), 1000):
                 out = []
-                some = encode([r.split() for r in raw[at:at + 1000]])
-                for doc, ids in zip(batch["doc_id"][at:at + 1000], some):
+                for doc, ids in zip(ids_of[at:at + 1000], encode([r.split() for r in raw[at:at + 1000]])):
                     ids += end
                     for k, b in enumerate(range(0, len(ids), step)):
                         piece = ids[b:b + step]
                         out.append((doc, k, b // 4, len(piece) // 4, zlib.crc32(piece)))
-                got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield got.astype({"doc_id": "Int64"})
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), CUT)], schema=CUT)
 
-    return texts(docs).mapInPandas(run, PIECES)
+    return texts(docs).mapInArrow(run, PIECES)
 
 
 def _reduce(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -72,3 +72,13 @@ def test_pack_places_without_gaps(docs_of):
 
 def test_empty(docs_of):
     assert pack(docs_of([]), VOC).count() == 0
+
+
+def test_chunks_of_bytes_have_the_tokenizers_ids():
+    """Bytes of ASCII, Latin and other chunks; words are remembered by their bytes."""
+    from tokenizers import Tokenizer
+    whole, enc = Tokenizer.from_file(VOC), ChunkEncoder(VOC)
+    rows = ["Hello, WORLD it's 12ab", "Écoute l'ÉTÉ naïve! straße", "日本 語<|x|> a\x00b \x1f", "ab<|endoftext|> DON'T... (x)", "", "ka " * 50]
+    got = enc([t.encode().split() for t in rows])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
+    assert enc.words and all(type(w) is bytes for w in enc.words)
