@@ -42,6 +42,11 @@ REACH = LENGTH - GRAM            # bytes of a window beside its anchor
 PART = 1 << 22                   # starts of a text that are handled at once
 #: Text that a task combines before the shuffle.
 COMBINE = 8 << 20
+#: Bytes of text for each task that sorts anchors: their segments are about twice as
+#: many bytes, and a worker holds them in several copies.
+TASK_TEXT = 8 << 20
+#: Rows whose texts and spans are Python objects at once.
+ROWS = 500
 NO_ID = -(2**63)
 #: A string of the suffix arrays: 0 ends it, 1 is between contexts, 2 an anchor, bytes follow.
 END, GAP, ANCHOR, BYTE = 0, 1, 2, 3
@@ -182,9 +187,15 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   ["doc", "tag", "pos", "anchor"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes to the left and right of the anchors asked for, of each document."""
-    for batch in batches:
+    for batch in _slices(batches):
         for doc, tag, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "text", "asked"))):
             raw = text.encode("utf-8", "replace")
             pos = np.array(sorted({a["pos"] for a in asked}), np.int64)
@@ -328,12 +339,19 @@ def _order_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                pa.array(start[i] + offset[i] - low + LENGTH)], ["doc", "tag", "start", "stop"])
 
 
+def anchor_tasks(docs: DataFrame) -> int:
+    """Tasks to deal the anchors to. Their number follows the text, so that what a
+    worker holds at once does not grow with the corpus."""
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_TEXT))
+
+
 def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents as doc, tag, text; spans doc, tag, start, stop in bytes, which may
     overlap; the ids with several texts)."""
     several = _several(docs)
-    rows = _documents(docs, several)
-    dealt = rows.mapInArrow(_segment_rows, SCHEMA).repartition("anchor")
+    rows, tasks = _documents(docs, several), anchor_tasks(docs)
+    dealt = rows.mapInArrow(_segment_rows, SCHEMA).repartition(tasks, "anchor")
     first = written(dealt.mapInArrow(_first_rows, "doc long, tag long, pos long, anchor long"), "segments")
     start = F.shiftright("pos", 12)
     whole = first.where("anchor is null").select("doc", "tag", start.alias("start"), (
@@ -341,7 +359,7 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = (first.where("anchor is not null").select("doc", "tag", F.struct("pos", "anchor").alias("a"))
              .groupBy("doc", "tag").agg(F.collect_list("a").alias("asked")))
     contexts = (rows.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked")
-                .mapInArrow(_contexts, "anchor long, doc long, tag long, pos long, left binary, right binary").repartition("anchor"))
+                .mapInArrow(_contexts, "anchor long, doc long, tag long, pos long, left binary, right binary").repartition(tasks, "anchor"))
     return rows, whole.unionByName(contexts.mapInArrow(_order_contexts, SPAN)), several
 
 
@@ -372,7 +390,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
                 raw, runs = text.encode("utf-8", "replace"), _merged(spans)
@@ -391,7 +409,7 @@ def removals(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the covered bytes taken out of ``text``; a character that loses
     a byte goes as a whole. All rows and columns stay."""
-    _, spans, several = covered_spans(docs)
+    columns, (_, spans, several) = docs.columns, covered_spans(docs)
     by = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     several = several.withColumnsRenamed({"doc": "_doc", "several": "_several"})
@@ -399,10 +417,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("_tag", F.when(F.col("_several"), _place(text)).otherwise(F.lit(0).cast("long")))
     by = by.withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
 
-    @F.udf("string", useArrow=True)
-    def cut(t: str, found: list) -> str:
-        return _kept(t.encode("utf-8", "replace"), _merged(found)).decode("utf-8", "ignore")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            new = [t if found is None else _kept(t.encode("utf-8", "replace"), _merged(found)).decode("utf-8", "ignore")
+                   for t, found in zip(*(batch.column(c).to_pylist() for c in ("text", "_spans")))]
+            yield pa.record_batch([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
-    joined = keyed.join(by, ["_doc", "_tag"], "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(text, F.col("_spans")))
-    return joined.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return keyed.join(by, ["_doc", "_tag"], "left").select(*columns, "_spans").mapInArrow(cut, docs.schema)

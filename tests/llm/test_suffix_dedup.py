@@ -101,3 +101,23 @@ def test_many_texts_without_an_id(docs_of):
     assert sorted(tuple(r)[1:5] for r in got if r["doc_id"] is None) == sorted(want[t] for i, t in rows if i is None)
     kept = {r["text"] for r in remove_repeats(docs_of(rows, "tag")).collect()}
     assert {hashlib.sha256(t.encode()).hexdigest() for t in kept} == {w[3] for w in want.values()}
+
+
+def test_workers_hold_a_share_of_the_text_that_does_not_grow(docs_of, monkeypatch):
+    """Tasks of the anchors follow the bytes of text, and texts become Python objects a few rows at a time."""
+    rng = random.Random(4)
+    own = ["".join(rng.choice("abcdefgh") for _ in range(150)) for _ in range(20)]
+    docs = docs_of([(i, f"{i} " + own[i % 20] + own[i // 20]) for i in range(60)] + [(60, None)], "tag")
+    usual = sorted(map(tuple, remove_repeats(docs).collect()), key=str)
+    monkeypatch.setattr(suffix_dedup, "TASK_TEXT", 1000)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 3)
+    tasks = suffix_dedup.anchor_tasks(docs)
+    size = sum(len(r["text"] or "") for r in docs.collect())
+    assert tasks == -(-size // 1000) > docs.sparkSession.sparkContext.defaultParallelism
+    out = remove_repeats(docs)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression [anchor" in plan and f", {tasks}" in plan
+    assert sorted(map(tuple, out.collect()), key=str) == usual and out.schema == docs.schema
+    big = docs.select("doc_id", "text")
+    batch = next(iter(big.toArrow().to_batches()))
+    assert max(b.num_rows for b in suffix_dedup._slices([batch])) == 3
