@@ -11,7 +11,8 @@ residuals by (model, node, feature, bin); the sums meet by model, where the best
 split of each node is found; the driver sees one split a node. Trees grow
 leaf-wise, the best gain first, up to ``leaves`` leaves: a pass evaluates the
 children of every leaf that may be split next, so a tree costs about one pass a
-level, whatever the number of models. The cells of a task are blocks of arrays that
+level, whatever the number of models; a model goes on to its next tree without
+waiting for the others. The cells of a task are blocks of arrays that
 its executor keeps. Scores of the finished trees are added to them every ``KEEP``
 rounds, so a pass evaluates only a few trees.
 
@@ -340,16 +341,34 @@ class Growth:
         self.roots: list[Split | None] = [None] * len(self.names)
         self.active = set(range(len(self.names)))
 
-    def round(self) -> None:
-        """One more tree for every active model."""
-        if max(map(len, self.recent)) >= KEEP:
-            self.kept.append(self.kept[-1].mapPartitions(_rescored(self.recent)).persist(StorageLevel.MEMORY_AND_DISK))
-            self.recent = [[] for _ in self.names]
+    def _finish(self, m: int, tree: Grown) -> None:
+        if not self.trees[m]:
+            self.roots[m] = tree.best.get(0)
+        done = tree.finished(self.settings[m].leaves, self.settings[m].rate, self.settings[m].l2)
+        self.trees[m].append(done)
+        self.recent[m].append(done)
+
+    def grow(self, rounds: int) -> None:
+        """``rounds`` more trees for every active model. No model waits for another:
+        one whose tree is finished asks for its next root in the same pass."""
+        left = {m: rounds for m in sorted(self.active) if rounds > 0}
         growing = [Grown() for _ in self.names]
-        while True:
-            wanted = [g.order(self.settings[m].leaves)[1] if m in self.active else [] for m, g in enumerate(growing)]
-            if not any(wanted):
+        while left:
+            wanted: list[list[int]] = [[] for _ in self.names]
+            for m in list(left):
+                while m in left and not (nodes := growing[m].order(self.settings[m].leaves)[1]):
+                    self._finish(m, growing[m])
+                    growing[m] = Grown()
+                    left[m] -= 1
+                    if not left[m]:
+                        del left[m]
+                if m in left:
+                    wanted[m] = nodes
+            if not left:
                 break
+            if max(map(len, self.recent)) >= KEEP:
+                self.kept.append(self.kept[-1].mapPartitions(_rescored(self.recent)).persist(StorageLevel.MEMORY_AND_DISK))
+                self.recent = [[] for _ in self.names]
             parts = self.kept[-1].mapPartitions(_histograms(self.names, self.base, self.recent, growing, wanted, self.edges))
             found = parts.partitionBy(self.meet, int).mapPartitions(_splits(self.settings, self.edges)).collect()   # one row a node
             while len(self.kept) > 1:               # the pass has made the newest
@@ -359,12 +378,10 @@ class Growth:
                     growing[m].best[v] = None
             for m, v, split in found:
                 growing[m].best[v] = split
-        for m in self.active:
-            if not self.trees[m]:
-                self.roots[m] = growing[m].best.get(0)
-            done = growing[m].finished(self.settings[m].leaves, self.settings[m].rate, self.settings[m].l2)
-            self.trees[m].append(done)
-            self.recent[m].append(done)
+
+    def round(self) -> None:
+        """One more tree for every active model."""
+        self.grow(1)
 
     def close(self) -> None:
         """Frees the blocks."""
@@ -376,8 +393,7 @@ def fit(rows: DataFrame, names: Sequence[tuple[int, int]], setting: Setting | No
     """Fits the models ``names`` = (version, fold) on ``versions.numbered`` rows."""
     use = setting or Setting()
     growth = Growth(rows, names, [use] * len(names))
-    for _ in range(use.rounds):
-        growth.round()
+    growth.grow(use.rounds)
     growth.close()
     return Boosted(growth.edges, dict(zip(names, growth.base)), dict(zip(names, growth.trees)), dict(zip(names, growth.roots)))
 
@@ -441,10 +457,10 @@ def grid_search(rows: DataFrame, b: int, grid: dict | None = None, exact: bool =
         return {i: float(got[f"s{k}"] / got["n"] * 100.0) for k, i in enumerate(live)}
 
     live, result, before, best = list(range(len(fits))), {}, errors(list(range(len(fits)))), math.inf
-    for done in range(1, last + 1):
-        growth.round()
-        if done % step and done not in marks:
-            continue
+    grown = 0
+    for done in sorted({*range(step, last + 1, step), *marks}):
+        growth.grow(done - grown)
+        grown = done
         now = errors(live)
         if done in marks:
             result |= {(i, done): e for i, e in now.items()}

@@ -159,3 +159,32 @@ def test_a_pass_is_one_job_and_frees_the_blocks_before_it(spark):
     assert len(growth.kept) == 1 and len(growth.recent[0]) == 1 and len(growth.trees[0]) == 2 * keep + 1
     growth.close()
     assert not growth.kept[0].getStorageLevel().useMemory
+
+
+def test_no_model_waits_for_another(spark):
+    """Models with trees of many passes and of few share them: the slowest one's are all there are."""
+    rows, names = V.numbered(rows_of(spark)), [(3, B.HOLDOUT), (2, B.HOLDOUT)]
+    settings, sc, rounds = [B.Setting(leaves=7), B.Setting(leaves=2)], spark.sparkContext, 6
+    alone = []
+    for name, setting in zip(names, settings):
+        growth = B.Growth(rows, [name], [setting])
+        growth.grow(rounds)
+        alone.append(growth.trees[0])
+        growth.close()
+    growth = B.Growth(rows, names, settings)
+    sc.setJobGroup("boosted-pace", "two models, each at its own pace")
+    try:
+        growth.active = {1}
+        growth.grow(2)
+        assert [len(t) for t in growth.trees] == [0, 2]
+        growth.active = {0, 1}
+        growth.grow(rounds)
+        passes = sc.statusTracker().getJobIdsForGroup("boosted-pace")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(t) for t in growth.trees] == [rounds, rounds + 2]
+    for got, want in zip(growth.trees, alone):
+        for (splits, values), (s, v) in zip(got, want):
+            assert splits == s and values == pytest.approx(v)
+    assert len(passes) > rounds
+    growth.close()
