@@ -162,29 +162,23 @@ def test_a_pass_is_one_job_and_frees_the_blocks_before_it(spark):
 
 
 def test_no_model_waits_for_another(spark):
-    """Models with trees of many passes and of few share them: the slowest one's are all there are."""
-    rows, names = V.numbered(rows_of(spark)), [(3, B.HOLDOUT), (2, B.HOLDOUT)]
-    settings, sc, rounds = [B.Setting(leaves=7), B.Setting(leaves=2)], spark.sparkContext, 6
-    alone = []
-    for name, setting in zip(names, settings):
-        growth = B.Growth(rows, [name], [setting])
-        growth.grow(rounds)
-        alone.append(growth.trees[0])
+    """Models with trees of many passes and of few share them: together they take as many as the slowest one alone."""
+    rows, names, rounds = V.numbered(rows_of(spark)), [(3, B.HOLDOUT), (2, B.HOLDOUT)], 6
+    settings, sc = [B.Setting(leaves=7), B.Setting(leaves=4)], spark.sparkContext
+
+    def grown(which, group):
+        growth = B.Growth(rows, [names[i] for i in which], [settings[i] for i in which])
+        sc.setJobGroup(group, "boosted trees at their own pace")
+        try:
+            growth.grow(rounds)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
         growth.close()
-    growth = B.Growth(rows, names, settings)
-    sc.setJobGroup("boosted-pace", "two models, each at its own pace")
-    try:
-        growth.active = {1}
-        growth.grow(2)
-        assert [len(t) for t in growth.trees] == [0, 2]
-        growth.active = {0, 1}
-        growth.grow(rounds)
-        passes = sc.statusTracker().getJobIdsForGroup("boosted-pace")
-    finally:
-        sc.setLocalProperty("spark.jobGroup.id", None)
-    assert [len(t) for t in growth.trees] == [rounds, rounds + 2]
-    for got, want in zip(growth.trees, alone):
-        for (splits, values), (s, v) in zip(got, want):
-            assert splits == s and values == pytest.approx(v)
-    assert len(passes) > rounds
-    growth.close()
+        return growth.trees, len(sc.statusTracker().getJobIdsForGroup(group))
+
+    alone = [grown([i], f"boosted-alone-{i}") for i in (0, 1)]
+    trees, passes = grown([0, 1], "boosted-together")
+    assert passes == max(n for _, n in alone)
+    for got, ((want,), _) in zip(trees, alone):
+        assert len(got) == rounds and [s for s, _ in got] == [s for s, _ in want]
+        assert all(v == pytest.approx(w) for (_, v), (_, w) in zip(got, want))
