@@ -456,20 +456,20 @@ def grid_search(rows: DataFrame, b: int, grid: dict | None = None, exact: bool =
         got = parts.agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(len(live))]).first()
         return {i: float(got[f"s{k}"] / got["n"] * 100.0) for k, i in enumerate(live)}
 
-    live, result, before, best = list(range(len(fits))), {}, errors(list(range(len(fits)))), math.inf
+    live, result, best = list(range(len(fits))), {}, math.inf
+    before = {} if exact else errors(live)
     grown = 0
-    for done in sorted({*range(step, last + 1, step), *marks}):
+    for done in sorted(marks if exact else {*range(step, last + 1, step), *marks}):
         growth.grow(done - grown)
         grown = done
         now = errors(live)
         if done in marks:
             result |= {(i, done): e for i, e in now.items()}
             best = min(best, *now.values())
-        if done % step == 0:
+        if done % step == 0 and not exact:
             best = min(best, *now.values())
-            if not exact:
-                live = [i for i in live if now[i] - max(0.0, before[i] - now[i]) * (last - done) / step <= best]
-                growth.active = {m for i in live for m in model_of[i].values()}
+            live = [i for i in live if now[i] - max(0.0, before[i] - now[i]) * (last - done) / step <= best]
+            growth.active = {m for i in live for m in model_of[i].values()}
             before = now
     growth.close()
     points = [({**fits[i], "rounds": r}, result.get((i, r))) for i in range(len(fits)) for r in sorted(marks)]

@@ -208,11 +208,10 @@ def importance_linear(spark, sf_dir):
 
 @register("M16_grid_72_points")
 def grid(spark, sf_dir):
-    """All 72 points by their out-of-fold error on the batches before the newest
-    (NULL: given up before its rounds were done)."""
-    found = B.grid_search(E.numbered(spark, sf_dir), V.trainable(E.state(spark, sf_dir))[-1])
-    rows = [(float(p["rate"]), int(p["rounds"]), int(p["leaves"]), int(p["least_rows"]), float(p["l2"]), None if e is None else round(e, 3))
-            for p, e in found]
+    """All 72 points by their out-of-fold error on the batches before the newest;
+    every point is grown to its last round."""
+    found = B.grid_search(E.numbered(spark, sf_dir), V.trainable(E.state(spark, sf_dir))[-1], exact=True)
+    rows = [(float(p["rate"]), int(p["rounds"]), int(p["leaves"]), int(p["least_rows"]), float(p["l2"]), round(e, 3)) for p, e in found]
     return spark.createDataFrame(rows, "rate double, rounds int, leaves int, least_rows int, l2 double, cv_mape_pct double")
 
 

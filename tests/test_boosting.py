@@ -131,6 +131,17 @@ def test_grid_keeps_the_winner_and_leaves_the_holdout_alone(spark):
     assert B.grid_search(changed, 3, grid, exact=True, step=2)[0][1] == pytest.approx(error)
 
 
+def test_the_grid_query_scores_every_point(spark, monkeypatch):
+    from shapecast.plans import q_boosted as Q
+    grid = {"rate": (0.1, 0.5), "rounds": (9, 18), "leaves": (2, 5), "least_rows": (4,), "l2": (0.0,)}
+    monkeypatch.setattr(B, "GRID", grid)
+    monkeypatch.setattr(Q.E, "numbered", lambda *_: V.numbered(rows_of(spark)))
+    monkeypatch.setattr(Q.E, "state", lambda *_: V.state(V.numbered(rows_of(spark))))
+    got = Q.grid(spark, "rows").collect()
+    assert len(got) == 8 and all(r["cv_mape_pct"] is not None for r in got)
+    assert [r["cv_mape_pct"] for r in got] == sorted(r["cv_mape_pct"] for r in got)
+
+
 def test_passes_have_tasks_by_cells_not_by_shuffle_partitions(spark):
     from shapecast.session import LEAST_ROWS, MOST_ROWS, even_tasks
     rows = V.numbered(rows_of(spark))
