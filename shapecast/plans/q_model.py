@@ -9,7 +9,7 @@ from ..operators import features as fe
 from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import model as MO
-from ..session import state_dir
+from ..session import stage, state_dir
 from . import evaluate as E
 from . import qlog as Q
 from .oracle import FEATURE_CTES, FEATURE_NAMES, LABEL_CTES, SHAPE_CTES, TRAIN_CTES, VERSION_CTES, _fitted, q
@@ -71,13 +71,17 @@ def m02b(spark, sf_dir):
 @register("M03_gbt_predictions")
 def m03(spark, sf_dir):
     """Boosted trees on log runtime: holdout + out-of-fold predictions (M3, M4, M9)."""
-    preds, _, _ = _gbt_fit(spark, sf_dir)
-    return preds
+    return _gbt_predictions(spark, sf_dir)
+
+
+def _gbt_predictions(spark, sf_dir):
+    """Every row's score, written: the metrics read it several times."""
+    return stage(spark, ("gbt_predictions", sf_dir), lambda: _gbt_fit(spark, sf_dir)[0])
 
 
 @register("M08_gbt_holdout_metrics")
 def m08b(spark, sf_dir):
-    preds, _, _ = _gbt_fit(spark, sf_dir)
+    preds = _gbt_predictions(spark, sf_dir)
     hold = preds.filter(F.col("in_holdout") == 1)
     train = preds.filter(F.col("in_holdout") == 0)
     r2 = M.r_squared(hold)
