@@ -162,7 +162,8 @@ def importance(spark, sf_dir):
     """The trained model's importances on its holdout, 15 permutations without a sort of copies."""
     m, b = E.boosted(spark, sf_dir), V.trainable(E.state(spark, sf_dir))[-1]
     hold = E.numbered(spark, sf_dir).filter((F.col("bn") == b) if b > 1 else F.col("tail"))
-    return permutation_importance(hold, lambda x: m.log_ms(b, B.HOLDOUT, x)).orderBy(F.desc("importance"), "feature")
+    of, edges = (m.base[b, B.HOLDOUT], m.trees[b, B.HOLDOUT]), m.edges
+    return permutation_importance(hold, None, boosted=(*of, lambda x: B.to_bins(x, edges))).orderBy(F.desc("importance"), "feature")
 
 
 _DONORS = """

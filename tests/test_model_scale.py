@@ -97,3 +97,27 @@ def test_importance_of_boosted_trees_equals_scoring_every_copy(spark):
         changed[:, f] = other[:, f]
         want.append((np.abs(score(changed) - y) - np.abs(score(x) - y)).sum())
     assert np.allclose(tree_rises(0.25, trees, x, other, y), want)
+
+
+def test_importance_of_boosted_models_joins_bins_and_equals_scoring_every_row(spark):
+    from shapecast.operators import boosting as B
+    from shapecast.operators import versions as V
+    from shapecast.operators.importance import permutation_importance
+    rows = V.numbered(_repeated(spark).selectExpr("*", "seq as pos", "TARGET_MS as EXECUTION_TIME"))
+    m = B.fit(rows, [(2, B.HOLDOUT)], B.Setting(rounds=4, rate=0.4))
+    hold = rows.filter("bn = 2")
+    trees = (m.base[2, B.HOLDOUT], m.trees[2, B.HOLDOUT], lambda x: B.to_bins(x, m.edges))
+    by_bins = {r.feature: r.importance for r in permutation_importance(hold, None, boosted=trees).collect()}
+    by_rows = {r.feature: r.importance for r in permutation_importance(hold, lambda x: m.log_ms(2, B.HOLDOUT, x)).collect()}
+    assert by_bins == pytest.approx(by_rows, abs=1.1e-4) and max(by_bins.values()) > 0.1
+
+
+def test_weights_are_the_inverse_cdf_of_the_hash():
+    import numpy as np
+
+    from shapecast.operators import draws as D
+    from shapecast.operators import versions as V
+    edges = [int(c * 2**32) + d for c in V.CDF for d in (-1, 0, 1) if 0 <= int(c * 2**32) + d < 2**32]
+    h = np.array([0, 2**32 - 1, *edges, *range(0, 2**32, 40_000_003)], np.uint32)
+    want = np.searchsorted(V.CDF, h / 4294967296.0, side="right")
+    assert (D.weights_of(h, D.least_hashes(V.CDF)) == want).all()

@@ -1,5 +1,6 @@
 """Row numbers without a whole group in one task agree with row_number()."""
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,3 +77,15 @@ def test_a_batch_of_a_million_rows_is_many_blocks(spark):
     got = block_position(df, ["g"], "seq", "p")
     assert got.agg(F.countDistinct(F.floor(F.col("seq") / DEFAULT_BLOCK))).first()[0] == 16
     assert got.where("p <> seq").count() == 0 and got.count() == 1_000_000
+
+
+def test_a_value_of_most_rows_is_sorted_as_one(spark, monkeypatch):
+    from shapecast.operators import ordinal as O
+    rows = [(None if i % 3 else "a", 5.0 if i % 10 else float(i), float(i % 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double, u double")
+    seen, plain = [], O.materialize
+    monkeypatch.setattr(O, "materialize", lambda d: seen.append(plain(d)) or seen[-1])
+    got = {r.g: (r.p, r.s) for r in O.exact_percentiles(df, ["g"], {"v": "p", "u": "s"}, 0.35).collect()}
+    assert max(d.count() for d in seen) <= 400
+    want = {r.g: (r.p, r.s) for r in df.groupBy("g").agg(F.percentile("v", 0.35).alias("p"), F.percentile("u", 0.35).alias("s")).collect()}
+    assert got == {g: (pytest.approx(p), pytest.approx(s)) for g, (p, s) in want.items()}
